@@ -177,6 +177,7 @@ def _pick(values: list[str], index: str) -> str:
 
 # one row per column of a large catalog: ten columns per table, one table per ten parts
 _T["column_inventory"] = [("part", [
+    ("table_id", "CAST(p_partkey // 10 AS BIGINT)"),
     ("table_name", "concat('tbl_', CAST(p_partkey // 10 AS {STR}))"),
     ("column_name", _pick(_WORDS, "(p_partkey * 7) % 25")),
     ("ordinal", "CAST(p_partkey % 10 AS INT)"),
@@ -237,10 +238,20 @@ _T["spans"] = [("lineitem", [
     ("duration_ms", "CAST(l_quantity AS BIGINT)"),
 ])]
 
-_T["column_edges"] = [("lineitem", [
-    ("target_dataset", "concat('mart.t', CAST(l_suppkey % 20 AS {STR}))"), ("target_column", "concat('c', CAST(l_linenumber AS {STR}))"),
-    ("source_dataset", "concat('raw.r', CAST(l_partkey % 50 AS {STR}))"), ("source_column", "concat('s', CAST(l_quantity AS {STR}))"),
-    ("transformation", "CASE WHEN l_returnflag = 'A' THEN 'SUM' ELSE 'COPY' END"),
+_T["column_edges"] = [
+    ("lineitem", [
+        ("target_dataset", "concat('mart.t', CAST(l_suppkey % 20 AS {STR}))"), ("target_column", "concat('c', CAST(l_linenumber AS {STR}))"),
+        ("source_dataset", "concat('stage.s', CAST(l_partkey % 50 AS {STR}))"), ("source_column", "concat('c', CAST(l_linenumber AS {STR}))"),
+        ("transformation", "CASE WHEN l_returnflag = 'A' THEN 'SUM' ELSE 'COPY' END")]),
+    ("part", [
+        ("target_dataset", "concat('stage.s', CAST(p_partkey % 50 AS {STR}))"), ("target_column", "concat('c', CAST(1 + p_size % 7 AS {STR}))"),
+        ("source_dataset", "concat('raw.r', CAST(p_partkey AS {STR}))"), ("source_column", "'x'"), ("transformation", "'CAST'")]),
+]
+
+_T["versioned_edges"] = [("orders", [
+    ("src", "concat('catalog://customer.c', CAST(o_custkey AS {STR}))"), ("dst", "concat('catalog://order.o', CAST(o_orderkey AS {STR}))"),
+    ("valid_from", "o_orderdate"),
+    ("valid_to", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate + INTERVAL 300 DAY END"),
 ])]
 
 
