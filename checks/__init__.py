@@ -4,7 +4,7 @@ import importlib
 
 from checks.registry import ORACLES, QUERIES
 
-for _module in ("sessions", "masking", "lineage", "catalog", "events"):
+for _module in ("sessions", "masking", "lineage", "catalog", "events", "streams"):
     importlib.import_module(f"checks.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

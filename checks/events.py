@@ -287,18 +287,27 @@ def _(t):
     return events.request_metrics(t.request_log, exact=True).withColumn("avg_ms", F.round("avg_ms", 4))
 
 
-@check("t2_dedupe_requests", """WITH RECURSIVE r AS (SELECT request_id, ts, agent || '/' || capability || '/' || payload AS k, status <> 'ERROR' AS ok FROM request_log),
- s AS (SELECT k, ts, request_id FROM r WHERE ok),
- nx AS (SELECT k, request_id, ts, (SELECT MIN(b.ts) FROM s b WHERE b.k = s.k AND b.ts >= s.ts + INTERVAL 1 HOUR) AS nts FROM s),
- a AS (SELECT k, request_id, ts, nts FROM nx WHERE (k, ts) IN (SELECT k, MIN(ts) FROM s GROUP BY k)
+# The window restarts at each accepted success: follow the chain of accepted rows per key.
+TTL_SQL = """WITH RECURSIVE r AS (SELECT request_id, ts, {key} AS k, status <> 'ERROR' AS ok FROM request_log),
+ s AS (SELECT k, ts, request_id, ts + INTERVAL 1 HOUR AS due FROM r WHERE ok),
+ nx AS (SELECT s.k, s.request_id, s.ts, n.ts AS nts FROM s ASOF LEFT JOIN s n ON s.k = n.k AND s.due <= n.ts),
+ a AS (SELECT k, request_id, ts, nts FROM nx WHERE (k, ts) IN (SELECT (k, MIN(ts)) FROM s GROUP BY k)
   UNION ALL SELECT nx.k, nx.request_id, nx.ts, nx.nts FROM a JOIN nx ON nx.k = a.k AND nx.ts = a.nts),
  j AS (SELECT r.request_id, r.ts, a.request_id AS aid, a.ts AS ats FROM r ASOF LEFT JOIN a ON r.k = a.k AND r.ts > a.ts)
- SELECT request_id, NOT COALESCE(ts < ats + INTERVAL 1 HOUR, false) AS executed, CASE WHEN ts < ats + INTERVAL 1 HOUR THEN aid END AS served_by FROM j""", "request_log", recursive=True)
+ SELECT request_id, NOT COALESCE(ts < ats + INTERVAL 1 HOUR, false) AS executed, CASE WHEN ts < ats + INTERVAL 1 HOUR THEN aid END AS served_by FROM j"""
+
+
+@check("t2_dedupe_requests", TTL_SQL.format(key="agent || '/' || capability || '/' || payload"), "request_log", recursive=True)
 def _(t):
     rows = t.request_log.withColumn("k", F.concat_ws("/", "agent", "capability", "payload"))
     return dedupe.dedupe_requests(rows, F.col("k"), "ts", "request_id", F.col("status") == "ERROR", 3600)
 
 
+@check("t2_dedupe_requests_hot_key", TTL_SQL.format(key="'all'"), "request_log", recursive=True)
+def _(t):
+    return dedupe.dedupe_requests(t.request_log, F.lit("all"), "ts", "request_id", F.col("status") == "ERROR", 3600, chunk_ttls=24)
+
+
 @check("t3_health_transitions", """WITH f AS (SELECT agent, seq, status, status <> 'UNHEALTHY' AS ok FROM health_checks),
  g AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY seq) - row_number() OVER (PARTITION BY agent, ok ORDER BY seq) AS isl FROM f),
  h AS (SELECT *, row_number() OVER (PARTITION BY agent, ok, isl ORDER BY seq) AS run FROM g),

@@ -294,6 +294,12 @@ class Tables:
             df = df.join(self.read(name.strip()), F.col(left) == F.col(right))
         return df.where(where) if where else df
 
+    def stream(self, name: str) -> DataFrame:
+        """A single-table derived table as a stream over its source file."""
+        ((source, cols),) = _T[name]
+        raw = self.spark.readStream.schema(self.read(source).schema).option("pathGlobFilter", f"{source}.parquet").parquet(self.sf_dir)
+        return raw.selectExpr(*[f"{_spark(e)} AS {c}" for c, e in cols])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _T:
             return self.read(name)
