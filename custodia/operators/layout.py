@@ -57,34 +57,47 @@ def prefix_of(path: Column) -> Column:
 
 
 def _samples(path: Column, regex: str, groups: int) -> Column:
-    found = [F.regexp_extract_all(path, F.lit(regex), F.lit(g)) for g in range(1, groups + 1)]
-    joined = found[0]
-    for more in found[1:]:
-        joined = F.zip_with(joined, more, lambda a, b: F.concat(a, F.lit("/"), b))
-    return F.slice(joined, 1, 5)
+    """Up to five matches, each as its captured values joined by slashes."""
+    found = F.slice(F.regexp_extract_all(path, F.lit(regex), F.lit(1 if groups == 1 else 0)), 1, 5)
+    if groups == 1:
+        return found
+    joined = "/".join(f"${g}" for g in range(1, groups + 1))
+    return F.transform(found, lambda m: F.regexp_replace(m, regex, joined))
 
 
 def detect_path_partition(listing: DataFrame) -> DataFrame:
     """First matching pattern per path: column, type, granularity and up to five sample values.
 
-    Paths without a pattern are dropped by one combined regex, so the filter stays cheap and the CASE, which
-    evaluates the samples of the matching branch only, runs once per remaining row.
+    The number of the pattern is found first with plain tests, paths without one are dropped, and only the matching
+    pattern extracts its samples. The number comes out of a generator, because a filter on a plain column would be
+    pushed below it and repeat all tests, together with whatever expression the path is made of.
     """
-    path = F.col("path")
-    out = None
-    for regex, groups, column, kind, grain in PATH_PATTERNS:
-        rx = "(?i)" + regex
-        row = F.struct(F.lit(column).alias("column_name"), F.lit(kind).alias("partition_type"),
-                       F.lit(grain).alias("granularity"), _samples(path, rx, groups).alias("samples"),
-                       F.lit("=" in regex).alias("is_hive_style"))
-        out = F.when(path.rlike(rx), row) if out is None else out.when(path.rlike(rx), row)
-    any_pattern = "(?i)" + "|".join(regex for regex, *_ in PATH_PATTERNS)
-    return listing.where(path.rlike(any_pattern)).withColumn("__p", out).select(*listing.columns, "__p.*")
+    path, number = F.col("path"), F.col("__n")
+    which, samples = F, F
+    for i, (regex, groups, *_) in enumerate(PATH_PATTERNS):
+        rx = "(?i)" + regex if "=" in regex else regex
+        which = which.when(path.contains("=") & path.rlike(rx) if "=" in regex else path.rlike(rx), i + 1)
+        samples = samples.when(number == i + 1, _samples(path, rx, groups))
+    def named(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), number)
+    rows = listing.select("*", F.explode(F.array(which)).alias("__n")).where(number.isNotNull())
+    return rows.select(
+        *listing.columns, named([p[2] for p in PATH_PATTERNS]).alias("column_name"),
+        named([p[3] for p in PATH_PATTERNS]).alias("partition_type"), named([p[4] for p in PATH_PATTERNS]).alias("granularity"),
+        samples.alias("samples"), named(["=" in p[0] for p in PATH_PATTERNS]).alias("is_hive_style"))
 
 
 def partition_cardinality(listing: DataFrame) -> DataFrame:
-    """Distinct partition values per (column, type) with ten samples."""
-    values = detect_path_partition(listing).select("column_name", "partition_type", F.explode("samples").alias("value"))
+    """Distinct partition values per (column, type) with ten samples.
+
+    Only the folder of a path can match, unless the file name itself has a ``key=value``. So files shrink to
+    distinct folders before any pattern is tried.
+    """
+    path = F.col("path")
+    folder = F.when(F.substring_index(path, "/", -1).contains("="), path).otherwise(
+        F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1))))
+    folders = listing.select(folder.alias("path")).distinct()
+    values = detect_path_partition(folders).select("column_name", "partition_type", F.explode("samples").alias("value"))
     return agg.sample_set(values, ["column_name", "partition_type"], "value", 10)
 
 
