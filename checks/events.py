@@ -316,13 +316,13 @@ def _(t):
  p AS (SELECT *, COALESCE(LAG(cur) OVER (PARTITION BY agent ORDER BY seq), 'UNKNOWN') AS prev FROM c)
  SELECT agent, seq, prev AS from_status, cur AS to_status FROM p WHERE cur <> prev""", "health_checks")
 def _(t):
-    return events.health_transitions(t.health_checks, chunk_size=1000)
+    return events.health_transitions(t.health_checks, chunk_size=700)
 
 
 @check("t4_ewma_latency", f"""WITH h AS (SELECT agent, response_time_ms AS x, row_number() OVER (PARTITION BY agent ORDER BY seq) AS i, COUNT(*) OVER (PARTITION BY agent) AS n FROM health_checks WHERE status = 'HEALTHY')
  SELECT agent, COUNT(*) AS checks, {rnd("SUM(x * (CASE WHEN i = 1 THEN 1.0 ELSE 0.3 END)::DOUBLE * pow(0.7::DOUBLE, n - i))", 6)} AS ewma_ms FROM h GROUP BY agent""", "health_checks")
 def _(t):
-    return events.ewma_latency(t.health_checks, chunk_size=1000).withColumn("ewma_ms", F.round("ewma_ms", 6))
+    return events.ewma_latency(t.health_checks, chunk_size=700).withColumn("ewma_ms", F.round("ewma_ms", 6))
 
 
 @check("t5_audit_trail", """SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'query' AS event_type, user_id, action, resource, decision AS outcome, NULL AS trace_id FROM audit_log WHERE audit_id % 3 = 0

@@ -30,7 +30,7 @@ def _(t):
 @check("s2_write_sessions", "SELECT year, month, day, COUNT(*) AS sessions FROM session_logs GROUP BY ALL", S)
 def _(t):
     path = scratch_path(t.spark, "sessions-parquet")
-    src.write_sessions(t.session_logs, path, "parquet", files_per_day=4)
+    src.write_sessions(t.session_logs, path, "parquet")
     return src.read_sessions(t.spark, path, "parquet").groupBy("year", "month", "day").agg(F.count("*").alias("sessions"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from custodia import policies as P
 from custodia.functions.numbers import count_true, pct
 from custodia.functions.text import lit_map
-from custodia.operators.ordered import CHUNK, carry_forward, chunk_of, numbered, previous, run_lengths
+from custodia.operators.ordered import carry_forward, chunk_of, numbered, run_lengths
 from custodia.operators.quantiles import order_statistics
 
 # fixed values
@@ -42,18 +42,17 @@ def health_states(df: DataFrame, order: str = "seq", key: str = "agent", chunk_s
     """Adds ``current`` and ``previous`` status per check.
 
     Healthy or degraded after two good checks in a row, unhealthy after three bad ones, otherwise unchanged;
-    UNKNOWN before that. Run length, carry-forward and lag all work on chunks of the order column.
+    UNKNOWN before that. Run length and carry-forward work on chunks of the order column.
     """
     chunk = chunk_of(df, order, chunk_size)
     rows = df.withColumn("__ok", F.col("status").isin("HEALTHY", "DEGRADED"))
     rows = run_lengths(rows, [key], [order], "__ok", chunk, out="__run")
     named = F.when(F.col("__ok") & (F.col("__run") >= HEALTHY_AFTER), F.col("status")).when(
         ~F.col("__ok") & (F.col("__run") >= UNHEALTHY_AFTER), F.lit("UNHEALTHY"))
-    rows = rows.withColumn("__set", named).withColumn(CHUNK, chunk)
-    rows = carry_forward(rows, [key], [order], "__set", "__cur")
-    rows = rows.withColumn("current", F.coalesce("__cur", F.lit("UNKNOWN")))
-    rows = previous(rows, [key], [order], "current", "__prev")
-    return rows.withColumn("previous", F.coalesce("__prev", F.lit("UNKNOWN"))).drop("__ok", "__run", "__set", "__cur", "__prev", CHUNK)
+    rows = rows.withColumn("__set", named)
+    rows = carry_forward(rows, [key], [order], "__set", "__before", chunk, inclusive=False)
+    before = F.coalesce("__before", F.lit("UNKNOWN"))
+    return rows.withColumn("current", F.coalesce("__set", before)).withColumn("previous", before).drop("__ok", "__run", "__set", "__before")
 
 
 def health_transitions(df: DataFrame, order: str = "seq", key: str = "agent", chunk_size: float = 86_400) -> DataFrame:

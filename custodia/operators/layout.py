@@ -297,6 +297,7 @@ def write_with_layout(df: DataFrame, path: str, date_column: str | None = None,
     parts += list(list_columns)
     keys = [*parts, *cluster_by] + ([date_column] if date_column else [])
     if keys:
-        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        # the row hash comes last, so that even a single hot key value can be cut into ranges
+        df = df.repartitionByRange(*keys, F.xxhash64(*df.columns)).sortWithinPartitions(*keys)
     writer = df.write.mode(mode)
     (writer.partitionBy(*parts) if parts else writer).parquet(path)

@@ -51,8 +51,8 @@ def walk(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int = 3, for
             "root", F.lit(level).alias("level"), F.col("node").alias("parent"), F.col("__to").alias("node"),
             "relationship", "transformation", F.array_append("path", F.col("node")).alias("path"))
         if level < depth:
-            found = materialize(found, "walk")
-            if found.isEmpty():
+            found, rows_found = materialize(found, "walk")
+            if not rows_found:
                 break
         levels.append(found)
         frontier = found.select("root", "node", "path")
@@ -75,8 +75,8 @@ def reach(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int = 3, fo
                  .agg(F.min(F.struct(F.col("node").alias("parent"), "relationship", "transformation")).alias("via")))
         found = found.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("level"), "via.*")
         if level < depth:
-            found = materialize(found, "reach")
-            if found.isEmpty():
+            found, rows_found = materialize(found, "reach")
+            if not rows_found:
                 break
         levels.append(found)
         frontier = found.select("root", "node")
@@ -138,11 +138,11 @@ def find_path(edges: DataFrame, src: str, dst: str, max_nodes: int = MAX_DEPTH)
         step = frontier.join(hops, frontier["node"] == hops["__from"])
         found = step.groupBy(F.col("__to").alias("node")).agg(
             F.min(F.array_append("path", F.col("__to"))).alias("path"))
-        found = materialize(found.join(seen, "node", "left_anti"), "path")
+        found, rows_found = materialize(found.join(seen, "node", "left_anti"), "path")
         hit = found.where(F.col("node") == dst)
         if not hit.isEmpty():
             return hit.select("path")
-        if found.isEmpty():
+        if not rows_found:
             break
         frontier, seen = found, seen.unionAll(found.select("node"))
     return start.select("path").where(F.lit(False))
@@ -255,8 +255,8 @@ def trace_tree(spans: DataFrame, max_depth: int = 5) -> DataFrame:
                             F.array_append("path", F.col("__id")).alias("path"),
                             (F.col("total_ms") + F.col("__ms")).alias("total_ms"))
         if depth < max_depth:
-            found = materialize(found, "trace")
-            if found.isEmpty():
+            found, rows_found = materialize(found, "trace")
+            if not rows_found:
                 break
         levels.append(found)
         frontier = found

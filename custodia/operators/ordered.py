@@ -27,13 +27,6 @@ def chunk_of(df: DataFrame, order: str, size: float) -> Column:
     return F.floor(c / F.lit(size))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that treats null keys as equal; the right side's keys are dropped."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
@@ -75,15 +68,13 @@ def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out:
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                  chunk: Column | None = None) -> DataFrame:
-    """Last non-null ``value`` at or before each row."""
+                  chunk: Column | None = None, inclusive: bool = True) -> DataFrame:
+    """Last non-null ``value`` at or before each row (strictly before it with ``inclusive=False``)."""
     base = df if chunk is None else df.withColumn(CHUNK, chunk)
-    local = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ends = base.where(F.col(value).isNotNull()).groupBy(*keys, CHUNK).agg(
-        F.max_by(value, F.struct(*order)).alias("__end"))
-    # chunks without a value still need a row, so that the carry reaches them
-    chunks = base.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
-    ends = join_null_safe(chunks, ends, [*keys, CHUNK], "left")
+    local = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    # max_by skips rows without an ordering value, so a chunk without any value still yields its (null) row
+    ends = base.groupBy(*keys, CHUNK).agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__end"))
     rows = base.withColumn("__local", F.last(value, ignorenulls=True).over(local))
     rows = _carry(rows, keys, ends, F.last("__end", ignorenulls=True), "__in")
     rows = rows.withColumn(out, F.coalesce("__local", "__in")).drop("__local", "__in")
@@ -92,14 +83,35 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 def run_lengths(df: DataFrame, keys: list[str], order: list[str], flag: str, chunk: Column,
                 out: str = "run_length") -> DataFrame:
-    """Length so far of the run of equal ``flag`` values each row belongs to (gaps and islands)."""
-    rows = df.withColumn(CHUNK, chunk)
-    rows = numbered(rows, keys, order, "__row")
-    rows = previous(rows, keys, order, flag, "__prev")
-    starts = (F.col("__row") == 1) | ~F.col(flag).eqNullSafe(F.col("__prev"))
-    rows = rows.withColumn("__start", F.when(starts, F.col("__row")))
-    rows = carry_forward(rows, keys, order, "__start", "__begin")
-    return rows.withColumn(out, F.col("__row") - F.col("__begin") + 1).drop("__row", "__prev", "__start", "__begin", CHUNK)
+    """Length so far of the run of equal ``flag`` values each row belongs to (gaps and islands).
+
+    Runs are measured inside each chunk; one summary row per chunk tells how long the run is that enters it.
+    """
+    local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn(CHUNK, chunk).withColumn("__rn", F.row_number().over(local))
+    starts = (F.col("__rn") == 1) | ~F.col(flag).eqNullSafe(F.lag(flag).over(local))
+    rows = rows.withColumn("__begin", F.when(starts, F.col("__rn")))
+    rows = rows.withColumn("__begin", F.last("__begin", ignorenulls=True).over(so_far))
+
+    at = F.struct(*order)
+    ends = rows.groupBy(*keys, CHUNK).agg(
+        F.min_by(flag, at).alias("__first"), F.max_by(flag, at).alias("__last"), F.count(F.lit(1)).alias("__n"),
+        F.max(F.col("__begin")).alias("__tail_begin"))
+    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
+    # a chunk that is one single run and repeats the flag before it prolongs the run entering it
+    prolongs = (F.col("__tail_begin") == 1) & F.lag("__last").over(by_chunk).eqNullSafe(F.col("__first")) & (F.row_number().over(by_chunk) > 1)
+    ends = ends.withColumn("__island", F.when(prolongs, 0).otherwise(1))
+    ends = ends.withColumn("__island", F.sum("__island").over(by_chunk.rowsBetween(Window.unboundedPreceding, 0)))
+    tail = F.sum(F.col("__n") - F.col("__tail_begin") + 1).over(
+        Window.partitionBy(*keys, "__island").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumn("__tail", tail)
+    entering = ends.select(*keys, CHUNK, F.lag(F.struct(F.col("__last").alias("flag"), F.col("__tail").alias("n"))).over(by_chunk).alias("__in"))
+
+    rows = join_null_safe(rows, entering, [*keys, CHUNK], "left")
+    joins = F.col("__in").isNotNull() & (F.col("__begin") == 1) & F.col("__in.flag").eqNullSafe(F.col(flag))
+    length = F.col("__rn") - F.col("__begin") + 1 + F.when(joins, F.col("__in.n")).otherwise(0)
+    return rows.withColumn(out, length.cast("bigint")).drop("__rn", "__begin", "__in", CHUNK)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every operator is written against. They matter most on skewed keys: AQE splits hot join
 # partitions and coalesces small ones, and the advisory size keeps a reduce task inside executor memory.
@@ -54,13 +55,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark).rstrip('/')}/custodia/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared folder; return it as read back, with its row count.
 
     Cuts the lineage of an iterative plan so that a lost executor costs one stage, not the whole walk,
-    and gives Catalyst the true size of the data for its next join choice.
+    and gives Catalyst the true size of the data for its next join choice. The count is observed while
+    writing, so asking whether a frontier is empty costs no further job.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]

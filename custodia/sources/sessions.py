@@ -113,8 +113,12 @@ def read_sessions(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return df.withColumn("error_code", F.nullif(F.col("error_code"), F.lit(""))).select(*SESSION_SCHEMA.names)
 
 
-def write_sessions(df: DataFrame, path: str, fmt: str = "json", mode: str = "append", files_per_day: int = 1) -> None:
-    """Write by day. ``files_per_day`` spreads a large day over several tasks and files; body keeps ``""`` for no error."""
+def write_sessions(df: DataFrame, path: str, fmt: str = "json", mode: str = "append") -> None:
+    """Write by day; the body keeps ``""`` for no error.
+
+    Rows are rebalanced by day: small days become one file, a day larger than the advisory partition size is split
+    over several tasks and files.
+    """
     body = df.withColumn("error_code", F.coalesce("error_code", F.lit("")))
-    spread = F.pmod(F.xxhash64("session_id"), F.lit(files_per_day))
-    body.repartition(*SESSION_PARTITIONS, spread).write.mode(mode).partitionBy(*SESSION_PARTITIONS).format(fmt).save(path)
+    body.hint("rebalance", *[F.col(c) for c in SESSION_PARTITIONS]).write.mode(mode).partitionBy(
+        *SESSION_PARTITIONS).format(fmt).save(path)

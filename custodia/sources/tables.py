@@ -67,7 +67,7 @@ def export_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "erro
 
 def archive(df: DataFrame, path: str, category: str = "retention_category", mode: str = "append") -> None:
     """Cold-tier copy: gzip, one folder per retention category."""
-    df.write.mode(mode).option("compression", "gzip").partitionBy(category).parquet(path)
+    df.hint("rebalance", F.col(category)).write.mode(mode).option("compression", "gzip").partitionBy(category).parquet(path)
 
 
 def refresh_partitions(spark: SparkSession, table: str) -> None:
@@ -77,7 +77,8 @@ def refresh_partitions(spark: SparkSession, table: str) -> None:
 
 def write_audit(df: DataFrame, path: str) -> None:
     """Append audit rows, partitioned by event date (so retention drops whole folders)."""
-    df.withColumn("event_date", F.to_date("timestamp")).write.mode("append").partitionBy("event_date").parquet(path)
+    dated = df.withColumn("event_date", F.to_date("timestamp"))
+    dated.hint("rebalance", F.col("event_date")).write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
