@@ -282,9 +282,10 @@ def _(t):
 # requests, audit, health
 
 @check("t1_request_metrics", f"""WITH k AS (SELECT agent, capability, status, duration_ms, row_number() OVER (PARTITION BY agent, capability ORDER BY duration_ms) - 1 AS i, COUNT(*) OVER (PARTITION BY agent, capability) AS n FROM request_log)
- SELECT agent, capability, COUNT(*) AS requests, COUNT(*) FILTER (WHERE status = 'ERROR') AS errors, {rnd("100.0 * COUNT(*) FILTER (WHERE status = 'ERROR') / COUNT(*)", 2)} AS error_rate, {rnd('AVG(duration_ms)', 4)} AS avg_ms, MAX(CASE WHEN i = n // 2 THEN duration_ms END) AS p50_ms, MAX(CASE WHEN i = CAST(floor(n * 0.99::DOUBLE) AS BIGINT) THEN duration_ms END) AS p99_ms FROM k GROUP BY 1, 2""", "request_log")
+ SELECT agent, capability, COUNT(*) AS requests, COUNT(*) FILTER (WHERE status = 'ERROR') AS errors, {rnd("100.0 * COUNT(*) FILTER (WHERE status = 'ERROR') / COUNT(*)", 2)} AS error_rate, {rnd('SUM(duration_ms)', 2)} AS total_ms, MAX(CASE WHEN i = n // 2 THEN duration_ms END) AS p50_ms, MAX(CASE WHEN i = CAST(floor(n * 0.99::DOUBLE) AS BIGINT) THEN duration_ms END) AS p99_ms FROM k GROUP BY 1, 2""", "request_log")
 def _(t):
-    return events.request_metrics(t.request_log, exact=True).withColumn("avg_ms", F.round("avg_ms", 4))
+    out = events.request_metrics(t.request_log, exact=True)
+    return out.withColumn("total_ms", F.round(F.col("avg_ms") * F.col("requests"), 2)).drop("avg_ms")
 
 
 # The window restarts at each accepted success: follow the chain of accepted rows per key.

@@ -122,11 +122,11 @@ def _(t):
 
 
 @check("t1_request_metrics_stream", f"""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, * FROM request_log), m AS (SELECT MAX(ts) - INTERVAL 5 MINUTE AS mark FROM request_log)
- SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, agent, capability, COUNT(*) AS requests, COUNT(*) FILTER (WHERE status = 'ERROR') AS errors, {rnd("100.0 * COUNT(*) FILTER (WHERE status = 'ERROR') / COUNT(*)", 2)} AS error_rate, {rnd('AVG(duration_ms)', 4)} AS avg_ms FROM w, m WHERE s + INTERVAL 1 HOUR <= mark GROUP BY s, agent, capability""", "request_log")
+ SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, agent, capability, COUNT(*) AS requests, COUNT(*) FILTER (WHERE status = 'ERROR') AS errors, {rnd("100.0 * COUNT(*) FILTER (WHERE status = 'ERROR') / COUNT(*)", 2)} AS error_rate, {rnd('SUM(duration_ms)', 2)} AS total_ms FROM w, m WHERE s + INTERVAL 1 HOUR <= mark GROUP BY s, agent, capability""", "request_log")
 def _(t):
     stream = t.stream("request_log").withColumn("ts", F.col("ts").cast("timestamp"))
     out = st.run_available(st.request_metrics(stream, "1 hour"), "metrics")
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("window_start"), "agent", "capability", "requests", "errors", "error_rate", F.round("avg_ms", 4).alias("avg_ms"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("window_start"), "agent", "capability", "requests", "errors", "error_rate", F.round(F.col("avg_ms") * F.col("requests"), 2).alias("total_ms"))
 
 
 @check("t2_dedupe_requests_stream", TTL_SQL.format(key="agent || '/' || capability"), "request_log", recursive=True)

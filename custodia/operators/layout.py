@@ -48,12 +48,19 @@ DATE_TYPES = ["DATE", "HIVE_STYLE", "YEAR_MONTH_DAY", "DATE_HOUR"]
 # ---- paths ------------------------------------------------------------------------------------------------
 
 def bucket_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"^[a-z0-9]+://([^/]+)/", 1)
+    """Authority of ``scheme://bucket/key``."""
+    return F.split_part(path, F.lit("/"), F.lit(3))
+
+
+def folder_of(path: Column) -> Column:
+    """Everything up to and including the last slash."""
+    return F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)))
 
 
 def prefix_of(path: Column) -> Column:
-    """Folder part of an object path with its trailing slash; empty at the bucket root."""
-    return F.regexp_extract(path, r"^[a-z0-9]+://[^/]+/(.*/)?[^/]*$", 1)
+    """Folder part of an object key with its trailing slash; empty at the bucket root."""
+    root = F.length(F.substring_index(path, "/", 3)) + F.lit(2)
+    return F.substring(folder_of(path), root, F.length(path))
 
 
 def _samples(path: Column, regex: str, groups: int) -> Column:
@@ -94,8 +101,7 @@ def partition_cardinality(listing: DataFrame) -> DataFrame:
     distinct folders before any pattern is tried.
     """
     path = F.col("path")
-    folder = F.when(F.substring_index(path, "/", -1).contains("="), path).otherwise(
-        F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1))))
+    folder = F.when(F.substring_index(path, "/", -1).contains("="), path).otherwise(folder_of(path))
     folders = listing.select(folder.alias("path")).distinct()
     values = detect_path_partition(folders).select("column_name", "partition_type", F.explode("samples").alias("value"))
     return agg.sample_set(values, ["column_name", "partition_type"], "value", 10)
