@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.functions.numbers import count_true, pct
-from custodia.operators.ordered import top_per_key
+from custodia.operators.ordered import join_null_safe, top_per_key
 
 _AGGS = {
     "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max,
@@ -55,7 +55,7 @@ def sample_set(df: DataFrame, group: list[str], col: str, cap: int = 10) -> Data
     few = top_per_key(distinct, group, [F.col(col)], cap)
     samples = few.groupBy(*group).agg(F.sort_array(F.collect_list(col)).alias("samples"))
     sizes = distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("cardinality"))
-    return sizes.join(samples, group)
+    return join_null_safe(sizes, samples, group)
 
 
 def share_of_total(df: DataFrame, dims: list[str], out: str = "percentage", digits: int = 1,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from custodia import policies as P
 from custodia.functions.numbers import count_true, pct
 from custodia.functions.text import lit_map
-from custodia.operators.ordered import carry_forward, chunk_of, numbered, run_lengths
+from custodia.operators.ordered import carry_forward, chunk_of, join_null_safe, numbered, run_lengths
 from custodia.operators.quantiles import order_statistics
 
 # fixed values
@@ -35,7 +35,7 @@ def request_metrics(df: DataFrame, group: Sequence[str] = ("agent", "capability"
                                       F.percentile_approx("duration_ms", 0.99).alias("p99_ms"))
     ranks = order_statistics(df, group, "duration_ms", {
         "p50_ms": lambda n: F.floor(n / 2), "p99_ms": lambda n: F.floor(n * F.lit(0.99))}).drop("n")
-    return df.groupBy(*group).agg(*request_totals()).join(ranks, group)
+    return join_null_safe(df.groupBy(*group).agg(*request_totals()), ranks, group)
 
 
 def health_states(df: DataFrame, order: str = "seq", key: str = "agent", chunk_size: float = 86_400) -> DataFrame:

@@ -49,7 +49,7 @@ DATE_TYPES = ["DATE", "HIVE_STYLE", "YEAR_MONTH_DAY", "DATE_HOUR"]
 
 def bucket_of(path: Column) -> Column:
     """Authority of ``scheme://bucket/key``."""
-    return F.split_part(path, F.lit("/"), F.lit(3))
+    return F.substring_index(F.substring_index(path, "/", 3), "/", -1)
 
 
 def folder_of(path: Column) -> Column:
@@ -215,6 +215,12 @@ def _cuts(df: DataFrame, text: str, against: DataFrame, column: str, out: str) -
     return rows.withColumn(out, cut).drop("__len")
 
 
+def _starts(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Every start of every ``text``; for the short side only, since a row becomes as many as its text is long."""
+    cuts = F.transform(F.sequence(F.lit(0), F.length(text)), lambda n: F.substring(F.col(text), F.lit(1), n))
+    return df.select(F.explode(cuts).alias(out)).distinct()
+
+
 def uncatalogued_prefixes(found: DataFrame, catalog: DataFrame) -> DataFrame:
     """Prefixes not starting with any catalogued prefix of their bucket; an empty one covers the bucket."""
     known = catalog.select("bucket", F.col("prefix").alias("__cut")).distinct().withColumn("__hit", F.lit(True))
@@ -229,15 +235,14 @@ def not_covered(found: DataFrame, targets: DataFrame, column: str = "path") -> D
     rows = _cuts(found, column, t, "__t", "__cut").join(
         t.select(F.col("__t").alias("__cut"), F.lit(True).alias("__hit")), "__cut", "left")
     rest = rows.groupBy(*found.columns).agg(F.max("__hit").alias("__hit")).where("__hit IS NULL").drop("__hit")
-    starts = _cuts(t, "__t", found, column, column).select(column).distinct()
-    return rest.join(starts, column, "left_anti")
+    return rest.join(_starts(t, "__t", column), column, "left_anti")
 
 
 def containers_to_scan(containers: DataFrame, scanned: DataFrame, per_account: int = 5) -> DataFrame:
     """Storage containers no scan covers: first five per account by position, system containers skipped.
 
-    A container is covered when its address occurs in a scanned name (case ignored): the name is cut from its
-    address onwards to the lengths the containers have.
+    A container is covered when its address occurs in a scanned name (case ignored): the starts of the name, from
+    its address onwards, are joined by equality.
     """
     rows = top_per_key(containers, ["account"], [F.col("position"), F.col("container")], per_account)
     url = F.concat(F.lit("https://"), F.col("account"), F.lit(".blob.core.windows.net/"), F.col("container"))
@@ -245,8 +250,7 @@ def containers_to_scan(containers: DataFrame, scanned: DataFrame, per_account: i
     rows = rows.withColumn("__low", F.lower("path"))
     start = F.regexp_extract(F.lower("qualified_name"), r"(https://.*)$", 1)
     names = scanned.select(start.alias("__t")).distinct()
-    covered = _cuts(names, "__t", rows, "__low", "__low").select("__low").distinct()
-    return rows.join(covered, "__low", "left_anti").drop("__low")
+    return rows.join(_starts(names, "__t", "__low"), "__low", "left_anti").drop("__low")
 
 
 def database_name(bucket: Column, prefix: Column) -> Column:

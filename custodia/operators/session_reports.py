@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from custodia.functions.numbers import count_true, dbl, pct, rounded, safe_ratio
 from custodia.operators import aggregates as agg
-from custodia.operators.ordered import change_from_previous
+from custodia.operators.ordered import change_from_previous, join_null_safe
 from custodia.operators.quantiles import percentiles
 
 # fixed values: columns a session report may be grouped by
@@ -118,7 +118,7 @@ def performance(df: DataFrame, dims: list[str] = ["model_name", "language"], rng
     if exact:
         base = latency_by_model_language(df, dims, rng)
         p95 = percentiles(rows, dims, "latency_ms", {"p95": 0.95}, exact=True)
-        out = base.join(p95, dims).withColumn("p95_latency_ms", rounded(F.col("p95"), 2)).drop("p95")
+        out = join_null_safe(base, p95, dims).withColumn("p95_latency_ms", rounded(F.col("p95"), 2)).drop("p95")
     else:
         out = rows.groupBy(*dims).agg(
             _count().alias("sessions"), _avg("latency_ms", "avg_latency_ms"),
