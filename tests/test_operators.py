@@ -172,3 +172,36 @@ def test_build_catalog(spark):
     rows = catalog.build_catalog(spark, ["default"]).where("table_name = 'catalog_probe'").collect()
     assert [(r["column_name"], r["data_type"]) for r in sorted(rows, key=lambda r: r["ordinal"])] == [("id", "bigint"), ("name", "string")]
     spark.catalog.dropTempView("catalog_probe")
+
+
+def test_user_supplied_source(spark):
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Rows(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(i) for i in range(3)]
+
+        def read(self, partition):
+            yield (partition.value, f"part-{partition.value}")
+
+    class Inventory(DataSource):
+        @classmethod
+        def name(cls):
+            return "inventory_probe"
+
+        def schema(self):
+            return "id int, label string"
+
+        def reader(self, schema):
+            return Rows()
+
+    tab.register_source(spark, Inventory)
+    assert sorted(r["label"] for r in spark.read.format("inventory_probe").load().collect()) == ["part-0", "part-1", "part-2"]
+
+
+def test_groups_with_null_keys_are_kept(spark):
+    from custodia.operators import aggregates, quantiles
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
+    got = {r["k"]: r["p50"] for r in quantiles.percentiles(df, ["k"], "v", {"p50": 0.5}, exact=True).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+    assert {r["k"]: r["cardinality"] for r in aggregates.sample_set(df, ["k"], "v", 5).collect()} == {None: 2, "a": 1}
