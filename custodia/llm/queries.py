@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import exact_dedup
-from custodia.llm.common import table
+from custodia.llm import exact_dedup, url_filter, warc
+from custodia.llm.common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,38 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+
+
+#: verdict, host, path
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, weights).select(
+        "page_id", "host", "path", "rule", "verdict", "score")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to FROM f"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_captures(pages, path)
+    kind = dict(pages.dtypes)["page_id"]
+    captures = warc.transactions(warc.read_records(spark, path))
+    size = F.regexp_extract("response.http_header", r"(?im)^content-length: *([0-9]+)", 1).cast("long")
+    return captures.select(
+        warc.field(F.col("metadata"), "page-id").cast(kind).alias("page_id"),
+        F.when(F.col("record_type") == "revisit", size).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.when(F.col("record_type") == "revisit", F.regexp_replace("response.payload_digest", "^sha256:", ""))
+        .otherwise(F.col("response.payload_sha256")).alias("payload_digest"),
+        "record_type", F.when(F.col("record_type") == "revisit", warc.field(F.col("origin"), "page-id").cast(kind)).alias("refers_to"))
