@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import exact_dedup, url_filter, warc
+from custodia.llm import exact_dedup, quality, url_filter, warc
 from custodia.llm.common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("record_type") == "revisit", F.regexp_replace("response.payload_digest", "^sha256:", ""))
         .otherwise(F.col("response.payload_sha256")).alias("payload_digest"),
         "record_type", F.when(F.col("record_type") == "revisit", warc.field(F.col("origin"), "page-id").cast(kind)).alias("refers_to"))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
