@@ -127,8 +127,12 @@ def groups(docs: DataFrame) -> DataFrame:
     done = None
     while True:
         sizes = left.groupBy(*key).agg(F.max(F.struct("doc_id", "x")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-        sizes = sizes.select(*key, F.col("top.doc_id").alias("keep_id"), F.col("top.x").alias("keep_x"), "group_size")
-        marked = left.join(sizes, key)
+        sizes = sizes.where("group_size > 1").select(*key, F.col("top.doc_id").alias("k_id"), F.col("top.x").alias("k_x"), "group_size")
+        # written first: the join's two sides are then dealt out for it alone, and AQE can split a hot text
+        sizes, _ = materialize(sizes, "sizes")
+        marked = left.join(sizes, key, "left").select(
+            "doc_id", "x", "n_bytes", "text_sha256", F.expr("if(group_size IS NULL, doc_id, k_id)").alias("keep_id"), F.col("k_x").alias("keep_x"),
+            F.coalesce("group_size", F.lit(1)).alias("group_size"))
         need = marked.where("group_size > 1 AND n_bytes > 0").select("doc_id", "x", "keep_id", "keep_x").distinct()
         # the texts that share a fingerprint, in bounded pieces; one row of each (doc_id, text)
         cand = need.join(texts, need.doc_id.eqNullSafe(texts.doc_id) & (need.x == texts.x)).select(
