@@ -66,7 +66,9 @@ def test_odd_texts(spark, reference):
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "c"), (1, "c")], "doc_id long, text string").coalesce(1)
     rows = packing.pack(df, PATH).collect()
-    assert sorted((str(r.doc_id), r.offset) for r in rows) == [("1", 3), ("1", 5), ("None", 0)]
+    # seven ids; sequences of four, two and one need no padding
+    assert [(r.doc_id, r.start, r.length, r.offset) for r in rows] == [(None, 0, 3, 0), (1, 0, 1, 3), (1, 1, 1, 0), (1, 0, 1, 1), (1, 1, 1, 0)]
+    assert len({r.sequence_id for r in rows}) == 3
 
 
 def test_cuts_are_best():
