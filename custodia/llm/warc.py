@@ -8,6 +8,7 @@ files and cut by Content-Length, never by what a payload might contain.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm.common import ready
+from custodia.llm.common import materialize, ready
 
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 100
@@ -73,12 +74,19 @@ def write_captures(pages: DataFrame, path: str, date: str = EPOCH) -> None:
                        F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")),
                        "application/warc-fields", uri, date, beside)
     (rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-     .write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
+     .option("compression", "gzip").text(path))
 
 
-def parse(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
+def archive(content: bytes | None) -> bytes:
+    """A file's records: gzip in any number of members, or plain."""
+    content = content or b""
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+
+
+def parse(whole: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
     """The records of an uncompressed archive: header fields by lower-case name, and the block."""
-    at, whole = 0, bytes(data)
+    at, data = 0, memoryview(whole)
     while True:
         at = whole.find(b"WARC/1.", at)
         if at < 0:
@@ -107,7 +115,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for cell in batch.column(0):
             rows, held = [], 0
-            for fields, block in parse(memoryview(cell.as_buffer()) if cell.is_valid else memoryview(b"")):
+            for fields, block in parse(archive(cell.as_py())):
                 head, payload = "", bytes(block)
                 if fields.get("content-type", "").startswith("application/http"):
                     top, _, payload = payload.partition(b"\r\n\r\n")
@@ -141,11 +149,15 @@ def transactions(records: DataFrame) -> DataFrame:
     main = records.where("record_type IN ('response', 'revisit')").select(
         F.col("record_id").alias("capture_id"), "record_type", "target_uri", "refers_to",
         F.struct("warc_date", "payload_digest", "http_header", "payload", "payload_bytes", "payload_sha256").alias("response"))
-    metadata = part("metadata", F.col("payload").cast("string").alias("fields"))
+    # written: small rows, read twice, and the joins below then shuffle plain inputs, which AQE splits at a hot origin
+    metadata, _ = materialize(part("metadata", F.col("payload").cast("string").alias("fields")), "metadata")
     request = part("request", "http_header")
+    whole = main.join(request, "capture_id", "left").join(metadata, "capture_id", "left")
     origin = metadata.select(F.col("capture_id").alias("refers_to"), F.col("metadata").alias("origin"))
-    return (main.join(request, "capture_id", "left").join(metadata, "capture_id", "left").join(origin, "refers_to", "left")
-            .select("capture_id", "record_type", "target_uri", "refers_to", "response", "request", "metadata", "origin"))
+    out = ["capture_id", "record_type", "target_uri", "refers_to", "response", "request", "metadata", "origin"]
+    # only what refers to a record is dealt out by that record
+    refers = whole.where("refers_to IS NOT NULL").join(origin, "refers_to", "left").select(*out)
+    return refers.union(whole.where("refers_to IS NULL").withColumn("origin", F.lit(None).cast(refers.schema["origin"].dataType)).select(*out))
 
 
 def field(metadata: Column, name: str) -> Column:
