@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import byte_bpe, exact_dedup, packing, pii, quality, simhash, url_filter, warc
+from custodia.llm import byte_bpe, exact_dedup, packing, pii, pq_dedup, quality, simhash, url_filter, warc
 from custodia.llm.common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(ids, path, pattern).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_pq_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.groups(table(spark, sf_dir, "embeddings"))
