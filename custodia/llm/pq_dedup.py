@@ -23,7 +23,7 @@ from custodia.llm.common import connected_components, materialize, ready
 
 THRESHOLD = 0.93
 #: Coarse lists, lists visited, subspaces, codes of each, vectors of each dimension that the codebooks are fitted to (by hash).
-LISTS, PROBES, SUBSPACES, CODES, SAMPLE = 64, 12, 8, 64, 20_000
+LISTS, PROBES, SUBSPACES, CODES, SAMPLE = 64, 6, 8, 64, 20_000
 #: Queries and members that meet in one tile.
 TILE = 2000
 
@@ -86,7 +86,7 @@ def fit(classes: DataFrame, sample: int = SAMPLE) -> dict[int, Codebooks]:
     return out
 
 
-def _place(books: dict[int, Codebooks], probes: int):
+def _place(books: dict[int, Codebooks], probes: int, kind: str):
     """(cid, label, n, dim, embedding) -> a row per list visited: list, home (the class's own), code, error, probes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +104,7 @@ def _place(books: dict[int, Codebooks], probes: int):
                 for k in range(visits.shape[1]):
                     yield pa.RecordBatch.from_pandas(pd.DataFrame({
                         "cid": part["cid"].to_numpy(), "label": part["label"].to_numpy(), "n": part["n"].to_numpy(), "dim": dim,
-                        "list": visits[:, k], "home": visits[:, 0], "member": k == 0, "vector": [v.astype("<f8").tobytes() for v in x],
+                        "list": visits[:, k], "home": visits[:, 0], "member": k == 0, "vector": [v.astype(kind).tobytes() for v in x],
                         "code": [c.tobytes() for c in codes], "error": errors, "visits": lists}), schema=_PLACED, preserve_index=False)
     return run
 
@@ -128,7 +128,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         low = now
 
 
-def _tile(books: dict[int, Codebooks], threshold: float):
+def _tile(books: dict[int, Codebooks], threshold: float, kind: str):
     """A tile's links: per class the copies it links to, and its tree edge in the tile's forest."""
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-7
 
@@ -138,7 +138,7 @@ def _tile(books: dict[int, Codebooks], threshold: float):
         if not len(members) or not len(queries):
             return empty
         dim, at = int(rows["dim"].iloc[0]), int(rows["list"].iloc[0])
-        stack = lambda part: np.frombuffer(b"".join(part["vector"]), "<f8").reshape(len(part), dim)
+        stack = lambda part: np.frombuffer(b"".join(part["vector"]), kind).reshape(len(part), dim)
         q, m = stack(queries), stack(members)
         uq, um = unit(q), unit(m)
         if dim in books:
@@ -178,8 +178,10 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES
     """(cid, links, root) rows, several per class: vectors linked in a tile and a node of the same component."""
     spark = ready(classes.sparkSession)
     books = spark.sparkContext.broadcast(fit(classes))  # bounded: 8 dimensions of LISTS centroids and SUBSPACES x CODES codes
+    # components as they are stored: floats need half the room of doubles
+    kind = "<f4" if classes.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     rows = classes.select("cid", F.col("label").cast("string").alias("label"), "n", "dim", "embedding")
-    placed, _ = materialize(rows.mapInArrow(lambda batches: _place(books.value, probes)(batches), _PLACED_SQL), "placed")
+    placed, _ = materialize(rows.mapInArrow(lambda batches: _place(books.value, probes, kind)(batches), _PLACED_SQL), "placed")
     spot = ["label", "dim", "list"]
     sizes = placed.groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("nq"), F.ceil(F.sum(F.col("member").cast("int")) / tile).cast("int").alias("nm"))
     sizes, _ = materialize(sizes.where("nm > 0"), "tiles")
@@ -188,7 +190,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES
     queries = sized.withColumn("as_member", F.lit(False)).withColumn("tq", F.pmod("salt", "nq").cast("int")).withColumn("tm", grid("nm"))
     members = sized.where("member").withColumn("as_member", F.lit(True)).withColumn("tm", F.pmod("salt", "nm").cast("int")).withColumn("tq", grid("nq"))
     tiles = queries.unionByName(members).select(*spot, "tq", "tm", "as_member", "cid", "n", "home", "vector", "code", "error", "visits")
-    return tiles.groupBy(*spot, "tq", "tm").applyInPandas(lambda pdf: _tile(books.value, threshold)(pdf), "cid long, links long, root long")
+    return tiles.groupBy(*spot, "tq", "tm").applyInPandas(lambda pdf: _tile(books.value, threshold, kind)(pdf), "cid long, links long, root long")
 
 
 def groups(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, tile: int = TILE) -> DataFrame:
