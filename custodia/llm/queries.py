@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import byte_bpe, exact_dedup, packing, pii, pq_dedup, quality, simhash, url_filter, warc
+from custodia.llm import byte_bpe, exact_dedup, html_extract, packing, pii, pq_dedup, quality, simhash, url_filter, warc
 from custodia.llm.common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pq_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.train()).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
