@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.registry import check, rnd
 from custodia.functions import masks
 from custodia.operators import catalog as cat
+from custodia.operators.ordered import top_per_key
 from custodia.operators import layout as lay
 from custodia.operators import profiling as prof
 
@@ -19,7 +20,7 @@ def _tags(t):
  + (CASE WHEN tags LIKE '%revenue%' THEN 0.3 ELSE 0 END)) AS score FROM catalog_tables)
  SELECT table_name, 'table' AS type, description, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, table_name LIMIT 10""", CT)
 def _(t):
-    return cat.search_catalog(_tags(t), "Revenue")
+    return cat.search_catalog(_tags(t), "Revenue", 10)
 
 
 @check("c2_search_glob", "SELECT table_id, table_name FROM catalog_tables WHERE catalog_name = 'cat0' AND lower(table_name) GLOB '*_log_?*'", CT)
@@ -122,6 +123,17 @@ _SCAN = "SELECT 'src:HTTPS://Acct' || CAST(p_partkey % 97 AS VARCHAR) || '.blob.
 @check("j6_containers_to_scan", f"""WITH c AS ({_CONT}), s AS ({_SCAN}), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY account ORDER BY position) <= 5),
  u AS (SELECT *, 'https://' || account || '.blob.core.windows.net/' || container AS path FROM f WHERE NOT starts_with(container, '$') AND container <> 'insights-logs')
  SELECT account, container, position, path FROM u WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(qualified_name), lower(path)))""")
+def _(t):
+    c = t.part.selectExpr("concat('acct', CAST(p_partkey % 97 AS STRING)) AS account",
+                          "CASE WHEN p_size % 9 = 0 THEN '$root' WHEN p_size % 9 = 1 THEN 'insights-logs' ELSE concat(replace(p_name, ' ', '-'), '-', CAST(p_partkey % 11 AS STRING)) END AS container", "p_partkey AS position")
+    s = t.part.where("p_partkey % 3 = 0").selectExpr("concat('src:HTTPS://Acct', CAST(p_partkey % 97 AS STRING), '.blob.core.windows.net/', replace(p_name, ' ', '-'), '-', CAST(p_partkey % 11 AS STRING), '/f') AS qualified_name")
+    # the reference's own cut, five containers of each account before anything else
+    return lay.containers_to_scan(top_per_key(c, ["account"], [F.col("position"), F.col("container")], 5), s)
+
+
+@check("j6_containers_to_scan_all", f"""WITH c AS ({_CONT}), s AS ({_SCAN}),
+ u AS (SELECT *, 'https://' || account || '.blob.core.windows.net/' || container AS path FROM c WHERE NOT starts_with(container, '$') AND container <> 'insights-logs')
+ SELECT account, container, position, path FROM u WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(qualified_name), lower(path)))""")
 def _(t):
     c = t.part.selectExpr("concat('acct', CAST(p_partkey % 97 AS STRING)) AS account",
                           "CASE WHEN p_size % 9 = 0 THEN '$root' WHEN p_size % 9 = 1 THEN 'insights-logs' ELSE concat(replace(p_name, ' ', '-'), '-', CAST(p_partkey % 11 AS STRING)) END AS container", "p_partkey AS position")
@@ -294,12 +306,12 @@ def _(t):
 
 @check("p13_assets_by_type", "SELECT table_type, COUNT(*) AS assets FROM catalog_tables GROUP BY 1 ORDER BY assets DESC, table_type LIMIT 5", CT)
 def _(t):
-    return prof.assets_by_type(t.catalog_tables)
+    return prof.assets_by_type(t.catalog_tables, 5)
 
 
 @check("p13_largest_tables", "SELECT table_id, table_name, bytes FROM catalog_tables WHERE bytes > 0 ORDER BY bytes DESC, table_id LIMIT 5", CT)
 def _(t):
-    return prof.largest_tables(t.catalog_tables)
+    return prof.largest_tables(t.catalog_tables, 5)
 
 
 # layout
@@ -381,8 +393,17 @@ def _(t):
 
 
 @check("d8_catalog_gap_suggestions", f"""WITH p AS ({_PFX}), u AS (SELECT bucket, prefix FROM p WHERE NOT EXISTS (SELECT 1 FROM {_CATSQL} WHERE kb = bucket AND starts_with(prefix, kp))),
- f AS (SELECT *, 's3://' || bucket || '/' || prefix AS path FROM u QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY prefix) <= 3)
+ v AS (SELECT *, 's3://' || bucket || '/' || prefix AS path FROM u),
+ f AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM (VALUES {', '.join(f"('{x}')" for x in _TARGETS)}) k(tp) WHERE starts_with(path, tp) OR starts_with(tp, path)) QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY prefix) <= 3)
  SELECT bucket, prefix, path, substr(lower(regexp_replace(regexp_replace(regexp_replace(bucket || '_' || prefix, '/+$', ''), '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g')), 1, 128) AS database_name
+ FROM f""", OL)
+def _(t):
+    return lay.catalog_gap_suggestions(t.object_listing, _catalog(t), t.spark.createDataFrame([(x,) for x in _TARGETS], "path string"), 3)
+
+
+@check("d8_catalog_gap_suggestions_all", f"""WITH p AS ({_PFX}), u AS (SELECT bucket, prefix FROM p WHERE NOT EXISTS (SELECT 1 FROM {_CATSQL} WHERE kb = bucket AND starts_with(prefix, kp))),
+ f AS (SELECT *, 's3://' || bucket || '/' || prefix AS path FROM u)
+ SELECT bucket, prefix, path, lower(regexp_replace(regexp_replace(regexp_replace(bucket || '_' || prefix, '/+$', ''), '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g')) AS database_name
  FROM f WHERE NOT EXISTS (SELECT 1 FROM (VALUES {', '.join(f"('{x}')" for x in _TARGETS)}) k(tp) WHERE starts_with(path, tp) OR starts_with(tp, path))""", OL)
 def _(t):
     return lay.catalog_gap_suggestions(t.object_listing, _catalog(t), t.spark.createDataFrame([(x,) for x in _TARGETS], "path string"))

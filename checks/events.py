@@ -403,9 +403,15 @@ def _(t):
     return paging.union_distinct(t.orders.selectExpr("o_custkey AS k"), t.customer.selectExpr("c_custkey AS k"))
 
 
+@check("u3_except_bag", "SELECT o_orderpriority AS k FROM orders EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
+def _(t):
+    rows = t.orders.selectExpr("o_orderpriority AS k", "o_orderstatus AS s")
+    return paging.except_all(rows.select("k"), rows.where("s = 'F'").select("k"))
+
+
 @check("u3_except_all", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def _(t):
-    return paging.except_all(t.customer.selectExpr("c_custkey AS k"), t.orders.where("o_orderstatus = 'F'").selectExpr("o_custkey AS k"))
+    return paging.except_distinct(t.customer.selectExpr("c_custkey AS k"), t.orders.where("o_orderstatus = 'F'").selectExpr("o_custkey AS k"))
 
 
 @check("u4_deduplicate", "SELECT o_custkey, o_orderpriority, MIN(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2")

@@ -154,4 +154,39 @@ def _(t):
  k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY total DESC, len(path) DESC, path DESC) AS rn, COUNT(*) OVER (PARTITION BY trace_id) AS reached, MAX(depth) OVER (PARTITION BY trace_id) AS d FROM w)
  SELECT trace_id, reached, d AS depth, total AS critical_ms, array_to_string(path, '>') AS critical_path FROM k WHERE rn = 1""", "spans")
 def _(t):
-    return ln.trace_tree(t.spans).withColumn("critical_path", F.array_join("critical_path", ">"))
+    return ln.trace_tree(t.spans, 5).withColumn("critical_path", F.array_join("critical_path", ">")).drop("truncated")
+
+
+# a chain of all nations: deeper than any default
+_CHAIN = "SELECT n_nationkey AS span_id, CASE WHEN n_nationkey > 0 THEN n_nationkey - 1 END AS parent_span_id, n_nationkey + 1 AS duration_ms FROM nation"
+
+
+def _chain(t):
+    return t.nation.selectExpr("1 AS trace_id", "n_nationkey AS span_id", "CASE WHEN n_nationkey > 0 THEN n_nationkey - 1 END AS parent_span_id", "n_nationkey + 1 AS duration_ms")
+
+
+@check("t12_trace_tree_deep", f"SELECT 1 AS trace_id, COUNT(*) AS reached, CAST(COUNT(*) AS INT) AS depth, CAST(SUM(duration_ms) AS BIGINT) AS critical_ms, false AS truncated FROM ({_CHAIN})")
+def _(t):
+    return ln.trace_tree(_chain(t)).drop("critical_path").withColumn("critical_ms", F.col("critical_ms").cast("bigint"))
+
+
+@check("t12_trace_tree_cut", f"SELECT 1 AS trace_id, CAST(7 AS BIGINT) AS reached, 7 AS depth, true AS truncated FROM ({_CHAIN}) WHERE span_id = 0")
+def _(t):
+    return ln.trace_tree(_chain(t), 7).drop("critical_path", "critical_ms")
+
+
+_NATION_EDGES = "SELECT 'n' || (n_nationkey - 1) AS src, 'n' || n_nationkey AS dst FROM nation WHERE n_nationkey > 0"
+
+
+def _nation_edges(t):
+    return t.nation.where("n_nationkey > 0").selectExpr("concat('n', n_nationkey - 1) AS src", "concat('n', n_nationkey) AS dst", "'next' AS relationship", "CAST(NULL AS STRING) AS transformation")
+
+
+@check("n6_find_path_long", "SELECT string_agg('n' || n_nationkey, ' > ' ORDER BY n_nationkey) AS path FROM nation")
+def _(t):
+    return ln.find_path(_nation_edges(t), "n0", "n24").select(F.array_join("path", " > ").alias("path"))
+
+
+@check("n2_downstream_all_levels", "SELECT 'n0' AS root, 'n' || n_nationkey AS node, CAST(n_nationkey AS INT) AS level FROM nation WHERE n_nationkey > 0")
+def _(t):
+    return ln.downstream(_nation_edges(t), ["n0"], None).select("root", "node", "level")

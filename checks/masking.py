@@ -92,6 +92,16 @@ def _(t):
     return red.redaction_report(t.customers_pii.select(*_COLS), CLASSES, ["analyst"])
 
 
+@check("m12_redact_maps", """SELECT id, '[REDACTED]' AS deep_ssn, name AS deep_name, CAST(NULL AS INT) AS number, 1 AS other, '[REDACTED]' AS inner_ssn FROM customers_pii""", C)
+def _(t):
+    doc = t.customers_pii.select("id", F.struct(
+        F.create_map(F.lit("p"), F.struct(F.col("phone").alias("ssn"), F.col("name"))).alias("m"), F.create_map(F.lit("ssn"), F.lit(7), F.lit("q"), F.lit(1)).alias("k"),
+        F.create_map(F.lit("a"), F.create_map(F.lit("ssn"), F.col("phone"))).alias("n")).alias("d"))
+    out = red.redact_paths(doc, ["d.m.*.ssn", "d.k.ssn", "d.n.*.ssn"])
+    return out.select("id", F.expr("d.m['p'].ssn").alias("deep_ssn"), F.expr("d.m['p'].name").alias("deep_name"), F.expr("d.k['ssn']").alias("number"),
+                      F.expr("d.k['q']").alias("other"), F.expr("d.n['a']['ssn']").alias("inner_ssn"))
+
+
 @check("m12_redact_paths", """SELECT id, '[REDACTED]' AS contact_email, phone AS contact_phone, '[REDACTED]' AS first_key, '[REDACTED]' AS second_token, name AS label FROM customers_pii""", C)
 def _(t):
     doc = t.customers_pii.select("id", F.struct(
@@ -255,6 +265,12 @@ def _(t):
     return flt.role_row_filters(t.customers_pii, ["a", "b"], "customers", config).select("id", "country")
 
 
+@check("f5_unknown_role", "SELECT 'nobody' AS role, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'admin', COUNT(*) FROM customers_pii", C)
+def _(t):
+    seen = [flt.role_row_filters(t.customers_pii, [role], "customers").agg(F.count(F.lit(1)).alias("n")).select(F.lit(role).alias("role"), "n") for role in ("nobody", "admin")]
+    return seen[0].unionAll(seen[1])
+
+
 @check("f6_viewer_region_filter", "SELECT id FROM customers_pii WHERE lower(region) IN ('europe', 'latam')", C)
 def _(t):
     return flt.viewer_region_filter(t.customers_pii.withColumn("region", F.lower("region")), ["viewer"]).select("id")

@@ -26,12 +26,12 @@ DAY = "concat(year, '-', month, '-', day)"
 
 @check("a1_session_count", f"SELECT language, source, COUNT(*) AS sessions, {FAM} AS unique_families FROM session_logs GROUP BY ALL ORDER BY sessions DESC, language, source LIMIT 50", S)
 def _(t):
-    return sr.session_count(t.session_logs, ["language", "source"])
+    return sr.session_count(t.session_logs, ["language", "source"], limit=50)
 
 
 @check("a1_session_count_january_week", f"SELECT region, COUNT(*) AS sessions, {FAM} AS unique_families FROM session_logs WHERE year = '2024' AND month = '01' AND day BETWEEN '08' AND '14' GROUP BY ALL ORDER BY sessions DESC, region LIMIT 50", S)
 def _(t):
-    return sr.session_count(t.session_logs, ["region"], filters.partition_range("2024-01-08", "2024-01-14"))
+    return sr.session_count(t.session_logs, ["region"], filters.partition_range("2024-01-08", "2024-01-14"), 50)
 
 
 @check("a2_session_totals", f"SELECT COUNT(*) AS total_sessions, {FAM} AS unique_families, {KID} AS unique_children FROM session_logs", S)
@@ -72,17 +72,17 @@ _TREND = f"COUNT(*) AS sessions, {FAM} AS active_families, {COST} AS daily_cost,
 
 @check("a8_trend_daily", f"SELECT {DAY} AS date, {_TREND} ORDER BY date DESC LIMIT 90", S)
 def _(t):
-    return sr.trend_daily(t.session_logs)
+    return sr.trend_daily(t.session_logs, limit=90)
 
 
 @check("a9_trend_hourly", f"SELECT concat({DAY}, ' ', substr(timestamp, 12, 2), ':00') AS hour, language, {_TREND} ORDER BY hour DESC, language LIMIT 90", S)
 def _(t):
-    return sr.trend_hourly(t.session_logs, ["language"])
+    return sr.trend_hourly(t.session_logs, ["language"], limit=90)
 
 
 @check("a10_trend_weekly", f"SELECT strftime(date_trunc('week', CAST(substr(timestamp, 1, 19) AS TIMESTAMP)), '%Y-%m-%d') AS week, {_TREND} ORDER BY week DESC LIMIT 90", S)
 def _(t):
-    return sr.trend_weekly(t.session_logs)
+    return sr.trend_weekly(t.session_logs, limit=90)
 
 
 @check("a11_trend_ymd", f"SELECT year, month, day, COUNT(*) AS sessions, {FAM} AS active_families, {COST} AS daily_cost, {LAT0} AS avg_latency_ms FROM session_logs GROUP BY ALL ORDER BY year DESC, month DESC, day DESC LIMIT 14", S)
@@ -128,12 +128,12 @@ def _(t):
 
 @check("a17_error_breakdown", f"SELECT error_code, model_name, COUNT(*) AS occurrences, {SHARE} AS percentage FROM session_logs WHERE NOT success AND error_code IS NOT NULL AND error_code <> '' GROUP BY error_code, model_name ORDER BY occurrences DESC, error_code, model_name LIMIT 20", S)
 def _(t):
-    return sr.error_breakdown(t.session_logs)
+    return sr.error_breakdown(t.session_logs, 20)
 
 
 @check("a18_error_impact", f"SELECT error_code, COUNT(*) AS occurrences, {FAM} AS affected_families FROM session_logs WHERE error_code <> '' GROUP BY ALL ORDER BY occurrences DESC, error_code LIMIT 10", S)
 def _(t):
-    return sr.error_impact(t.session_logs)
+    return sr.error_impact(t.session_logs, 10)
 
 
 @check("a19_status_distribution", f"SELECT COALESCE(NULLIF(error_code, ''), 'Success') AS status, COUNT(*) AS count, {SHARE} AS percentage FROM session_logs GROUP BY 1", S)
@@ -143,7 +143,7 @@ def _(t):
 
 @check("a20_overview", f"SELECT language, region, COUNT(*) AS sessions, {FAM} AS families, {COST} AS total_cost, {LAT} AS avg_latency_ms, {RATE1} AS success_rate FROM session_logs GROUP BY ALL ORDER BY sessions DESC, language, region LIMIT 20", S)
 def _(t):
-    return sr.overview(t.session_logs)
+    return sr.overview(t.session_logs, 20)
 
 
 @check("a21_language_report", f"SELECT language, region, COUNT(*) AS sessions, {FAM} AS families, {COST} AS total_cost, {AVGC} AS avg_cost_per_session FROM session_logs GROUP BY ALL", S)
@@ -163,7 +163,7 @@ def _(t):
 
 @check("a24_by_language", f"SELECT language, COUNT(*) AS sessions, {FAM} AS families, {COST} AS cost, {LAT0} AS avg_latency FROM session_logs GROUP BY ALL ORDER BY sessions DESC, language LIMIT 10", S)
 def _(t):
-    return sr.by_language(t.session_logs)
+    return sr.by_language(t.session_logs, 10)
 
 
 @check("a24_by_model", f"SELECT model_name, COUNT(*) AS sessions, {COST} AS total_cost, {AVGC} AS avg_cost, {TIN} AS input_tokens, {TOUT} AS output_tokens, {LAT0} AS avg_latency FROM session_logs GROUP BY ALL", S)
@@ -233,7 +233,7 @@ def _(t):
 
 @check("a33_generic_aggregate", "SELECT region, SUM(amount) AS total_amount, COUNT(*) AS count FROM revenue WHERE year(transaction_date) = 1997 GROUP BY ALL ORDER BY total_amount DESC, region LIMIT 10000", "revenue")
 def _(t):
-    return revenue.generic_aggregate(t.revenue, ["region"], ["SUM", "COUNT"], 1997, "DESC")
+    return revenue.generic_aggregate(t.revenue, ["region"], ["SUM", "COUNT"], 1997, "DESC", 10_000)
 
 
 @check("a33_generic_aggregate_global", f"SELECT SUM(amount) AS total_amount, COUNT(*) AS count FROM revenue", "revenue")
@@ -257,7 +257,7 @@ def _(t):
 
 @check("a35_language_shares", f"SELECT language, COUNT(*) AS sessions, {SHARE} AS percentage FROM session_logs GROUP BY language ORDER BY sessions DESC, language LIMIT 5", S)
 def _(t):
-    return sr.language_shares(t.session_logs)
+    return sr.language_shares(t.session_logs, 5)
 
 
 @check("a35_model_costs", f"SELECT model_name, COUNT(*) AS sessions, {COST} AS total_cost FROM session_logs GROUP BY ALL", S)
@@ -267,17 +267,17 @@ def _(t):
 
 @check("a36_quick_check_cost", f"SELECT model_name, COUNT(*) AS sessions, {COST} AS total_cost FROM session_logs GROUP BY ALL ORDER BY total_cost DESC, model_name LIMIT 5", S)
 def _(t):
-    return sr.quick_checks(t.session_logs)["cost_by_model"]
+    return sr.quick_checks(t.session_logs, 5, 7)["cost_by_model"]
 
 
 @check("a36_quick_check_language", "SELECT language, COUNT(*) AS sessions FROM session_logs GROUP BY ALL ORDER BY sessions DESC, language LIMIT 5", S)
 def _(t):
-    return sr.quick_checks(t.session_logs)["sessions_by_language"]
+    return sr.quick_checks(t.session_logs, 5, 7)["sessions_by_language"]
 
 
 @check("a36_quick_check_days", f"SELECT year, month, day, COUNT(*) AS sessions, {COST} AS daily_cost FROM session_logs GROUP BY ALL ORDER BY year DESC, month DESC, day DESC LIMIT 7", S)
 def _(t):
-    return sr.quick_checks(t.session_logs)["last_days"]
+    return sr.quick_checks(t.session_logs, 5, 7)["last_days"]
 
 
 @check("a37_monthly_trend", f"SELECT concat(year, '-', month) AS month, COUNT(*) AS sessions, {FAM} AS active_families, {COST} AS total_cost FROM session_logs GROUP BY 1", S)
@@ -301,6 +301,52 @@ def _(t):
     return sr.peak_hours(t.session_logs)
 
 
+# the same reports without a limit
+
+@check("a1_session_count_all", f"SELECT family_id_hash, COUNT(*) AS sessions, {FAM} AS unique_families FROM session_logs GROUP BY ALL", S)
+def _(t):
+    return sr.session_count(t.session_logs, ["family_id_hash"])
+
+
+@check("a9_trend_hourly_all", f"SELECT concat({DAY}, ' ', substr(timestamp, 12, 2), ':00') AS hour, language, {_TREND}", S)
+def _(t):
+    return sr.trend_hourly(t.session_logs, ["language"])
+
+
+@check("a9_trend_hourly_periods", f"""WITH t AS (SELECT concat({DAY}, ' ', substr(timestamp, 12, 2), ':00') AS hour, language, {_TREND})
+ SELECT * FROM t WHERE hour IN (SELECT DISTINCT hour FROM t ORDER BY hour DESC LIMIT 48)""", S)
+def _(t):
+    return sr.trend_hourly(t.session_logs, ["language"], periods=48)
+
+
+@check("a17_error_breakdown_all", f"SELECT error_code, model_name, COUNT(*) AS occurrences, {SHARE} AS percentage FROM session_logs WHERE NOT success AND error_code IS NOT NULL AND error_code <> '' GROUP BY error_code, model_name", S)
+def _(t):
+    return sr.error_breakdown(t.session_logs)
+
+
+@check("a20_overview_all", f"SELECT language, region, COUNT(*) AS sessions, {FAM} AS families, {COST} AS total_cost, {LAT} AS avg_latency_ms, {RATE1} AS success_rate FROM session_logs GROUP BY ALL", S)
+def _(t):
+    return sr.overview(t.session_logs)
+
+
+@check("a36_quick_check_days_all", f"SELECT year, month, day, COUNT(*) AS sessions, {COST} AS daily_cost FROM session_logs GROUP BY ALL", S)
+def _(t):
+    return sr.quick_checks(t.session_logs)["last_days"]
+
+
+def _near(col, exact, approx, bound=0.06):
+    """1 where a sketch is within its error bound of the exact value; 5 % is the sketch's own deviation, small counts are near exact."""
+    return (F.abs(F.col(approx) - F.col(exact)) <= F.greatest(F.lit(1.0), F.col(exact) * 3 * bound)).cast("int").alias(col)
+
+
+@check("a22_kpi_summary_sketch", f"SELECT COUNT(*) AS total_sessions, 1 AS families_near, 1 AS children_near FROM session_logs", S)
+def _(t):
+    exact, sketch = sr.kpi_summary(t.session_logs), sr.kpi_summary(t.session_logs, approx=True)
+    both = exact.select("total_sessions", F.col("unique_families").alias("ef"), F.col("unique_children").alias("ec")).join(
+        sketch.select("total_sessions", F.col("unique_families").alias("sf"), F.col("unique_children").alias("sc")), "total_sessions")
+    return both.select("total_sessions", _near("families_near", "ef", "sf"), _near("children_near", "ec", "sc"))
+
+
 # generic aggregation surface
 
 @check("g_basic_aggs", "SELECT o_orderpriority, COUNT(*) AS n, MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi, SUM(CAST(o_totalprice AS DECIMAL(15,2))) AS total FROM orders GROUP BY ALL")

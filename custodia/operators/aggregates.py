@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from custodia.functions.numbers import count_true, pct
 from custodia.operators.ordered import join_null_safe, top_per_key
+from custodia.session import materialize
 
 _AGGS = {
     "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max,
@@ -58,12 +59,17 @@ def sample_set(df: DataFrame, group: list[str], col: str, cap: int = 10) -> Data
     return join_null_safe(sizes, samples, group)
 
 
-def share_of_total(df: DataFrame, dims: list[str], out: str = "percentage", digits: int = 1,
-                   count_name: str = "sessions") -> DataFrame:
-    """Row count per group and its share of all rows.
+def with_share(grouped: DataFrame, count: str, out: str = "percentage", digits: int = 1) -> DataFrame:
+    """``grouped`` with each row's share of the sum of ``count``.
 
-    The total is a scalar subquery: no unpartitioned window and no join over the groups.
+    The groups are written to the shared folder first, so the source is scanned (and, for JSON, parsed) once
+    at any size; the total is then a scalar subquery over the groups, which never meet in one task.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    grouped = df.groupBy(*dims).agg(F.count(F.lit(1)).alias(count_name))
-    return grouped.withColumn(out, pct(F.col(count_name), total, digits))
+    groups, _ = materialize(grouped, "groups")
+    return groups.withColumn(out, pct(F.col(count), groups.agg(F.sum(count)).scalar(), digits))
+
+
+def share_of_total(df: DataFrame, dims: list[str], out: str = "percentage", digits: int = 1,
+                   count_name: str = "sessions") -> DataFrame:
+    """Row count per group and its share of all rows, from one scan."""
+    return with_share(df.groupBy(*dims).agg(F.count(F.lit(1)).alias(count_name)), count_name, out, digits)

@@ -26,7 +26,7 @@ TYPE_NAMES = {
 }
 
 
-def search_catalog(tables: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def search_catalog(tables: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """Best matches for a word: 0.8 for the name, 0.5 for the description, 0.3 for any tag, capped at 1."""
     q = query.lower()
     in_tags = F.exists("tags", lambda t: F.lower(t).contains(q))
@@ -34,8 +34,8 @@ def search_catalog(tables: DataFrame, query: str, limit: int = 10) -> DataFrame:
               + F.when(F.lower("description").contains(q), 0.5).otherwise(0.0)
               + F.when(in_tags, 0.3).otherwise(0.0))
     out = tables.withColumn("score", F.least(points, F.lit(1.0))).where("score > 0")
-    return (out.select("table_name", F.lit("table").alias("type"), "description", "score")
-            .orderBy(F.desc("score"), "table_name").limit(limit))
+    out = out.select("table_name", F.lit("table").alias("type"), "description", "score").orderBy(F.desc("score"), "table_name")
+    return out if limit is None else out.limit(limit)
 
 
 def search_glob(tables: DataFrame, pattern: str, catalog: str | None = None, schema: str | None = None) -> DataFrame:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from custodia.session import ship_package
+
 _NEVER = -(2 ** 62)
 
 
@@ -129,12 +131,16 @@ def dedupe_requests(df: DataFrame, key: Column, ts: str, request_id: str, failed
                     chunk_ttls: int = 16) -> DataFrame:
     """Per request: executed, or served from the cached result of an earlier successful request.
 
-    Failures are not cached, but a failure inside the window of a success is served the success.
+    Failures are not cached, but a failure inside the window of a success is served the success. A request
+    without a time or a key can neither serve nor be served: it is executed.
     """
+    ship_package(df.sparkSession)
     ttl, width = ttl_seconds * 1_000_000, ttl_seconds * chunk_ttls * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = df.select(key.alias("k"), F.floor(us / F.lit(width)).alias("c"), us.alias("us"),
                      F.col(request_id).cast("string").alias("id"), F.col(request_id).alias("o"), (~failed).alias("ok"))
+    loose = rows.where("us IS NULL OR k IS NULL").select("id", F.lit(True).alias("executed"), F.lit(None).cast("string").alias("served_by"))
+    rows = rows.where("us IS NOT NULL AND k IS NOT NULL")
     spread = rows.repartition("k", "c")
     good = spread.where("ok").sortWithinPartitions("k", "c", "us", "o").select("k", "c", "us", "id")
     exits = good.mapInPandas(_transfer(ttl, width), "k string, c bigint, upto bigint, exit_us bigint, exit_id string")
@@ -167,4 +173,4 @@ def dedupe_requests(df: DataFrame, key: Column, ts: str, request_id: str, failed
     out = joined.select("k", "c", "us", "id", "ok", "entry_us", "entry_id").mapInPandas(
         _replay(ttl, width), "id string, executed boolean, served_by string")
     kind = df.schema[request_id].dataType
-    return out.select(F.col("id").cast(kind).alias(request_id), "executed", F.col("served_by").cast(kind).alias("served_by"))
+    return out.unionByName(loose).select(F.col("id").cast(kind).alias(request_id), "executed", F.col("served_by").cast(kind).alias("served_by"))

@@ -70,10 +70,10 @@ def ewma_latency(df: DataFrame, order: str = "seq", key: str = "agent", value: s
     """
     rows = df.where(F.col("status") == "HEALTHY").select(key, order, F.col(value).alias("__x"))
     seeds = rows.where("__x <> 0").groupBy(key).agg(F.min(order).alias("__seed"))
-    rows = rows.join(seeds, key).where(F.col(order) >= F.col("__seed")).drop("__seed")
+    rows = join_null_safe(rows, seeds, [key]).where(F.col(order) >= F.col("__seed")).drop("__seed")
     rows = numbered(rows, [key], [order], "__i", chunk_of(rows, order, chunk_size))
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(sizes, key)
+    rows = join_null_safe(rows, sizes, [key])
     weight = F.when(F.col("__i") == 1, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(F.lit(1.0 - alpha), F.col("n") - F.col("__i"))
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("checks"), F.sum(F.col("__x") * weight).alias("ewma_ms"))
 

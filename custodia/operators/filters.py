@@ -70,7 +70,9 @@ def row_filter_template(df: DataFrame, column: str, values: Sequence[object] | N
 
 def role_row_filters(df: DataFrame, roles: Sequence[str], table: str,
                      config: Mapping[str, Mapping] = P.RBAC_ROLES) -> DataFrame:
-    """Per column of ``table``, rows whose value is allowed by any of the roles. Unknown roles add nothing."""
+    """Per column of ``table``, rows whose value is allowed by any of the roles. Unknown roles add nothing; without a known one no row is left."""
+    if not any(role in config for role in roles):
+        return df.where(F.lit(False))
     allowed: dict[str, list] = {}
     for role in roles:
         for key, values in config.get(role, {}).get("row_filters", {}).items():
@@ -83,7 +85,10 @@ def role_row_filters(df: DataFrame, roles: Sequence[str], table: str,
 
 
 def viewer_region_filter(df: DataFrame, roles: Sequence[str], regions: Sequence[str] = P.VIEWER_REGIONS,
-                         column: str = "region") -> DataFrame:
+                         column: str = "region", known: Sequence[str] = (*P.RBAC_ROLES, "viewer")) -> DataFrame:
+    """Viewers see ``regions``; other known roles see every row, and a user without a known role sees none."""
+    if not any(role in known for role in roles):
+        return df.where(F.lit(False))
     if "viewer" in roles and "admin" not in roles:
         return df.where(F.col(column).isin(list(regions)))
     return df

@@ -63,17 +63,18 @@ def prefix_of(path: Column) -> Column:
     return F.substring(folder_of(path), root, F.length(path))
 
 
-def _samples(path: Column, regex: str, groups: int) -> Column:
-    """Up to five matches, each as its captured values joined by slashes."""
-    found = F.slice(F.regexp_extract_all(path, F.lit(regex), F.lit(1 if groups == 1 else 0)), 1, 5)
+def _samples(path: Column, regex: str, groups: int, most: int | None) -> Column:
+    """Matches (the first ``most``), each as its captured values joined by slashes."""
+    found = F.regexp_extract_all(path, F.lit(regex), F.lit(1 if groups == 1 else 0))
+    found = found if most is None else F.slice(found, 1, most)
     if groups == 1:
         return found
     joined = "/".join(f"${g}" for g in range(1, groups + 1))
     return F.transform(found, lambda m: F.regexp_replace(m, regex, joined))
 
 
-def detect_path_partition(listing: DataFrame) -> DataFrame:
-    """First matching pattern per path: column, type, granularity and up to five sample values.
+def detect_path_partition(listing: DataFrame, most: int | None = 5) -> DataFrame:
+    """First matching pattern per path: column, type, granularity and sample values (the first ``most`` of the path).
 
     The number of the pattern is found first with plain tests, paths without one are dropped, and only the matching
     pattern extracts its samples. The number comes out of a generator, because a filter on a plain column would be
@@ -84,7 +85,7 @@ def detect_path_partition(listing: DataFrame) -> DataFrame:
     for i, (regex, groups, *_) in enumerate(PATH_PATTERNS):
         rx = "(?i)" + regex if "=" in regex else regex
         which = which.when(path.contains("=") & path.rlike(rx) if "=" in regex else path.rlike(rx), i + 1)
-        samples = samples.when(number == i + 1, _samples(path, rx, groups))
+        samples = samples.when(number == i + 1, _samples(path, rx, groups, most))
     def named(values: list) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), number)
     rows = listing.select("*", F.explode(F.array(which)).alias("__n")).where(number.isNotNull())
@@ -103,7 +104,7 @@ def partition_cardinality(listing: DataFrame) -> DataFrame:
     path = F.col("path")
     folder = F.when(F.substring_index(path, "/", -1).contains("="), path).otherwise(folder_of(path))
     folders = listing.select(folder.alias("path")).distinct()
-    values = detect_path_partition(folders).select("column_name", "partition_type", F.explode("samples").alias("value"))
+    values = detect_path_partition(folders, None).select("column_name", "partition_type", F.explode("samples").alias("value"))
     return agg.sample_set(values, ["column_name", "partition_type"], "value", 10)
 
 
@@ -238,33 +239,37 @@ def not_covered(found: DataFrame, targets: DataFrame, column: str = "path") -> D
     return rest.join(_starts(t, "__t", column), column, "left_anti")
 
 
-def containers_to_scan(containers: DataFrame, scanned: DataFrame, per_account: int = 5) -> DataFrame:
-    """Storage containers no scan covers: first five per account by position, system containers skipped.
+def containers_to_scan(containers: DataFrame, scanned: DataFrame, per_account: int | None = None) -> DataFrame:
+    """Storage containers no scan covers, system containers skipped; ``per_account`` keeps the first of those by position.
 
     A container is covered when its address occurs in a scanned name (case ignored): the starts of the name, from
     its address onwards, are joined by equality.
     """
-    rows = top_per_key(containers, ["account"], [F.col("position"), F.col("container")], per_account)
+    rows = containers
     url = F.concat(F.lit("https://"), F.col("account"), F.lit(".blob.core.windows.net/"), F.col("container"))
     rows = rows.withColumn("path", url).where(~F.col("container").startswith("$") & ~F.col("container").isin(SYSTEM_CONTAINERS))
     rows = rows.withColumn("__low", F.lower("path"))
     start = F.regexp_extract(F.lower("qualified_name"), r"(https://.*)$", 1)
     names = scanned.select(start.alias("__t")).distinct()
-    return rows.join(_starts(names, "__t", "__low"), "__low", "left_anti").drop("__low")
+    left = rows.join(_starts(names, "__t", "__low"), "__low", "left_anti").drop("__low")
+    return left if per_account is None else top_per_key(left, ["account"], [F.col("position"), F.col("container")], per_account)
 
 
 def database_name(bucket: Column, prefix: Column) -> Column:
     raw = F.regexp_replace(F.concat(bucket, F.lit("_"), prefix), "/+$", "")
-    return F.substring(F.lower(F.regexp_replace(F.regexp_replace(raw, "[^a-zA-Z0-9_]", "_"), "_+", "_")), 1, 128)
+    name = F.lower(F.regexp_replace(F.regexp_replace(raw, "[^a-zA-Z0-9_]", "_"), "_+", "_"))
+    # catalogs allow 128 characters; a longer name ends in a hash of all of it, so that no two gaps share one
+    return F.when(F.length(name) <= 128, name).otherwise(F.concat(F.substring(name, 1, 95), F.lit("_"), F.md5(raw)))
 
 
-def catalog_gap_suggestions(listing: DataFrame, catalog: DataFrame, crawlers: DataFrame, per_bucket: int = 3) -> DataFrame:
-    """Up to three uncatalogued prefixes per bucket that no crawler covers, with a database name for each."""
+def catalog_gap_suggestions(listing: DataFrame, catalog: DataFrame, crawlers: DataFrame, per_bucket: int | None = None) -> DataFrame:
+    """Uncatalogued prefixes that no crawler covers, with a database name for each; ``per_bucket`` keeps the first of those."""
     gaps = uncatalogued_prefixes(prefixes(listing), catalog)
     gaps = gaps.where(~contains_any(F.lower("bucket"), SKIPPED_BUCKETS))
-    few = top_per_key(gaps, ["bucket"], [F.col("prefix")], per_bucket)
-    few = few.withColumn("path", F.concat(F.lit("s3://"), F.col("bucket"), F.lit("/"), F.col("prefix")))
-    return not_covered(few, crawlers).withColumn("database_name", database_name(F.col("bucket"), F.col("prefix")))
+    gaps = gaps.withColumn("path", F.concat(F.lit("s3://"), F.col("bucket"), F.lit("/"), F.col("prefix")))
+    left = not_covered(gaps, crawlers)
+    left = left if per_bucket is None else top_per_key(left, ["bucket"], [F.col("prefix")], per_bucket)
+    return left.withColumn("database_name", database_name(F.col("bucket"), F.col("prefix")))
 
 
 # ---- reports ----------------------------------------------------------------------------------------------

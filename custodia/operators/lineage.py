@@ -2,24 +2,25 @@
 
 Walks run level by level as equi-joins of the frontier with the edges. Each finished level is written to the
 shared folder (see ``session.materialize``), which stops the plan from growing, tells Catalyst the real size of
-the frontier and lets the walk end as soon as a level is empty. Nothing is collected; depth is bounded.
+the frontier and lets the walk end as soon as a level is empty. Nothing is collected. A depth of None walks until
+that happens: a node, or a node of a path, is never expanded twice, so cycles end too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.session import materialize
 
-MAX_DEPTH = 10
 
-
-def _check_depth(depth: int) -> None:
-    if not 1 <= depth <= MAX_DEPTH:
-        raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
+def _levels(depth: int | None, first: int = 1) -> Iterable[int]:
+    if depth is not None and depth < 1:
+        raise ValueError("depth must be at least 1")
+    return count(first) if depth is None else range(first, depth + 1)
 
 
 def _roots(edges: DataFrame, roots: Sequence[str] | DataFrame) -> DataFrame:
@@ -34,23 +35,22 @@ def _directed(edges: DataFrame, forward: bool) -> DataFrame:
     return edges.select(F.col(a).alias("__from"), F.col(b).alias("__to"), "relationship", "transformation")
 
 
-def walk(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int = 3, forward: bool = True) -> DataFrame:
+def walk(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int | None = 3, forward: bool = True) -> DataFrame:
     """Every edge of every path from the roots, up to ``depth`` edges.
 
     One row per edge and path: an edge reached over two paths appears twice. A path never expands a node twice,
     but the edge that closes a cycle is still reported.
     """
-    _check_depth(depth)
     hops = _directed(edges, forward)
     frontier = _roots(edges, roots).select("root", F.col("root").alias("node"),
                                            F.array().cast("array<string>").alias("path"))
     levels: list[DataFrame] = []
-    for level in range(1, depth + 1):
+    for level in _levels(depth):
         live = frontier.where(~F.array_contains("path", F.col("node")))
         found = live.join(hops, live["node"] == hops["__from"]).select(
             "root", F.lit(level).alias("level"), F.col("node").alias("parent"), F.col("__to").alias("node"),
             "relationship", "transformation", F.array_append("path", F.col("node")).alias("path"))
-        if level < depth:
+        if depth is None or level < depth:
             found, rows_found = materialize(found, "walk")
             if not rows_found:
                 break
@@ -62,19 +62,18 @@ def walk(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int = 3, for
     return out
 
 
-def reach(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int = 3, forward: bool = True) -> DataFrame:
+def reach(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int | None = 3, forward: bool = True) -> DataFrame:
     """Each reachable node once, at its first level, with the smallest edge that leads to it there."""
-    _check_depth(depth)
     hops = _directed(edges, forward)
     seen = _roots(edges, roots).select("root", F.col("root").alias("node"))
     frontier = seen
     levels: list[DataFrame] = []
-    for level in range(1, depth + 1):
+    for level in _levels(depth):
         found = (frontier.join(hops, frontier["node"] == hops["__from"])
                  .groupBy("root", F.col("__to").alias("node"))
                  .agg(F.min(F.struct(F.col("node").alias("parent"), "relationship", "transformation")).alias("via")))
         found = found.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("level"), "via.*")
-        if level < depth:
+        if depth is None or level < depth:
             found, rows_found = materialize(found, "reach")
             if not rows_found:
                 break
@@ -87,20 +86,20 @@ def reach(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int = 3, fo
     return out
 
 
-def upstream(edges: DataFrame, roots, depth: int = 3, paths: bool = False) -> DataFrame:
+def upstream(edges: DataFrame, roots, depth: int | None = 3, paths: bool = False) -> DataFrame:
     """Sources of the roots; ``paths`` keeps one row per path instead of one per node."""
     return walk(edges, roots, depth, forward=False) if paths else reach(edges, roots, depth, forward=False)
 
 
-def downstream(edges: DataFrame, roots, depth: int = 3, paths: bool = False) -> DataFrame:
+def downstream(edges: DataFrame, roots, depth: int | None = 3, paths: bool = False) -> DataFrame:
     return walk(edges, roots, depth) if paths else reach(edges, roots, depth)
 
 
-def impact_analysis(edges: DataFrame, roots, depth: int = 3) -> DataFrame:
+def impact_analysis(edges: DataFrame, roots, depth: int | None = 3) -> DataFrame:
     return reach(edges, roots, depth)
 
 
-def lineage(edges: DataFrame, roots, depth: int = 3) -> DataFrame:
+def lineage(edges: DataFrame, roots, depth: int | None = 3) -> DataFrame:
     """Both directions: (root, node, direction, distance)."""
     up = reach(edges, roots, depth, forward=False).select("root", "node", F.lit("upstream").alias("direction"),
                                                           F.col("level").alias("distance"))
@@ -126,15 +125,15 @@ def has_lineage(uris: DataFrame, edges: DataFrame) -> DataFrame:
     return uris.join(nodes(edges), "uri", "left_semi")
 
 
-def find_path(edges: DataFrame, src: str, dst: str, max_nodes: int = MAX_DEPTH) -> DataFrame:
-    """Shortest downstream path as an array of URIs, or no row. The smallest path wins among equals."""
+def find_path(edges: DataFrame, src: str, dst: str, max_nodes: int | None = None) -> DataFrame:
+    """Shortest downstream path (of at most ``max_nodes``) as an array of URIs, or no row. The smallest path wins among equals."""
     spark = edges.sparkSession
     start = spark.createDataFrame([(src, [src])], "node string, path array<string>")
     if src == dst:
         return start.select("path")
     hops = edges.select(F.col("src").alias("__from"), F.col("dst").alias("__to"))
     seen, frontier = start.select("node"), start
-    for _ in range(max_nodes - 1):
+    for _ in _levels(max_nodes, 2):
         step = frontier.join(hops, frontier["node"] == hops["__from"])
         found = step.groupBy(F.col("__to").alias("node")).agg(
             F.min(F.array_append("path", F.col("__to"))).alias("path"))
@@ -152,7 +151,7 @@ def domain_of(uri: Column) -> Column:
     return F.regexp_extract(uri, r"^catalog://([^.]+)\.", 1)
 
 
-def lineage_summary(edges: DataFrame, root: str, depth: int = 3) -> DataFrame:
+def lineage_summary(edges: DataFrame, root: str, depth: int | None = 3) -> DataFrame:
     """Totals and depth per direction, domains touched and the longest downstream path."""
     near = lineage(edges, [root], depth)
     totals = near.agg(
@@ -167,7 +166,7 @@ def lineage_summary(edges: DataFrame, root: str, depth: int = 3) -> DataFrame:
     return totals.withColumn("critical_path", longest.select("best.path").scalar())
 
 
-def lineage_graph(edges: DataFrame, root: str, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def lineage_graph(edges: DataFrame, root: str, depth: int | None = 3) -> tuple[DataFrame, DataFrame]:
     """Node table (uri, direction, distance, is_root) and the edges between those nodes."""
     near = lineage(edges, [root], depth)
     start = edges.sparkSession.createDataFrame([(root, "root", 0)], "uri string, direction string, distance int")
@@ -183,7 +182,7 @@ def column_key(dataset: Column, column: Column) -> Column:
     return F.concat_ws("#", dataset, column)
 
 
-def column_lineage(col_edges: DataFrame, target_dataset: str, target_column: str, depth: int = 3) -> DataFrame:
+def column_lineage(col_edges: DataFrame, target_dataset: str, target_column: str, depth: int | None = 3) -> DataFrame:
     """Source columns of one column, nearest first, with the transformation of the edge used."""
     edges = col_edges.select(
         column_key(F.col("source_dataset"), F.col("source_column")).alias("src"),
@@ -237,8 +236,8 @@ def lineage_consistency(up: DataFrame, down: DataFrame) -> DataFrame:
             .unionAll(b.exceptAll(a).withColumn("missing_in", F.lit("upstream"))))
 
 
-def trace_tree(spans: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Per trace: spans reached from its roots, depth and the slowest root-to-leaf path within ``max_depth``.
+def trace_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Per trace: spans reached from its roots, depth and the slowest root-to-leaf path, and whether ``max_depth`` cut deeper ones off.
 
     The same frontier walk, keyed by (trace_id, span_id), so a trace with very many spans is spread over tasks.
     """
@@ -248,22 +247,29 @@ def trace_tree(spans: DataFrame, max_depth: int = 5) -> DataFrame:
         "trace_id", F.col("__id").alias("span_id"), F.lit(1).alias("depth"), F.array("__id").alias("path"),
         F.col("__ms").alias("total_ms"))
     levels = [frontier]
-    for depth in range(2, max_depth + 1):
+    open_ends = None
+    for depth in _levels(max_depth, 2):
         step = frontier.withColumnRenamed("trace_id", "__trace").join(
             child, (F.col("__trace") == F.col("trace_id")) & (F.col("span_id") == F.col("__parent")))
         found = step.select("trace_id", F.col("__id").alias("span_id"), F.lit(depth).alias("depth"),
                             F.array_append("path", F.col("__id")).alias("path"),
                             (F.col("total_ms") + F.col("__ms")).alias("total_ms"))
-        if depth < max_depth:
-            found, rows_found = materialize(found, "trace")
-            if not rows_found:
-                break
+        found, rows_found = materialize(found, "trace")
+        if not rows_found:
+            break
         levels.append(found)
         frontier = found
+    if max_depth is not None:
+        last = levels[-1].where(F.col("depth") == max_depth).select(F.col("trace_id").alias("__trace"), "span_id")
+        open_ends = last.join(child, (F.col("__trace") == F.col("trace_id")) & (F.col("span_id") == F.col("__parent"))).select("trace_id", F.lit(True).alias("__cut")).distinct()
     rows = levels[0]
     for part in levels[1:]:
         rows = rows.unionAll(part)
     best = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("depth"),
                                         F.max(F.struct("total_ms", F.size("path").alias("n"), "path")).alias("best"))
+    if open_ends is None:
+        best = best.withColumn("truncated", F.lit(False))
+    else:
+        best = best.join(open_ends, "trace_id", "left").withColumn("truncated", F.coalesce("__cut", F.lit(False)))
     return best.select("trace_id", "reached", "depth", F.col("best.total_ms").alias("critical_ms"),
-                       F.col("best.path").alias("critical_path"))
+                       F.col("best.path").alias("critical_path"), "truncated")

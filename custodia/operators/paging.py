@@ -21,9 +21,9 @@ def top_k(df: DataFrame, keys: Sequence[tuple[str, str]], n: int) -> DataFrame:
 
 
 def _size(page_size: int) -> int:
-    if page_size < 1:
-        raise ValueError("page size must be positive")
-    return min(page_size, MAX_PAGE_SIZE)
+    if not 1 <= page_size <= MAX_PAGE_SIZE:
+        raise ValueError(f"page size must be between 1 and {MAX_PAGE_SIZE}")
+    return page_size
 
 
 def paginate(df: DataFrame, order: Sequence[str], page: int = 1, page_size: int = 100) -> DataFrame:
@@ -74,11 +74,16 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def except_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` that ``b`` does not have (set difference)."""
+def except_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of ``a`` that ``b`` does not have (set difference)."""
     return a.select(*b.columns).subtract(b)
 
 
+def except_all(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` less as many equal rows as ``b`` has (bag difference)."""
+    return a.select(*b.columns).exceptAll(b)
+
+
 def missing_values(required: Column, present: Column) -> Column:
     return F.array_except(required, present)
 

@@ -307,11 +307,13 @@ def catalog_rollup(tables: DataFrame, columns: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n_columns"), F.lit(0)).alias("columns"), F.sum("bytes").alias("bytes")])
 
 
-def assets_by_type(tables: DataFrame, n: int = 5) -> DataFrame:
+def assets_by_type(tables: DataFrame, n: int | None = None) -> DataFrame:
     out = tables.groupBy("table_type").agg(F.count(F.lit(1)).alias("assets"))
-    return out.orderBy(F.desc("assets"), "table_type").limit(n)
+    out = out.orderBy(F.desc("assets"), "table_type")
+    return out if n is None else out.limit(n)
 
 
-def largest_tables(tables: DataFrame, n: int = 5) -> DataFrame:
+def largest_tables(tables: DataFrame, n: int | None = None) -> DataFrame:
     out = tables.where("bytes > 0").select("table_id", "table_name", "bytes")
-    return out.orderBy(F.desc("bytes"), "table_id").limit(n)
+    out = out.orderBy(F.desc("bytes"), "table_id")
+    return out if n is None else out.limit(n)

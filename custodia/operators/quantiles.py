@@ -9,23 +9,50 @@ from pyspark.sql import functions as F
 
 from custodia.operators.ordered import join_null_safe
 
-# Bins per doubling of the value. Only per-bin totals of a group meet in one task.
-BINS_PER_OCTAVE = 4096
+# First cut: bins per doubling of the magnitude, at every magnitude. Second cut: equal steps inside a bin.
+BINS_PER_OCTAVE = 1024
+STEPS = 4096
 
 
 def _bin(value: Column) -> Column:
-    """Monotone bin number: logarithmic in magnitude, close to linear around zero."""
+    """Monotone bin number: logarithmic in magnitude, NaN above everything as in Spark's own order."""
     v = value.cast("double")
-    size = F.floor(F.log2(F.abs(v) + 1.0) * BINS_PER_OCTAVE)
-    return F.when(v < 0, -size).otherwise(size)
+    # exponents lie between -1074 and 1024, so the shifted bin of any magnitude is positive
+    size = F.floor((F.log2(F.abs(v)) + 1100.0) * BINS_PER_OCTAVE)
+    top = F.lit(3_000_000).cast("bigint")
+    size = F.when(F.abs(v) == float("inf"), top).otherwise(size)
+    return F.when(F.isnan(v), top + 1).when(v == 0, F.lit(0).cast("bigint")).when(v < 0, -size).otherwise(size)
+
+
+def _locate(counts: DataFrame, keys: list[str], spot: str, wants: DataFrame | None, ranks: dict) -> DataFrame:
+    """Rows of ``counts`` in the bins ``spot`` that hold a wanted rank, with those ranks and the rank where the bin begins.
+
+    Only the totals of a group's bins meet in one task. ``wants`` are the outer bins found before; None at first.
+    """
+    outer = keys if wants is None else [*keys, "__outer"]
+    bins = counts.groupBy(*outer, spot).agg(F.sum("__n").alias("__bn"))
+    upto = Window.partitionBy(*outer).orderBy(spot).rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("__hi", F.sum("__bn").over(upto))
+    if wants is None:
+        bins = bins.withColumn("__total", F.sum("__bn").over(Window.partitionBy(*keys)))
+        bins = bins.withColumn("__all_ranks", F.array(*[
+            F.struct(F.lit(name).alias("name"), fn(F.col("__total")).cast("bigint").alias("rank")) for name, fn in ranks.items()]))
+        bins = bins.withColumn("__base", F.lit(0).cast("bigint"))
+    else:
+        bins = join_null_safe(bins, wants, outer)
+    lo, hi = F.col("__base") + F.col("__hi") - F.col("__bn"), F.col("__base") + F.col("__hi")
+    hits = (bins.withColumn("__want", F.filter("__all_ranks", lambda r: (r["rank"] >= lo) & (r["rank"] < hi))).where(F.size("__want") > 0)
+            .select(*outer, spot, "__want", "__total", lo.alias("__lo")))
+    return join_null_safe(counts, hits, [*outer, spot])
 
 
 def order_statistics(df: DataFrame, group: list[str], col: str,
                      ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Exact values at the requested 0-based ranks: ``ranks`` maps a name to a function of the row count.
 
-    Equal values are counted before any shuffle of rows, bin totals locate the bin of each rank, and only the
-    distinct values of those bins are sorted. No group is ever sorted as a whole.
+    Equal values are counted before any shuffle of rows. Bin totals locate the bin of each rank, steps inside that
+    bin locate it further, and only the distinct values of those steps are sorted: of a million values in one bin,
+    a few hundred. No group is ever sorted as a whole.
     """
     counts = (df.where(F.col(col).isNotNull())
               .groupBy(*group, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
@@ -33,18 +60,18 @@ def order_statistics(df: DataFrame, group: list[str], col: str,
     keys = group or ["__all"]
     if not group:
         counts = counts.withColumn("__all", F.lit(0))
-    bins = counts.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__bn"))
-    upto = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = (bins.withColumn("__hi", F.sum("__bn").over(upto))
-            .withColumn("__total", F.sum("__bn").over(Window.partitionBy(*keys))))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), fn(F.col("__total")).cast("bigint").alias("rank"))
-                       for name, fn in ranks.items()])
-    lo = F.col("__hi") - F.col("__bn")
-    hits = (bins.withColumn("__want", F.filter(wanted, lambda r: (r["rank"] >= lo) & (r["rank"] < F.col("__hi"))))
-            .where(F.size("__want") > 0)
-            .select(*keys, "__bin", "__want", "__total", lo.alias("__lo")))
-    picked = join_null_safe(counts, hits, [*keys, "__bin"])
-    inside = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    near = _locate(counts, keys, "__bin", None, ranks)
+    # the same once more with equal steps between the ends of each bin
+    near = near.withColumnRenamed("__bin", "__outer")
+    outer = [*keys, "__outer"]
+    ends = near.groupBy(*outer).agg(F.min("__v").cast("double").alias("__min"), F.max("__v").cast("double").alias("__max"), F.first("__want").alias("__all_ranks"),
+                                    F.first("__total").alias("__total"), F.first("__lo").alias("__base"))
+    v = F.col("__v").cast("double")
+    step = F.when(F.col("__max") > F.col("__min"), F.least(F.floor((v - F.col("__min")) / (F.col("__max") - F.col("__min")) * STEPS), F.lit(STEPS - 1))).otherwise(0)
+    near = near.select(*outer, "__v", "__n")
+    stepped = join_null_safe(near, ends.select(*outer, "__min", "__max"), outer).withColumn("__step", F.coalesce(step.cast("bigint"), F.lit(0).cast("bigint")))
+    picked = _locate(stepped.select(*outer, "__v", "__n", "__step"), keys, "__step", ends.select(*outer, "__all_ranks", "__total", "__base"), ranks)
+    inside = Window.partitionBy(*outer, "__step").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     picked = picked.withColumn("__top", F.col("__lo") + F.sum("__n").over(inside))
     picked = picked.select(*keys, "__total", "__v", "__n", "__top", F.explode("__want").alias("__r"))
     picked = picked.where((F.col("__r.rank") >= F.col("__top") - F.col("__n")) & (F.col("__r.rank") < F.col("__top")))
@@ -69,19 +96,21 @@ def percentiles(df: DataFrame, group: list[str], col: str, ps: dict[str, float],
     for name, p in ps.items():
         pos = (F.col("n") - 1) * F.lit(float(p))
         low, high = F.col(f"{name}__lo").cast("double"), F.col(f"{name}__hi").cast("double")
-        cols.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
+        # equal neighbours need no interpolation, which would turn infinite ones into NaN
+        part = pos - F.floor(pos)
+        cols.append(F.when((low == high) | (part == 0), low).otherwise(low + (high - low) * part).alias(name))
     return stats.select(*group, *cols)
 
 
-def nearest_rank(df: DataFrame, group: list[str], col: str) -> DataFrame:
+def nearest_rank(df: DataFrame, group: list[str], col: str, few: int = 20) -> DataFrame:
     """Summary of a metric with nearest-rank percentiles.
 
     ``p50`` is the value at rank n/2; ``p95`` and ``p99`` sit at rank floor(n*p), and ``p95`` is the maximum
-    while a group has fewer than 20 values.
+    while a group has fewer than ``few`` values (the reports' rule; 0 switches it off).
     """
     ranks = {
         "p50": lambda n: F.floor(n / 2),
-        "p95": lambda n: F.when(n >= 20, F.floor(n * F.lit(0.95))).otherwise(n - 1),
+        "p95": lambda n: F.when(n >= few, F.floor(n * F.lit(0.95))).otherwise(n - 1),
         "p99": lambda n: F.floor(n * F.lit(0.99)),
         "min": lambda n: F.lit(0),
         "max": lambda n: n - 1,

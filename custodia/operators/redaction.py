@@ -117,15 +117,32 @@ def _redact_node(col: Column, dtype: T.DataType, path: str, hit: Callable[[str],
         if hit(f"{path}[]"):
             return F.transform(col, lambda _: F.lit(PATH_REDACTED))
         return F.transform(col, lambda x: _redact_node(x, dtype.elementType, f"{path}[]", hit))
-    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
+    if isinstance(dtype, T.MapType):
         # map keys are data, so the path test becomes a regex over the key
-        return F.transform_values(col, lambda k, v: F.when(
-            _key_matches(k, path, hit.patterns), F.lit(PATH_REDACTED)).otherwise(v))
+        return _redact_map(col, dtype, F.lit(path), hit)
     return col
 
 
-def _key_matches(key: Column, path: str, patterns: Sequence[str]) -> Column:
-    full = F.concat(F.lit(f"{path}."), key)
+def _redact_map(col: Column, dtype: T.MapType, path: Column, hit: Callable[[str], bool]) -> Column:
+    return F.transform_values(col, lambda k, v: _redact_keyed(v, dtype.valueType, F.concat(path, F.lit("."), k.cast("string")), hit))
+
+
+def _redact_keyed(value: Column, dtype: T.DataType, path: Column, hit: Callable[[str], bool]) -> Column:
+    """A value whose path is known per row only: its type must stay, so a match that is no string becomes null."""
+    if isinstance(dtype, T.StructType):
+        below = F.when(value.isNotNull(), F.struct(*[
+            _redact_keyed(value.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}")), hit).alias(f.name) for f in dtype.fields]))
+    elif isinstance(dtype, T.ArrayType):
+        below = F.transform(value, lambda x: _redact_keyed(x, dtype.elementType, F.concat(path, F.lit("[]")), hit))
+    elif isinstance(dtype, T.MapType):
+        below = _redact_map(value, dtype, path, hit)
+    else:
+        below = value
+    mark = F.lit(PATH_REDACTED) if isinstance(dtype, T.StringType) else F.lit(None)
+    return F.when(_key_matches(path, hit.patterns), mark.cast(dtype)).otherwise(below)
+
+
+def _key_matches(full: Column, patterns: Sequence[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
         out = out | full.rlike(glob_to_regex(p))
@@ -136,7 +153,8 @@ def redact_paths(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """Replace values at matching paths (``a.*.b``, ``list[]``) by ``[REDACTED]``; a star also spans dots.
 
     The schema is walked once on the driver. A path that matches replaces the whole value, so its type becomes
-    string. List elements are addressed as ``list[]``.
+    string. Below map keys the path is known per row only and types stay: strings become the mark, other values null.
+    List elements are addressed as ``list[]``.
     """
     hit = _path_matcher(patterns)
     hit.patterns = list(patterns)

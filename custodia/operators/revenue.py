@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from custodia.operators.aggregates import agg_column
 
-DEFAULT_MAX_ROWS = 10_000
-
 
 def in_year(df: DataFrame, date_col: str, year: int) -> DataFrame:
     """``year(d) = y`` written as a range, so that partition and row-group statistics can prune."""
@@ -34,7 +32,7 @@ def top_customers(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def generic_aggregate(df: DataFrame, group_by: list[str] = [], aggs: list[str] = ["COUNT"], year: int | None = None,
-                      order: str | None = None, limit: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                      order: str | None = None, limit: int | None = None) -> DataFrame:
     """SUM, COUNT and AVG templates; without grouping columns the result is one global row."""
     rows = df if year is None else in_year(df, "transaction_date", year)
     specs = []
@@ -48,7 +46,7 @@ def generic_aggregate(df: DataFrame, group_by: list[str] = [], aggs: list[str] =
     if order:
         key = "total_amount" if "SUM" in aggs else "count"
         out = out.orderBy(F.col(key).desc() if order.upper() == "DESC" else F.col(key).asc(), *group_by)
-    return out.limit(limit)
+    return out if limit is None else out.limit(limit)
 
 
 def star_join(fact: DataFrame, dims: list[tuple[DataFrame, str, str]]) -> DataFrame:

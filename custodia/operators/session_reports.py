@@ -41,12 +41,17 @@ def _avg(col: str, name: str, digits: int = 2) -> Column:
     return rounded(F.avg(col), digits).alias(name)
 
 
-def _families(name: str = "unique_families") -> Column:
-    return F.count_distinct("family_id_hash").alias(name)
+def _distinct(col: str, name: str, approx: bool) -> Column:
+    """Distinct values: exact (a row per value and count is shuffled), or a sketch of fixed size per group."""
+    return (F.approx_count_distinct if approx else F.count_distinct)(col).alias(name)
 
 
-def _children(name: str = "unique_children") -> Column:
-    return F.count_distinct("child_id_hash").alias(name)
+def _families(name: str = "unique_families", approx: bool = False) -> Column:
+    return _distinct("family_id_hash", name, approx)
+
+
+def _children(name: str = "unique_children", approx: bool = False) -> Column:
+    return _distinct("child_id_hash", name, approx)
 
 
 def _success_rate(digits: int = 1) -> Column:
@@ -68,21 +73,19 @@ def _ranked(df: DataFrame, by: str, dims: list[str], asc: bool = False, limit: i
     return out if limit is None else out.limit(limit)
 
 
-def session_count(df: DataFrame, dims: list[str], rng: Column | None = None, limit: int = 50) -> DataFrame:
+def session_count(df: DataFrame, dims: list[str], rng: Column | None = None, limit: int | None = None, approx: bool = False) -> DataFrame:
     dims = _dims(dims)
-    out = _in_range(df, rng).groupBy(*dims).agg(_count().alias("sessions"), _families())
+    out = _in_range(df, rng).groupBy(*dims).agg(_count().alias("sessions"), _families(approx=approx))
     return _ranked(out, "sessions", dims, limit=limit)
 
 
 def session_totals(df: DataFrame, rng: Column | None = None, approx: bool = False) -> DataFrame:
     """Global totals; three exact distinct counts triple the rows before the partial aggregate, ``approx`` does not."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    return _in_range(df, rng).agg(_count().alias("total_sessions"), distinct("family_id_hash").alias("unique_families"),
-                                  distinct("child_id_hash").alias("unique_children"))
+    return _in_range(df, rng).agg(_count().alias("total_sessions"), _families(approx=approx), _children(approx=approx))
 
 
-def session_totals_cost(df: DataFrame) -> DataFrame:
-    return df.agg(_count().alias("total_sessions"), _families(), _children(), _total_cost("total_cost_usd"))
+def session_totals_cost(df: DataFrame, approx: bool = False) -> DataFrame:
+    return df.agg(_count().alias("total_sessions"), _families(approx=approx), _children(approx=approx), _total_cost("total_cost_usd"))
 
 
 def cost_analysis(df: DataFrame, dims: list[str] = ["model_name"], rng: Column | None = None) -> DataFrame:
@@ -141,43 +144,49 @@ _GRAINS = {
 
 
 def trend(df: DataFrame, grain: str = "daily", dims: list[str] = [], rng: Column | None = None,
-          limit: int = 90) -> DataFrame:
-    """Newest ``limit`` periods at daily, hourly or ISO-week grain."""
+          periods: int | None = None, limit: int | None = None, approx: bool = False) -> DataFrame:
+    """Trend at daily, hourly or ISO-week grain, newest period first.
+
+    ``periods`` keeps the newest periods with all their groups; ``limit`` keeps rows.
+    """
     dims = _dims(dims)
     name, key = _GRAINS[grain]
     out = _in_range(df, rng).groupBy(key().alias(name), *dims).agg(
-        _count().alias("sessions"), _families("active_families"), _total_cost("daily_cost"),
+        _count().alias("sessions"), _families("active_families", approx), _total_cost("daily_cost"),
         _avg("latency_ms", "avg_latency_ms"), _success_rate())
+    if periods is not None:
+        # as many rows as the caller asks for; the oldest of them bounds the report
+        newest = _in_range(df, rng).select(key().alias(name)).distinct().orderBy(F.desc(name)).limit(periods)
+        out = out.join(newest, name, "left_semi")
     return _ranked(out, name, dims, limit=limit)
 
 
-def trend_daily(df: DataFrame, dims: list[str] = [], rng: Column | None = None) -> DataFrame:
-    return trend(df, "daily", dims, rng)
+def trend_daily(df: DataFrame, dims: list[str] = [], rng: Column | None = None, **options) -> DataFrame:
+    return trend(df, "daily", dims, rng, **options)
 
 
-def trend_hourly(df: DataFrame, dims: list[str] = [], rng: Column | None = None) -> DataFrame:
-    return trend(df, "hourly", dims, rng)
+def trend_hourly(df: DataFrame, dims: list[str] = [], rng: Column | None = None, **options) -> DataFrame:
+    return trend(df, "hourly", dims, rng, **options)
 
 
-def trend_weekly(df: DataFrame, dims: list[str] = [], rng: Column | None = None) -> DataFrame:
-    return trend(df, "weekly", dims, rng)
+def trend_weekly(df: DataFrame, dims: list[str] = [], rng: Column | None = None, **options) -> DataFrame:
+    return trend(df, "weekly", dims, rng, **options)
 
 
-def trend_ymd(df: DataFrame, n: int = 30, latency_digits: int = 2) -> DataFrame:
+def trend_ymd(df: DataFrame, n: int | None = None, latency_digits: int = 2, approx: bool = False) -> DataFrame:
     out = df.groupBy("year", "month", "day").agg(
-        _count().alias("sessions"), _families("active_families"), _total_cost("daily_cost"),
+        _count().alias("sessions"), _families("active_families", approx), _total_cost("daily_cost"),
         _avg("latency_ms", "avg_latency_ms", latency_digits))
-    return out.orderBy(F.desc("year"), F.desc("month"), F.desc("day")).limit(n)
+    out = out.orderBy(F.desc("year"), F.desc("month"), F.desc("day"))
+    return out if n is None else out.limit(n)
 
 
-def breakdown(df: DataFrame, dims: list[str] = ["language", "region"], rng: Column | None = None) -> DataFrame:
-    """Share of sessions per group. The overall count is a scalar subquery, so groups never meet in one task."""
+def breakdown(df: DataFrame, dims: list[str] = ["language", "region"], rng: Column | None = None, approx: bool = False) -> DataFrame:
+    """Share of sessions per group, of one scan: the total is the sum of the grouped counts."""
     dims = _dims(dims)
-    rows = _in_range(df, rng)
-    total = rows.agg(_count()).scalar()
-    out = rows.groupBy(*dims).agg(_count().alias("sessions"), _families(), _total_cost(),
-                                  _avg("latency_ms", "avg_latency_ms"))
-    return _ranked(out.withColumn("percentage", pct(F.col("sessions"), total)), "sessions", dims)
+    out = _in_range(df, rng).groupBy(*dims).agg(_count().alias("sessions"), _families(approx=approx), _total_cost(),
+                                                _avg("latency_ms", "avg_latency_ms"))
+    return _ranked(agg.with_share(out, "sessions"), "sessions", dims)
 
 
 def comparison(df: DataFrame, dims: list[str] = ["model_name"]) -> DataFrame:
@@ -189,11 +198,11 @@ def comparison(df: DataFrame, dims: list[str] = ["model_name"]) -> DataFrame:
 
 
 def top_n(df: DataFrame, dims: list[str] = ["model_name"], by: str = "sessions", asc: bool = False,
-          n: int = 10) -> DataFrame:
+          n: int = 10, approx: bool = False) -> DataFrame:
     dims = _dims(dims)
     if by not in ("total_cost", "avg_latency_ms", "unique_families", "sessions"):
         raise ValueError(f"cannot rank by {by}")
-    out = df.groupBy(*dims).agg(_count().alias("sessions"), _families(), _total_cost(),
+    out = df.groupBy(*dims).agg(_count().alias("sessions"), _families(approx=approx), _total_cost(),
                                 _avg("latency_ms", "avg_latency_ms"))
     return _ranked(out, by, dims, asc, n)
 
@@ -217,14 +226,15 @@ def _has_error() -> Column:
 
 
 
-def error_breakdown(df: DataFrame, limit: int = 20) -> DataFrame:
+def error_breakdown(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Errors per code and model; shares are of all errors, also of those that a ``limit`` cuts off."""
     errors = df.where(~F.col("success") & _has_error())
     dims = ["error_code", "model_name"]
     return _ranked(agg.share_of_total(errors, dims, count_name="occurrences"), "occurrences", dims, limit=limit)
 
 
-def error_impact(df: DataFrame, limit: int = 10) -> DataFrame:
-    out = df.where(_has_error()).groupBy("error_code").agg(_count().alias("occurrences"), _families("affected_families"))
+def error_impact(df: DataFrame, limit: int | None = None, approx: bool = False) -> DataFrame:
+    out = df.where(_has_error()).groupBy("error_code").agg(_count().alias("occurrences"), _families("affected_families", approx))
     return _ranked(out, "occurrences", ["error_code"], limit=limit)
 
 
@@ -235,9 +245,9 @@ def status_distribution(df: DataFrame) -> DataFrame:
                    "count", ["status"])
 
 
-def overview(df: DataFrame, limit: int = 20) -> DataFrame:
+def overview(df: DataFrame, limit: int | None = None, approx: bool = False) -> DataFrame:
     dims = ["language", "region"]
-    out = df.groupBy(*dims).agg(_count().alias("sessions"), _families("families"), _total_cost(),
+    out = df.groupBy(*dims).agg(_count().alias("sessions"), _families("families", approx), _total_cost(),
                                 _avg("latency_ms", "avg_latency_ms"), _success_rate())
     return _ranked(out, "sessions", dims, limit=limit)
 
@@ -249,20 +259,20 @@ def language_report(df: DataFrame) -> DataFrame:
     return _ranked(out, "sessions", dims)
 
 
-def kpi_summary(df: DataFrame) -> DataFrame:
-    return df.agg(_count().alias("total_sessions"), _families(), _children(),
-                  F.count_distinct("language").alias("languages"), _total_cost(),
+def kpi_summary(df: DataFrame, approx: bool = False) -> DataFrame:
+    return df.agg(_count().alias("total_sessions"), _families(approx=approx), _children(approx=approx),
+                  _distinct("language", "languages", approx), _total_cost(),
                   _avg("latency_ms", "avg_latency_ms", 0), _success_rate(), _all_tokens().alias("total_tokens"))
 
 
-def session_stats(df: DataFrame) -> DataFrame:
-    return df.agg(_count().alias("total_sessions"), _families(), _children(), _total_cost("total_cost_usd"),
+def session_stats(df: DataFrame, approx: bool = False) -> DataFrame:
+    return df.agg(_count().alias("total_sessions"), _families(approx=approx), _children(approx=approx), _total_cost("total_cost_usd"),
                   _avg_cost("avg_cost_per_session"), _tokens("input_tokens", "total_input_tokens"),
                   _tokens("output_tokens", "total_output_tokens"))
 
 
-def by_language(df: DataFrame, limit: int = 10) -> DataFrame:
-    out = df.groupBy("language").agg(_count().alias("sessions"), _families("families"), _total_cost("cost"),
+def by_language(df: DataFrame, limit: int | None = None, approx: bool = False) -> DataFrame:
+    out = df.groupBy("language").agg(_count().alias("sessions"), _families("families", approx), _total_cost("cost"),
                                      _avg("latency_ms", "avg_latency", 0))
     return _ranked(out, "sessions", ["language"], limit=limit)
 
@@ -282,13 +292,12 @@ def daily_dashboard(df: DataFrame) -> DataFrame:
 
 
 def by_region_share(df: DataFrame) -> DataFrame:
-    total = df.agg(_count()).scalar()
     out = df.groupBy("region").agg(_count().alias("sessions"), _total_cost("cost"))
-    return _ranked(out.withColumn("percentage", pct(F.col("sessions"), total)), "sessions", ["region"])
+    return _ranked(agg.with_share(out, "sessions"), "sessions", ["region"])
 
 
-def top_families(df: DataFrame, n: int = 10) -> DataFrame:
-    out = df.groupBy("family_id_hash").agg(_count().alias("sessions"), _children("children"), _total_cost(),
+def top_families(df: DataFrame, n: int = 10, approx: bool = False) -> DataFrame:
+    out = df.groupBy("family_id_hash").agg(_count().alias("sessions"), _children("children", approx), _total_cost(),
                                            _avg("latency_ms", "avg_latency", 0))
     return _ranked(out, "sessions", ["family_id_hash"], limit=n)
 
@@ -329,7 +338,7 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def language_shares(df: DataFrame, n: int = 5) -> DataFrame:
+def language_shares(df: DataFrame, n: int | None = None) -> DataFrame:
     return _ranked(agg.share_of_total(df, ["language"]), "sessions", ["language"], limit=n)
 
 
@@ -342,20 +351,22 @@ def model_costs(df: DataFrame) -> DataFrame:
     return _ranked(df.groupBy("model_name").agg(_count().alias("sessions"), _total_cost()), "sessions", ["model_name"])
 
 
-def quick_checks(df: DataFrame) -> dict[str, DataFrame]:
+def quick_checks(df: DataFrame, top: int | None = None, days: int | None = None) -> dict[str, DataFrame]:
+    """Three small reports; ``top`` and ``days`` cut them."""
     by_lang = df.groupBy("language").agg(_count().alias("sessions"))
     cost = df.groupBy("model_name").agg(_count().alias("sessions"), _total_cost())
     daily = df.groupBy("year", "month", "day").agg(_count().alias("sessions"), _total_cost("daily_cost"))
+    last = daily.orderBy(F.desc("year"), F.desc("month"), F.desc("day"))
     return {
-        "sessions_by_language": _ranked(by_lang, "sessions", ["language"], limit=5),
-        "cost_by_model": _ranked(cost, "total_cost", ["model_name"], limit=5),
-        "last_days": daily.orderBy(F.desc("year"), F.desc("month"), F.desc("day")).limit(7),
+        "sessions_by_language": _ranked(by_lang, "sessions", ["language"], limit=top),
+        "cost_by_model": _ranked(cost, "total_cost", ["model_name"], limit=top),
+        "last_days": last if days is None else last.limit(days),
     }
 
 
-def monthly_trend(df: DataFrame) -> DataFrame:
+def monthly_trend(df: DataFrame, approx: bool = False) -> DataFrame:
     month = F.concat_ws("-", "year", "month").alias("month")
-    return df.groupBy(month).agg(_count().alias("sessions"), _families("active_families"),
+    return df.groupBy(month).agg(_count().alias("sessions"), _families("active_families", approx),
                                  _total_cost()).orderBy(F.desc("month"))
 
 

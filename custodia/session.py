@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,26 @@ def build_session(app: str = "custodia", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give this package to the Python workers, once per application; they need not find it on their own path.
+
+    The driver serves the archive to each executor.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_custodia_shipped", None) is None:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(), "custodia_workers.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(root)))
+        sc.addPyFile(archive)
+        sc._custodia_shipped = archive
+    return spark
+
+
 def work_root(spark: SparkSession) -> str:
     """Folder shared by all executors: ``spark.checkpoint.dir`` as the cluster names it.
 
@@ -43,7 +65,7 @@ def work_root(spark: SparkSession) -> str:
     if root:
         return root
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = "file://" + tempfile.mkdtemp(prefix="custodia-")
     spark.conf.set("spark.checkpoint.dir", root)

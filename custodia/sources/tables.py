@@ -39,9 +39,34 @@ def read_table(spark: SparkSession, uri: str, fallback: Mapping[str, DataFrame]
     raise LookupError(f"no table for {uri}")
 
 
-def check_read_only(sql: str) -> None:
-    """Refuse anything but one read statement."""
-    text = re.sub(r"(?s)/\*.*?\*/", "", re.sub(r"(?m)--.*$", "", sql)).strip()
+# literals and quoted names are kept, comments are cut, and neither is looked for inside the other
+_LITERAL_OR_COMMENT = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`)|--[^\n]*|/\*.*?\*/""", re.S)
+
+
+def strip_comments(sql: str) -> str:
+    return _LITERAL_OR_COMMENT.sub(lambda m: m[1] or " ", sql)
+
+
+def _writes(spark: SparkSession, sql: str, names: Mapping[str, object]) -> str | None:
+    """The first command or insert of the parsed statement, if it holds one; SHOW, DESCRIBE and EXPLAIN are reads."""
+    for name in names:
+        sql = sql.replace("{" + name + "}", f"`{name}`")
+    jvm = spark._jvm
+    command = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command", False, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    todo = [(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), True)]
+    while todo:
+        node, top = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if not (top and re.match("Show|Describe|Explain", kind)) and (command.isInstance(node) or re.search("Insert|Merge|Update|Delete", kind)):
+            return kind
+        for below in (node.children(), node.innerChildren()):
+            todo += [(below.apply(i), False) for i in range(below.size()) if hasattr(below.apply(i), "innerChildren")]
+    return None
+
+
+def check_read_only(sql: str, spark: SparkSession | None = None, names: Mapping[str, object] = {}) -> None:
+    """Refuse anything but one read statement: by its words, and with a session by its parsed plan."""
+    text = strip_comments(sql).strip()
     words = text.split()
     if not words or words[0].upper() not in ALLOWED_FIRST:
         raise PermissionError("only read statements are allowed")
@@ -50,12 +75,15 @@ def check_read_only(sql: str) -> None:
             raise PermissionError(f"blocked operation: {keyword}")
     if len([s for s in text.split(";") if s.strip()]) > 1:
         raise PermissionError("one statement at a time")
+    if spark is not None and (found := _writes(spark, sql, names)):
+        raise PermissionError(f"blocked operation: {found}")
 
 
-def execute(spark: SparkSession, sql: str, max_rows: int = 1000, **tables: DataFrame) -> DataFrame:
-    """Read-only SQL with a row cap; tables given by name are referenced as ``{name}``. Values keep their types."""
-    check_read_only(sql)
-    return spark.sql(sql, **tables).limit(max_rows)
+def execute(spark: SparkSession, sql: str, max_rows: int | None = None, **tables: DataFrame) -> DataFrame:
+    """Read-only SQL, cut to ``max_rows`` where given; tables given by name are referenced as ``{name}``. Values keep their types."""
+    check_read_only(sql, spark, tables)
+    out = spark.sql(sql, **tables)
+    return out if max_rows is None else out.limit(max_rows)
 
 
 def export_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:

@@ -1,6 +1,7 @@
 """Streaming twins of the session, request, audit and health operators.
 
-Every stateful stream has a watermark, so its state is bounded by the watermark delay and not by the stream.
+Windows, de-duplication and audit streams have a watermark that bounds their state. The health stream keeps four
+numbers for each agent it has seen, and no watermark.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from custodia.functions.numbers import count_true, pct
 from custodia.operators import events
 from custodia.schemas import SESSION_PARTITIONS, SESSION_SCHEMA
-from custodia.session import scratch_path
+from custodia.session import scratch_path, ship_package
 
 
 def session_stream(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
@@ -111,6 +112,7 @@ def dedupe_requests(stream: DataFrame, key: Column, ttl_seconds: int = 3600, del
     State is one timestamp and id per key and leaves when the watermark passes its window. Rows are ordered within
     a trigger; a row arriving in a later trigger than its successors is judged against what was accepted by then.
     """
+    ship_package(stream.sparkSession)
     rows = stream.withWatermark(ts, delay).select(
         key.alias("k"), F.col(ts), F.unix_micros(F.col(ts)).alias("us"), F.col(request_id).cast("bigint").alias("request_id"),
         F.expr(f"NOT ({failed})").alias("ok"))
@@ -167,5 +169,6 @@ def health_transitions(stream: DataFrame) -> DataFrame:
     The state machine is sequential per agent by nature. A micro-batch holds one trigger's worth of checks, which
     the source bounds (``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``).
     """
+    ship_package(stream.sparkSession)
     return stream.select("agent", "seq", "status", "response_time_ms").groupBy("agent").applyInPandasWithState(
         _advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
