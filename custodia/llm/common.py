@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-import custodia
-from custodia.session import materialize, scratch_path
+from custodia.session import materialize, scratch_path, ship_package
 
 __all__ = ["connected_components", "materialize", "ready", "scratch_path", "spread", "table"]
 
@@ -23,22 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches and ship this package to the Python workers, once per application."""
+    """Bound Arrow batches and ship this package to the Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    sc = spark.sparkContext
-    if getattr(sc, "_custodia_shipped", None) is None:
-        root = os.path.dirname(os.path.abspath(custodia.__file__))
-        archive = os.path.join(tempfile.mkdtemp(), "custodia_workers.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        path = os.path.join(folder, name)
-                        out.write(path, os.path.relpath(path, os.path.dirname(root)))
-        sc.addPyFile(archive)  # served by the driver, fetched by each executor
-        sc._custodia_shipped = archive
-    return spark
+    return ship_package(spark)
 
 
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:

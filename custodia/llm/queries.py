@@ -103,7 +103,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op4_pq_dedup")
+#: Exact links and their closure; the index finds them all on these tables, of which tests/llm measures the recall.
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT x, count(*) AS links FROM l GROUP BY x),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON r.c = l.x),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
+SELECT m.vec_id, coalesce(links, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON x = m.vec_id"""
+
+
+@query("op4_pq_dedup", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.groups(table(spark, sf_dir, "embeddings"))
 
