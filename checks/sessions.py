@@ -413,7 +413,7 @@ def _(t):
  SELECT day, n, LAG(n) OVER (ORDER BY day) AS previous, (n - LAG(n) OVER (ORDER BY day)) / CAST(LAG(n) OVER (ORDER BY day) AS DOUBLE) * 100.0 AS change_pct FROM d""")
 def _(t):
     daily = t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-    return ordered.change_from_previous(daily, ["day"], "n")
+    return ordered.change_from_previous(daily, ["day"], "n", chunk=F.substring("day", 1, 7))
 
 
 @check("w3_last_n", "SELECT agent, seq, status FROM health_checks QUALIFY row_number() OVER (PARTITION BY agent ORDER BY seq DESC) <= 100", "health_checks")

@@ -133,12 +133,15 @@ def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFram
 
 
 def change_from_previous(df: DataFrame, order: list[str], metric: str, keys: list[str] | None = None,
-                         out: str = "change_pct") -> DataFrame:
-    """Percent change of ``metric`` against the previous row of an already aggregated series.
+                         out: str = "change_pct", chunk: Column | None = None) -> DataFrame:
+    """Percent change of ``metric`` against the previous row of its key; rows without a positive predecessor get null.
 
-    Meant for report-sized input (one row per period and key); rows without a positive predecessor get null.
+    ``chunk`` cuts a long series (without ``keys``, all rows are one): a column that never falls along ``order``,
+    such as the month of a day. Only one row per chunk then meets in a task.
     """
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-    prev = F.lag(metric).over(w)
-    change = (F.col(metric) - prev) / prev * F.lit(100.0)
-    return df.withColumn("previous", prev).withColumn(out, F.when(prev > 0, change))
+    if chunk is not None:
+        rows = previous(df, list(keys or []), order, metric, "previous", chunk)
+    else:
+        rows = df.withColumn("previous", F.lag(metric).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)))
+    change = (F.col(metric) - F.col("previous")) / F.col("previous") * F.lit(100.0)
+    return rows.withColumn(out, F.when(F.col("previous") > 0, change))

@@ -54,6 +54,12 @@ def test_share_uses_a_scalar_subquery(stored):
     assert "Window" not in plan and "ubquery" in plan
 
 
+def test_shares_scan_their_source_once(stored):
+    # the groups were written while the report was built; nothing after that reads the sessions
+    plan = plan_of(sr.breakdown(stored))
+    assert "/groups-" in plan and stored.inputFiles()[0].rsplit("/data/", 1)[0] not in plan
+
+
 def test_masking_is_one_narrow_projection(spark, sf_dir):
     plan = plan_of(redact(Tables(spark, sf_dir).read("customer"), {"c_name": ["PII"]}, ["analyst"]))
     assert "Exchange" not in plan and "Python" not in plan
