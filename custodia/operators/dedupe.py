@@ -3,12 +3,16 @@
 The accepted requests of a key form a chain: the next one is the first success at least ``ttl`` after the last.
 Folding a key's whole history in one task would not survive a hot key, so the history is cut into chunks:
 
-1. per (key, chunk): where does the chain leave the chunk, for every point at which it may enter? Entries that
-   lead to the same exit are merged, and chains merge quickly, so this is far smaller than the chunk;
-2. per key: follow the chain over the chunks with those tables, which yields the entry state of each chunk;
-3. per (key, chunk): replay the chunk from its entry state and mark the rows.
-
-Steps 1 and 3 are vectorised over sorted Arrow batches, step 2 is an expression.
+1. per (key, chunk): where does the chain leave the chunk, for every point at which it may enter? An entry lies in
+   the first ``ttl`` of the chunk or is the first success after that, so this table is at most about a sixteenth of
+   the chunk, however dense the requests are;
+2. the tables of FAN neighbouring chunks are composed into one of their block, those of FAN blocks into one of a
+   larger block, and so on until a block spans the history;
+3. back down, the entry state of a block gives those of its FAN parts;
+4. per (key, chunk): replay the chunk from its entry state and mark the rows.
+
+A task holds the tables of FAN parts of one block at a time, never those of a whole key. All steps are vectorised
+over sorted Arrow batches. The rounds of 2 and 3 grow with the logarithm of the history's length in chunks.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custodia.session import ship_package
+from custodia.session import materialize, ship_package
 
 _NEVER = -(2 ** 62)
+FAN = 8
 
 
 def request_key(columns: Sequence[str], explicit: str | None = None) -> Column:
@@ -127,6 +132,98 @@ def _replay(ttl: int, width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
     return run
 
 
+def _parts(pdf: pd.DataFrame) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, parts) of each (k, c) group of sorted rows; parts are the (start, end) of equal ``i``."""
+    group, i = _group_ids(pdf), pdf["i"].values
+    new = np.ones(len(pdf), bool)
+    new[1:] = (group[1:] != group[:-1]) | (i[1:] != i[:-1])
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(pdf))
+    owner = group[starts]
+    cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    for x, y in zip(cut, np.append(cut[1:], len(owner)), strict=True):
+        yield int(starts[x]), int(ends[y - 1]), list(zip(starts[x:y].tolist(), ends[x:y].tolist(), strict=True))
+
+
+def _compose(ttl: int, size: int, origin: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Tables of parts (k, block c, part i) -> the table of the block; blocks are ``size`` long, the first begins at ``origin``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches):
+            upto, out_us, out_id = pdf["upto"].values, pdf["exit_us"].values, pdf["exit_id"].values
+            rows = []
+            for start, end, parts in _parts(pdf):
+                k, c = pdf["k"].iat[start], pdf["c"].iat[start]
+                rows.append(pd.DataFrame({"k": [k], "c": [c], "upto": [_NEVER], "exit_us": [0], "exit_id": [None]}))
+                places = start + np.flatnonzero(upto[start:end] != _NEVER)
+                # a chain enters the block within its first ttl, or at the first success after that
+                near = places[upto[places] < c * size + origin + ttl]
+                places = places[:len(near) + 1]
+                if not len(places):
+                    continue
+                us, ident = out_us[places].copy(), out_id[places].copy()
+                for a, b in parts:
+                    table = np.arange(a, b)[upto[a:b] != _NEVER]
+                    before = np.flatnonzero(places < a)
+                    if not len(table) or not len(before):
+                        continue
+                    hit = np.searchsorted(upto[table], us[before] + ttl, side="left")
+                    taken = hit < len(table)
+                    us[before[taken]], ident[before[taken]] = out_us[table[hit[taken]]], out_id[table[hit[taken]]]
+                keep = np.append(us[1:] != us[:-1], True)  # entries with one exit are one
+                rows.append(pd.DataFrame({"k": k, "c": c, "upto": upto[places][keep], "exit_us": us[keep], "exit_id": ident[keep]}))
+            yield pd.concat(rows, ignore_index=True)
+    return run
+
+
+def _descend(ttl: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Tables of parts with the entry state of their block -> the entry state of each part."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches):
+            upto, out_us, out_id = pdf["upto"].values, pdf["exit_us"].values, pdf["exit_id"].values
+            keys, index, entry_us, entry_id = [], [], [], []
+            for start, _, parts in _parts(pdf):
+                us, ident = pdf["entry_us"].iat[start], pdf["entry_id"].iat[start]
+                for a, b in parts:
+                    keys.append(pdf["k"].iat[a])
+                    index.append(pdf["i"].iat[a])
+                    entry_us.append(us)
+                    entry_id.append(ident)
+                    hit = a + int(np.searchsorted(upto[a:b], max(us + ttl, _NEVER + 1), side="left"))
+                    if hit < b:
+                        us, ident = out_us[hit], out_id[hit]
+            yield pd.DataFrame({"k": keys, "c": index, "entry_us": entry_us, "entry_id": entry_id})
+    return run
+
+
+_TABLE = "k string, c bigint, upto bigint, exit_us bigint, exit_id string"
+
+
+def _entries(tables: DataFrame, ttl: int, width: int) -> DataFrame:
+    """(k, c, entry_us, entry_id) of every chunk of ``tables``, which holds a row with upto _NEVER for each."""
+    ends = tables.agg(F.min("c").alias("lo"), F.max("c").alias("hi")).first()
+    if ends.lo is None:
+        return tables.select("k", "c", F.col("exit_us").alias("entry_us"), F.col("exit_id").alias("entry_id"))
+    level, _ = materialize(tables.withColumn("c", F.col("c") - ends.lo), "tables")
+    levels, span, size = [level], ends.hi - ends.lo + 1, width
+    in_blocks = lambda df: df.withColumnRenamed("c", "i").withColumn("c", F.floor(F.col("i") / FAN))
+    ordered = lambda df: df.repartition("k", "c").sortWithinPartitions("k", "c", "i", "upto")
+    while span > FAN:
+        size *= FAN
+        level, _ = materialize(ordered(in_blocks(level)).mapInPandas(_compose(ttl, size, ends.lo * width), _TABLE), "tables")
+        levels.append(level)
+        span = -(-span // FAN)
+    states = None
+    for level in reversed(levels):
+        rows = in_blocks(level)
+        if states is None:  # one block spans all; nothing was accepted before it
+            rows = rows.withColumns({"entry_us": F.lit(_NEVER).cast("bigint"), "entry_id": F.lit(None).cast("string")})
+        else:
+            rows = rows.join(states, ["k", "c"])
+        states = ordered(rows).mapInPandas(_descend(ttl), "k string, c bigint, entry_us bigint, entry_id string")
+        states, _ = materialize(states, "states")
+    return states.withColumn("c", F.col("c") + ends.lo)
+
+
 def dedupe_requests(df: DataFrame, key: Column, ts: str, request_id: str, failed: Column, ttl_seconds: int = 3600,
                     chunk_ttls: int = 16) -> DataFrame:
     """Per request: executed, or served from the cached result of an earlier successful request.
@@ -145,30 +242,10 @@ def dedupe_requests(df: DataFrame, key: Column, ts: str, request_id: str, failed
     good = spread.where("ok").sortWithinPartitions("k", "c", "us", "o").select("k", "c", "us", "id")
     exits = good.mapInPandas(_transfer(ttl, width), "k string, c bigint, upto bigint, exit_us bigint, exit_id string")
 
-    # chunks without a success pass their entry state on; they appear here with a bound nobody meets
-    present = rows.groupBy("k", "c").agg(F.lit(_NEVER).alias("upto"), F.lit(0).cast("bigint").alias("exit_us"),
-                                         F.lit(None).cast("string").alias("exit_id"))
-    steps = exits.unionByName(present).groupBy("k").agg(
-        F.array_sort(F.collect_list(F.struct("c", "upto", "exit_us", "exit_id"))).alias("steps"))
-    state = "struct<c:bigint,in_us:bigint,in_id:string,out_us:bigint,out_id:string,done:boolean,entries:array<struct<c:bigint,us:bigint,id:string>>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("c"), F.lit(_NEVER).alias("in_us"), F.lit(None).cast("string").alias("in_id"),
-                     F.lit(_NEVER).alias("out_us"), F.lit(None).cast("string").alias("out_id"), F.lit(False).alias("done"),
-                     F.array().cast("array<struct<c:bigint,us:bigint,id:string>>").alias("entries")).cast(state)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = ~acc["c"].eqNullSafe(s["c"])
-        in_us = F.when(fresh, acc["out_us"]).otherwise(acc["in_us"])
-        in_id = F.when(fresh, acc["out_id"]).otherwise(acc["in_id"])
-        done = F.when(fresh, F.lit(False)).otherwise(acc["done"])
-        take = ~done & (s["upto"] != F.lit(_NEVER)) & (s["upto"] >= in_us + F.lit(ttl))
-        entries = F.when(fresh, F.array_append(acc["entries"], F.struct(s["c"].alias("c"), in_us.alias("us"), in_id.alias("id")))).otherwise(acc["entries"])
-        return F.struct(s["c"].alias("c"), in_us.alias("in_us"), in_id.alias("in_id"),
-                        F.when(take, s["exit_us"]).otherwise(acc["out_us"]).alias("out_us"),
-                        F.when(take, s["exit_id"]).otherwise(acc["out_id"]).alias("out_id"),
-                        (done | take).alias("done"), entries.alias("entries")).cast(state)
-
-    entry = steps.select("k", F.explode(F.aggregate("steps", start, step, lambda a: a["entries"])).alias("e")).select(
-        "k", F.col("e.c").alias("c"), F.col("e.us").alias("entry_us"), F.col("e.id").alias("entry_id"))
+    # chunks without a success pass their entry state on; every chunk has a row with a bound nobody meets
+    present = rows.select("k", "c").distinct().select("k", "c", F.lit(_NEVER).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("exit_us"),
+                                                      F.lit(None).cast("string").alias("exit_id"))
+    entry = _entries(exits.unionByName(present), ttl, width)
     joined = rows.join(entry, ["k", "c"]).repartition("k", "c").sortWithinPartitions("k", "c", "us", "o")
     out = joined.select("k", "c", "us", "id", "ok", "entry_us", "entry_id").mapInPandas(
         _replay(ttl, width), "id string, executed boolean, served_by string")

@@ -86,3 +86,28 @@ def test_bag_and_set_difference(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1,)], "k int")
     assert sorted(r.k for r in paging.except_all(a, b).collect()) == [1, 2]
     assert sorted(r.k for r in paging.except_distinct(a, b).collect()) == [2]
+
+
+def test_dense_requests_meet_in_bounded_tables(spark):
+    """One key, one request a second for 12 hours: no task sees more of the key than the tables of FAN parts."""
+    n, ttl, per_chunk = 43_200, 60, 4
+    t = dt.datetime(2024, 1, 1)
+    df = spark.range(n).select(F.col("id"), F.lit("hot").alias("k"), (F.lit(t).cast("timestamp") + F.make_dt_interval(secs=F.col("id"))).alias("ts"))
+    seen = []
+    real = dedupe.materialize
+
+    def watch(frame, label):
+        out = real(frame, label)
+        if label == "tables":
+            seen.append(out[0].groupBy("k", F.floor(F.col("c") / dedupe.FAN)).count().agg(F.max("count")).first()[0])
+        return out
+
+    dedupe.materialize = watch
+    try:
+        out = dedupe.dedupe_requests(df, F.col("k"), "ts", "id", F.lit(False), ttl, per_chunk)
+        executed = out.where("executed").count()
+    finally:
+        dedupe.materialize = real
+    assert executed == n // ttl and out.count() == n
+    # a table has a row per request of the first ttl of its part, one more, and its mark
+    assert len(seen) > 2 and max(seen) <= dedupe.FAN * (ttl + 2)
