@@ -38,6 +38,22 @@ def _(t):
     return cat.flatten_catalog(t.catalog_tables, t.column_inventory)
 
 
+@check("c4_build_catalog", """SELECT 'catalog://' || v AS uri, 'default' AS database, v AS table_name, c AS column_name, CAST(o AS INT) AS ordinal, k AS data_type, n AS rows_of_table FROM (VALUES
+ ('c4_nation', 'n_nationkey', 0, 'bigint'), ('c4_nation', 'n_name', 1, 'string'), ('c4_region', 'r_regionkey', 0, 'bigint'), ('c4_region', 'r_name', 1, 'string')) x(v, c, o, k)
+ JOIN (SELECT 'c4_nation' AS t, COUNT(*) AS n FROM nation UNION ALL SELECT 'c4_region', COUNT(*) FROM region) ON t = v""")
+def _(t):
+    views = {"c4_nation": t.nation.selectExpr("CAST(n_nationkey AS BIGINT) AS n_nationkey", "n_name"), "c4_region": t.region.selectExpr("CAST(r_regionkey AS BIGINT) AS r_regionkey", "r_name")}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    found = cat.build_catalog(t.spark, ["default"]).where(F.col("table_name").isin(list(views)))
+    counts = None
+    for name, df in views.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows_of_table")).select(F.lit(name).alias("table_name"), "rows_of_table")
+        counts = one if counts is None else counts.unionAll(one)
+        t.spark.catalog.dropTempView(name)
+    return found.join(counts, "table_name").select("uri", "database", "table_name", "column_name", "ordinal", "data_type", "rows_of_table")
+
+
 @check("c5_normalize_types", """SELECT table_id, ordinal, data_type, CASE regexp_extract(data_type, '^[^(<]*') WHEN 'string' THEN 'STRING' WHEN 'int' THEN 'INTEGER' WHEN 'bigint' THEN 'BIGINT' WHEN 'double' THEN 'DOUBLE' WHEN 'timestamp' THEN 'TIMESTAMP'
  WHEN 'date' THEN 'DATE' WHEN 'decimal' THEN 'DECIMAL' WHEN 'array' THEN 'ARRAY' WHEN 'struct' THEN 'STRUCT' ELSE upper(data_type) END AS sql_type FROM column_inventory""", CI)
 def _(t):
@@ -190,6 +206,11 @@ def _(t):
     return prof.classify_tables(t.column_inventory.where("ordinal < 3"))
 
 
+@check("p3_classify_tables_all", "SELECT table_name, COALESCE((['PUBLIC', 'INTERNAL', 'CONFIDENTIAL', 'PII', 'RESTRICTED'])[MAX(CASE classification WHEN 'PUBLIC' THEN 1 WHEN 'INTERNAL' THEN 2 WHEN 'CONFIDENTIAL' THEN 3 WHEN 'PII' THEN 4 WHEN 'RESTRICTED' THEN 5 END)], 'UNCLASSIFIED') AS classification FROM column_inventory GROUP BY table_name", CI)
+def _(t):
+    return prof.classify_tables(t.column_inventory)
+
+
 @check("p4_infer_levels", """SELECT table_id, ordinal, provider, label, CASE provider
  WHEN 'aws' THEN CASE WHEN regexp_matches(l, 'pii|personal|ssn|email') THEN 'PII' WHEN regexp_matches(l, 'phi|health|medical') THEN 'PHI' WHEN regexp_matches(l, 'pci|card|payment') THEN 'PCI' WHEN regexp_matches(l, 'restricted|secret|credential') THEN 'RESTRICTED'
   WHEN regexp_matches(l, 'confidential|financial') THEN 'CONFIDENTIAL' WHEN contains(l, 'internal') THEN 'INTERNAL' ELSE 'PUBLIC' END
