@@ -49,9 +49,11 @@ def test_find_path(edges):
     assert lineage.find_path(edges, EDGES[0][0], "catalog://reporting.executive_dashboard", max_nodes=2).count() == 0
 
 
-def test_depth_is_bounded(edges):
+def test_depth_is_the_callers(edges):
     with pytest.raises(ValueError):
-        lineage.downstream(edges, ["x"], 11)
+        lineage.reach(edges, ["x"], 0)
+    root = EDGES[0][0]
+    assert sorted(lineage.reach(edges, [root], 11).collect()) == sorted(lineage.reach(edges, [root], None).collect())
 
 
 def test_search_score_is_capped(spark):
