@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,11 +31,13 @@ WINDOW, END_ID = 4096, 2
 SENTENCE, HARD, STEP = 2, 8, 16
 SPAN = 1 << 20
 #: Words that a worker remembers with their ids, and the longest such word.
-REMEMBER, LONG_WORD = 500_000, 64
+REMEMBER, LONG_WORD = 1_200_000, 64
 
 _TOKENIZERS: dict[str, WordIds] = {}
 #: White space to str.split but not to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Latin letters, whose case and composition depend on nothing around them, and marks that never join letters.
+_STEM_AND_MARKS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?*#%&$]*)")
 
 
 class WordIds:
@@ -54,13 +57,14 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [None if _SEPARATORS.search(t) else t.split() for t in texts]
+        if len(self.memory) > REMEMBER:
+            self.memory.clear()
+        met: set[str] = set()
+        for ws in words:
+            if ws:
+                met.update(ws)
         memory = self.memory
-        if len(memory) > REMEMBER:
-            memory.clear()
-        need = list({w for ws in words if ws for w in ws if w not in memory})
-        short = [w for w in need if len(w) <= LONG_WORD]
-        memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False), strict=True))
-        long = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in need if len(w) > LONG_WORD}
+        long = self._learn([w for w in met if w not in memory])
         out = []
         for t, ws in zip(texts, words, strict=True):
             if ws is None:
@@ -71,6 +75,31 @@ class WordIds:
                 out.append(np.frombuffer(b"".join(map(memory.__getitem__, ws)), "<u4"))
         return out
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Remember new words; those too long to be remembered are returned.
+
+        A plain word with marks behind it is two pre-tokens, and case is dropped, so its stem is looked up first.
+        """
+        memory, stems, ask = self.memory, [], set()
+        for w in words:
+            found = _STEM_AND_MARKS.fullmatch(w)
+            if found and len(w) <= LONG_WORD:
+                stem, marks = found[1].lower(), found[2]
+                stems.append((w, stem, marks))
+                if stem not in memory:
+                    ask.add(stem)
+                if marks and marks not in memory:
+                    ask.add(marks)
+            else:
+                ask.add(w)
+        encode = lambda ws: [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(ws, add_special_tokens=False)]
+        short = [w for w in ask if len(w) <= LONG_WORD]
+        memory.update(zip(short, encode(short), strict=True))
+        for w, stem, marks in stems:
+            memory[w] = memory[stem] + memory[marks] if marks else memory[stem]
+        long = [w for w in ask if len(w) > LONG_WORD]
+        return dict(zip(long, encode(long), strict=True))
+
 
 def tokenizer(path: str) -> WordIds:
     """The tokenizer at ``path``, loaded once per worker."""
