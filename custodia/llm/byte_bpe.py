@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,19 @@ class Memory(dict):
         return ids
 
 
+def newer_characters() -> frozenset[str]:
+    """Characters that the regex module takes for letters or numbers and the tiktoken library does not, its Unicode tables being older."""
+    import regex
+    import tiktoken
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out: set[str] = set()
+    for kind in (r"\p{L}", r"\p{N}"):
+        # characters outside the pattern are dropped by the library
+        known = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        out |= set(regex.findall(kind, every)) - set(bytes(known.encode_ordinary(every)).decode("utf-8"))
+    return frozenset(out)
+
+
 class Coder:
     """Encoder and decoder of one rank file (base64 token and rank a line) and one pre-token pattern."""
 
@@ -78,7 +92,9 @@ class Coder:
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(t): int(r) for t, r in pairs}
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.newer = newer_characters()
+        self.beyond = re.compile(f"[{min(self.newer)}-\U0010ffff]").search if self.newer else lambda _: None
         keys = list(self.ranks)
         self.hash = PerfectHash(keys)
         self.keys: list[bytes] = [b""] * len(keys)
@@ -137,6 +153,14 @@ class Coder:
             self.memory.clear()
         return b"".join(map(self.memory.__getitem__, self.split(text)))
 
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens as the tiktoken library cuts them."""
+        if self.beyond(text) and not self.newer.isdisjoint(text):
+            # to the library these are neither letters nor numbers, like a private-use character
+            plain = "".join("\ue000" if c in self.newer else c for c in text)
+            return [text[m.start():m.end()] for m in self.pattern.finditer(plain)]
+        return self.pattern.findall(text)
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

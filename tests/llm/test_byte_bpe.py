@@ -30,7 +30,7 @@ def test_perfect_hash_is_minimal():
 
 def test_pieces(reference):
     own, draw = byte_bpe.coder(PATH, P.PATTERN), random.Random(2)
-    texts = ["", " ", "a", "don't  stop\n\n now ", "<|endoftext|>", "\x1c\x1d a\x1fb\x85\xa0c　d", "é" * 300, "ab" * 4000, "\U0001f600 naïve Ünïcode ١٢٣ ½",
+    texts = ["", " ", "a", "don't  stop\n\n now ", "<|endoftext|>", "\x1c\x1d a\x1fb\x85\xa0c　d", "é" * 300, "ab" * 4000, "a\u0558b \u088f1 x\U00011de0y \u0558 ok", "\U0001f600 naïve Ünïcode ١٢٣ ½",
              " " * 500 + "x", "áb ​﻿"]
     texts += ["".join(draw.choice("abc ABC.,'\n\té漢1 2s") for _ in range(draw.randint(1, 60))) for _ in range(1500)]
     for t in texts:
