@@ -55,6 +55,8 @@ def write_captures(pages: DataFrame, path: str, date: str = EPOCH) -> None:
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("n", F.octet_length("html"))
     firsts = (rows.where(f"n >= {REVISIT_BYTES} AND page_id IS NOT NULL").groupBy(F.col("digest").alias("d"))
               .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
+    # written first: the join then shuffles two plain inputs, and AQE can split the pages that share one payload
+    firsts, _ = materialize(firsts, "firsts")
     rows = rows.join(firsts, (F.col("digest") == F.col("d")) & (F.col("n") >= REVISIT_BYTES), "left")
     again = F.coalesce(~F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull(), F.lit(False))
     rows = rows.withColumn("again", again)
