@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.common import connected_components, materialize, ready
+from custodia.llm.common import connected_components, materialize, ready, spread
 
 THRESHOLD = 0.93
 #: Coarse lists, lists visited, subspaces, codes of each, vectors of each dimension that the codebooks are fitted to (by hash).
@@ -190,7 +190,8 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES
     queries = sized.withColumn("as_member", F.lit(False)).withColumn("tq", F.pmod("salt", "nq").cast("int")).withColumn("tm", grid("nm"))
     members = sized.where("member").withColumn("as_member", F.lit(True)).withColumn("tm", F.pmod("salt", "nm").cast("int")).withColumn("tq", grid("nq"))
     tiles = queries.unionByName(members).select(*spot, "tq", "tm", "as_member", "cid", "n", "home", "vector", "code", "error", "visits")
-    return tiles.groupBy(*spot, "tq", "tm").applyInPandas(lambda pdf: _tile(books.value, threshold, kind)(pdf), "cid long, links long, root long")
+    # dealt out by whole tiles: else the tiles of a hot list would stay together, as its rows already are
+    return spread(tiles, *spot, "tq", "tm").groupBy(*spot, "tq", "tm").applyInPandas(lambda pdf: _tile(books.value, threshold, kind)(pdf), "cid long, links long, root long")
 
 
 def groups(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, tile: int = TILE) -> DataFrame:
