@@ -125,12 +125,17 @@ def groups(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: one per component, with the smallest doc_id; all columns.
+    """The rows of ``docs`` that stay: one per component, with the smallest doc_id; all columns (see ``keep_first``)."""
+    return keep_first(docs, groups(docs, words))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay of groups as ``groups`` gives them: one per component, with the smallest doc_id.
 
     Where several rows have that doc_id, one with the smallest hash of its text stays. Rows without a
     doc_id stay only in a component without any, one of them.
     """
-    kept = (groups(docs, words).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("__null"))
+    kept = (found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("__null"))
             .agg(F.min("x").alias("__kx"), F.count(F.lit(1)).alias("__n")).drop("__null"))
     rows = docs.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit(""))))
     stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__kx")))
