@@ -13,6 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Length of an IBAN by country: the registry of ISO 13616, and the countries that use the form without an entry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC NI", 33: "RU",
+}
+# the length ends a match, so that a word or number behind it is no part of it
+_IBAN = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)?"
 
 
@@ -38,7 +47,7 @@ BASE = (
 )
 #: Further kinds; a valid match is a span if its score with the words nearby reaches ACCEPT.
 EXTRA = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.9, ("iban", "bank", "account"), 0.09),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])", "", 0.9, ("iban", "bank", "account"), 0.09),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.4, ("ssn", "social", "security", "taxpayer"), 0.45),
     Kind("local_phone", r"(?<![0-9+().-])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9-])", "(", 0.4, ("tel", "phone", "call", "fax", "mobile"), 0.4),
 )

@@ -74,6 +74,20 @@ def test_checksums_and_context_add_spans(spark):
     assert got[0] == "iban:5:32"
 
 
+def found(spark, texts):
+    return [r.spans for r in pii.report(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")).orderBy("doc_id").collect()]
+
+
+def test_iban_ends_by_its_country(spark):
+    a, b = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"IBAN {a} BIC COBADEFFXXX", f"{a} Please pay", "DE89 3704 0044 0532 0130 00 Thanks", f"{a} 42", f"{b} 1000 EUR", f"{a} {b} A",
+             f"({a})", f"{a}7", f"X{a}", "NO9386011117947 NO", "MT84MALT011000012345MTLCAST001S X1", "DE88370400440532013000 Please"]
+    assert found(spark, texts) == ["iban:5:27", "iban:0:22", "iban:0:27", "iban:0:22", "iban:0:27", "iban:0:22,iban:23:50",
+                                   "iban:1:23", "", "", "iban:0:15", "iban:0:31", ""]
+    rows = spark.createDataFrame([(1, texts[0])], "doc_id int, text string")
+    assert pii.redact(rows).first().text == "IBAN <IBAN> BIC COBADEFFXXX"
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cc now", 15), (2, None, None), (3, "4111 1111 1111 1111@x.com!", 26), (4, "clean", 5)]
     got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, "doc_id int, text string, n_chars long")).collect()}
