@@ -2,7 +2,7 @@
 
 All of it is column expressions. Matches and the gaps between them come from one pattern each
 (regexp_extract_all and split walk the text alike), and running sums of their lengths give the positions,
-so a text is never searched once per match. Patterns carry possessive quantifiers and look-behinds where
+so a text is never searched once per match; the surroundings of a match come from pieces of fixed length. Patterns carry possessive quantifiers and look-behinds where
 these change no match: a long run of digits or letters is then read once.
 """
 
@@ -55,6 +55,8 @@ KINDS = BASE + EXTRA
 ACCEPT = 0.6
 #: Characters on either side of a match that are searched for context words.
 WINDOW = 40
+#: Characters of a piece of text that windows are cut from, so that each costs a piece and not the text up to it; at least WINDOW.
+PIECE = 512
 #: Running sums are taken in blocks of this many, so that a text full of matches does not cost the square of their number.
 BLOCK = 256
 
@@ -109,13 +111,24 @@ def valid(kind: str, match: Column) -> Column:
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,score:double>"
 
 
+def around(start: Column, end: Column) -> Column:
+    """Up to WINDOW characters before ``start`` and behind ``end``, whatever matches they belong to; __c holds the pieces of the text."""
+    def cut(at: Column, n: Column) -> Column:
+        piece = F.floor(at / PIECE).cast("int")
+        both = F.concat(*[F.coalesce(F.get("__c", piece + i), F.lit("")) for i in (0, 1)])
+        return F.substring(both, (at - piece * PIECE + 1).cast("int"), n.cast("int"))
+
+    first = F.greatest(start - WINDOW, F.lit(0))
+    return F.concat(cut(first, start - first), F.lit(" "), cut(end, F.lit(WINDOW)))
+
+
 def _found(k: Kind, rank: int) -> Column:
     """The spans of one kind, from its matches, the gaps around them and what stands before each pair."""
     m, g, at = F.col(f"__m_{k.name}"), F.col(f"__g_{k.name}"), F.col(f"__a_{k.name}")
 
     def span(match: Column, i: Column) -> Column:
         start = F.element_at(at, i + 1) + F.length(F.element_at(g, i + 1))
-        near = F.lower(F.concat(F.right(F.element_at(g, i + 1), F.lit(WINDOW)), F.lit(" "), F.left(F.element_at(g, i + 2), F.lit(WINDOW))))
+        near = F.lower(around(start, start + F.length(match)))
         score = F.lit(k.score) + F.when(near.rlike(r"\b(?:" + "|".join(k.context) + ")"), k.bonus).otherwise(0.0)
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(match)).alias("end"),
                         F.lit(k.name).alias("kind"), F.when(valid(k.name, match), score).otherwise(0.0).alias("score"))
@@ -141,10 +154,12 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
         m, g = F.col(f"__m_{k.name}"), F.col(f"__g_{k.name}")
         steps = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
         out = out.withColumn(f"__a_{k.name}", running(steps))
+    some = F.greatest(*[F.size(f"__m_{k.name}") for k in KINDS]) > 0
+    out = out.withColumn("__c", F.when(some, F.regexp_extract_all("__t", F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))))
     for rank, k in enumerate(KINDS):
         out = out.withColumn(f"__s_{k.name}", _found(k, rank))
     out = out.withColumn("__spans", F.array_sort(F.concat(*[F.col(f"__s_{k.name}").cast(f"array<{SPAN}>") for k in KINDS])))
-    return out.drop("__t", *[f"__{x}_{k.name}" for k in KINDS for x in "mgas"])
+    return out.drop("__t", "__c", *[f"__{x}_{k.name}" for k in KINDS for x in "mgas"])
 
 
 def joined(spans_: Column) -> Column:

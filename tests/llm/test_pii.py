@@ -88,6 +88,18 @@ def test_iban_ends_by_its_country(spark):
     assert pii.redact(rows).first().text == "IBAN <IBAN> BIC COBADEFFXXX"
 
 
+def test_context_reaches_over_neighbours(spark):
+    """A window is cut from the text, not from the gap to the next match; wherever in a long text it stands."""
+    three, calls = "SSN: 123-45-6789, 234-56-7891, 345-67-8912", "phone (212) 555-0199, (212) 555-0198"
+    texts = [three, "123-45-6789, 234-56-7891 ssn", calls, "123-45-6789, 234-56-7891", "SSN" + " " * 38 + "123-45-6789", "SSN" + " " * 37 + "123-45-6789"]
+    for n in (470, 490, 505, 512, 1020):
+        texts.append("\U0001f600" * n + " " + three)
+    got = found(spark, texts)
+    assert got[0] == "ssn:5:16,ssn:18:29,ssn:31:42" and got[1] == "ssn:0:11,ssn:13:24"
+    assert got[2] == "local_phone:6:20,local_phone:22:36" and got[3] == "" and got[4] == "" and got[5] == "ssn:40:51"
+    assert [x.count("ssn") for x in got[6:]] == [3] * 5
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cc now", 15), (2, None, None), (3, "4111 1111 1111 1111@x.com!", 26), (4, "clean", 5)]
     got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, "doc_id int, text string, n_chars long")).collect()}
