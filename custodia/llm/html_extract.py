@@ -29,6 +29,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never text of the page.
 SILENT = frozenset("script style noscript template title iframe object svg math select textarea button datalist canvas audio video".split())
+#: Of these, the ones whose content no end tag but their own reaches out of; foreign ones, which may close themselves.
+SEALED = frozenset("script style noscript template title iframe object textarea".split())
+FOREIGN = ("svg", "math")
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
                      "hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -57,10 +60,11 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.silent:
-            if tag in SILENT and tag not in VOID:
+            # no nodes, but the tags are kept, so that their ends close them and nothing outside
+            if tag not in VOID:
                 self.open.append((tag, self.open[-1][1]))
                 self.held[tag] += 1
-                self.silent += 1
+                self.silent += tag in SILENT
             return
         if tag in CLOSES_P:
             self._close_to("p", ("table", "td", "th", "caption", "button"))
@@ -92,7 +96,11 @@ class Page(HTMLParser):
         self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
+        if any(self.held[t] for t in FOREIGN):
+            return
         self.handle_starttag(tag, attrs)
+        if tag in FOREIGN:
+            self._close_to(tag, ())
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -106,14 +114,14 @@ class Page(HTMLParser):
         for i in range(len(self.open) - 1, 0, -1):
             name = self.open[i][0]
             if name == tag:
-                for gone, _ in self.open[i:]:
+                for gone, _ in reversed(self.open[i:]):
                     self.held[gone] -= 1
-                    self.links -= gone == "a" and not self.silent
+                    self.links -= gone == "a" and not self.silent  # links inside silent elements are not counted
                     self.silent -= gone in SILENT
                     self.fresh |= gone not in INLINE
                 del self.open[i:]
                 return
-            if name in walls or (tag in INLINE and name not in INLINE):
+            if name in walls or name in SEALED or (tag in INLINE and name not in INLINE):
                 return
 
     def handle_data(self, data):

@@ -60,6 +60,23 @@ def test_odd_pages(extractor, spark):
     assert h.extract(df.limit(0), extractor).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["noscript", "template", "button", "svg", "iframe", "object", "canvas", "video"])
+def test_markup_inside_silent_elements_stays_inside(tag):
+    page = h.Page(f"<div class=article><p>A</p><{tag}><div>x</div>y<a href=/1>z</a><ul><li>w</ul>v</{tag}><p>B</p></div><p>C</p>")
+    assert [t for _, t, _ in page.blocks()] == ["A", "B", "C"]
+    article = page.tags.index("div")
+    assert [page.parents[owner] for owner, _, _ in page.blocks()] == [article, article, 0]
+    assert not page.links and not page.silent and not any(linked for _, _, linked in page.blocks())
+
+
+def test_odd_silent_elements():
+    read = lambda page: [t for _, t, _ in h.Page(page).blocks()]
+    assert read("<div><noscript></div>x</p>y</noscript><p>B</div>") == ["B"]
+    assert read("<div><svg class='i'/><p>A</p><svg><g><path/></g><title>t</title></svg>B</div>") == ["A", "B"]
+    assert read("<div>A<button>x</div>B") == ["A", "B"]  # an unclosed button ends with what it stands in
+    assert [linked for _, _, linked in h.Page("<div><a href=/1>A<button>x</div>B").blocks()] == [1, 0]
+
+
 def test_decoding_contradicts_nothing():
     import numpy as np
     rng = np.random.default_rng(3)
