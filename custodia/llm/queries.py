@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import byte_bpe, exact_dedup, html_extract, packing, pii, pq_dedup, quality, simhash, url_filter, warc
+from custodia.llm import byte_bpe, exact_dedup, html_extract, packing, pii, pq_dedup, quality, simhash, token_align, url_filter, warc
 from custodia.llm.common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.train()).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op12_token_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    rows, _ = token_align.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
