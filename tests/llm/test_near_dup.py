@@ -60,3 +60,28 @@ def test_odd_rows(spark):
     kept = sorted(((r.doc_id, r.text, r.fp) for r in near_dup.deduplicate(df).collect()), key=str)
     assert kept == sorted([(3, "", 2), (7, "a b c d", 3), (None, "alone here now", 5)], key=str)
     assert near_dup.groups(df.limit(0)).count() == 0
+
+
+def test_a_family_below_the_threshold_in_small_cells(spark, monkeypatch):
+    """Many texts that resemble each other at 0.5 to 0.85: few link, all share buckets; cells of a few sets each."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    base = [word() for _ in range(150)]
+    rows = {}
+    for i in range(200):
+        words = list(base)
+        for _ in range(draw.randrange(1, 9)):
+            words[draw.randrange(len(words))] = word()
+        rows[i] = " ".join(words)
+    stay, pairs = wanted(rows)
+    assert 20 < len(stay) < 150 and pairs > 100
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    for sets in (near_dup.CELL_SETS, 13):
+        monkeypatch.setattr(near_dup, "CELL_SETS", sets)
+        assert {r.doc_id for r in near_dup.deduplicate(df).collect()} == stay
+
+
+def test_sketch():
+    x, y = near_dup.sketch("a b c d e f g"), near_dup.sketch("A  b c\nd e f g ")
+    assert x == y and x[1] == 3 and len(x[3]) == near_dup.BANDS and len(x[4]) == near_dup.BANDS * near_dup.ROWS
+    assert near_dup.sketch("") == (0, 0, 0, [], b"") and near_dup.ALIKE == 102
