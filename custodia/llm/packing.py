@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from collections import deque
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ REMEMBER, LONG_WORD = 1_200_000, 64
 _TOKENIZERS: dict[str, WordIds] = {}
 #: White space to str.split but not to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Latin letters, whose case and composition depend on nothing around them, and marks that never join letters.
-_STEM_AND_MARKS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?*#%&$]*)")
+#: A full stop or comma beside another mark, with which the tokenizer would join it.
+_JOINED = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 
 
 class WordIds:
@@ -55,50 +56,53 @@ class WordIds:
             vocab = json.load(f)["model"]["vocab"]
         self.stops = np.array(sorted(i for t, i in vocab.items() if re.fullmatch(r"[.!?]+[\"')\]]*(</w>)?", t)), np.uint32)
 
+    @staticmethod
+    def words(text: str) -> list[str] | None:
+        """Words of a text whose ids, one behind the other, are those of the text; None where it must be encoded whole.
+
+        A full stop or comma beside letters, digits or white space only is a pre-token of its own, so it is set
+        apart, where normalising leaves no mark beside it. The tokenizer drops case, so that goes where one
+        letter's case depends on nothing around it.
+        """
+        if _SEPARATORS.search(text):
+            return None
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+            plain = True
+        except UnicodeEncodeError:
+            plain = "\u0130" not in text and unicodedata.is_normalized("NFC", text)
+        if plain and not _JOINED.search(text):
+            text = text.replace(".", " . ").replace(",", " , ")
+        return text.split()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [None if _SEPARATORS.search(t) else t.split() for t in texts]
         if len(self.memory) > REMEMBER:
             self.memory.clear()
-        met: set[str] = set()
-        for ws in words:
-            if ws:
-                met.update(ws)
-        memory = self.memory
-        long = self._learn([w for w in met if w not in memory])
+        known = self.memory.get
+        words = [self.words(t) for t in texts]
+        found = [None if ws is None else list(map(known, ws)) for ws in words]
+        new = set()
+        for ws, ids in zip(words, found, strict=True):
+            if ids and None in ids:
+                new.update([w for w, i in zip(ws, ids, strict=True) if i is None])
+        fresh = self._learn(list(new))
         out = []
-        for t, ws in zip(texts, words, strict=True):
-            if ws is None:
+        for t, ws, ids in zip(texts, words, found, strict=True):
+            if ids is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))
-            elif long:
-                out.append(np.frombuffer(b"".join([long[w] if w in long else memory[w] for w in ws]), "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join(map(memory.__getitem__, ws)), "<u4"))
+                continue
+            if None in ids:
+                ids = [fresh[w] if i is None else i for w, i in zip(ws, ids, strict=True)]
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Remember new words; those too long to be remembered are returned.
-
-        A plain word with marks behind it is two pre-tokens, and case is dropped, so its stem is looked up first.
-        """
-        memory, stems, ask = self.memory, [], set()
-        for w in words:
-            found = _STEM_AND_MARKS.fullmatch(w)
-            if found and len(w) <= LONG_WORD:
-                stem, marks = found[1].lower(), found[2]
-                stems.append((w, stem, marks))
-                if stem not in memory:
-                    ask.add(stem)
-                if marks and marks not in memory:
-                    ask.add(marks)
-            else:
-                ask.add(w)
-        encode = lambda ws: [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(ws, add_special_tokens=False)]
-        short = [w for w in ask if len(w) <= LONG_WORD]
-        memory.update(zip(short, encode(short), strict=True))
-        for w, stem, marks in stems:
-            memory[w] = memory[stem] + memory[marks] if marks else memory[stem]
-        long = [w for w in ask if len(w) > LONG_WORD]
-        return dict(zip(long, encode(long), strict=True))
+        """Ids of new words; those that are not too long are remembered."""
+        ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = dict(zip(words, ids, strict=True))
+        self.memory.update(found if max(map(len, words), default=0) <= LONG_WORD else {w: i for w, i in found.items() if len(w) <= LONG_WORD})
+        return found
 
 
 def tokenizer(path: str) -> WordIds:

@@ -94,3 +94,15 @@ def test_spans_join_up():
         got[key].append(ids)
     assert all((np.concatenate(got[k]) == d).all() for k, d in enumerate(docs))
     assert [s for *_, s, _ in out] == sorted(s for *_, s, _ in out)
+
+
+def test_words_have_the_ids_of_their_text(reference):
+    """Marks set apart and case dropped change no id, whatever stands around them."""
+    draw = random.Random(11)
+    bits = [" ", "  ", "\n", "a", "The", "É", "œ", "Σ", "ΑΣ", "İ", "ß", "日", "1", "42", ".", ",", "..", "-", "'s", "n't", "_", "́", "​", "\x1c", "\x00", "\U0001f600", "|", "\"", "½", "²", "ª", "ⅷ", "\u0958", "\u0130", "x" * 70]
+    texts = ["".join(draw.choices(bits, k=draw.randrange(1, 30))) for _ in range(6000)] + ["a.b", "a .b", "3.14,15", ".", "..", "a,.b", "_.", "._", "é.", ".é", "é.", "a.́"]
+    words = packing.WordIds(PATH)
+    for at in range(0, len(texts), 500):
+        some = texts[at:at + 500]
+        for text, ids in zip(some, words.encode(some), strict=True):
+            assert ids.tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
