@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from custodia.operators import lineage as ln
+from custodia.operators import traces
 
 E, ROOT = "lineage_edges", "catalog://region.r0"
 LEAF = "catalog://order.o77"
@@ -154,25 +155,55 @@ def _(t):
  k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY total DESC, len(path) DESC, path DESC) AS rn, COUNT(*) OVER (PARTITION BY trace_id) AS reached, MAX(depth) OVER (PARTITION BY trace_id) AS d FROM w)
  SELECT trace_id, reached, d AS depth, total AS critical_ms, array_to_string(path, '>') AS critical_path FROM k WHERE rn = 1""", "spans")
 def _(t):
-    return ln.trace_tree(t.spans, 5).withColumn("critical_path", F.array_join("critical_path", ">")).drop("truncated")
+    return traces.trace_tree(t.spans, 5).where("reached > 0").withColumn("critical_path", F.array_join("critical_path", ">")).drop("truncated", "orphaned", "cyclic", "repeated")
 
 
-# a chain of all nations: deeper than any default
-_CHAIN = "SELECT n_nationkey AS span_id, CASE WHEN n_nationkey > 0 THEN n_nationkey - 1 END AS parent_span_id, n_nationkey + 1 AS duration_ms FROM nation"
+# every order of a customer is called by the one before: chains as long as a customer's history. The first order of some
+# customers is called by their last one (a cycle), of others by an order that nobody placed; some ids come twice.
+_ORDER_SPANS = """o AS (SELECT o_custkey AS trace_id, o_orderkey AS span_id, CAST(o_orderkey % 1000 AS BIGINT) AS duration_ms,
+  lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, max(o_orderkey) OVER (PARTITION BY o_custkey) AS top,
+  last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM orders),
+ order_spans AS (SELECT trace_id, span_id, coalesce(before, CASE WHEN trace_id % 5 = 1 THEN final WHEN trace_id % 5 = 2 THEN -1 END) AS parent_span_id, duration_ms FROM o
+  UNION ALL SELECT trace_id, span_id, top, duration_ms FROM o WHERE trace_id % 5 = 3 AND span_id % 4 = 0 AND before IS NULL)"""
 
 
-def _chain(t):
-    return t.nation.selectExpr("1 AS trace_id", "n_nationkey AS span_id", "CASE WHEN n_nationkey > 0 THEN n_nationkey - 1 END AS parent_span_id", "n_nationkey + 1 AS duration_ms")
+def _order_spans(t):
+    t.orders.createOrReplaceTempView("orders")
+    return t.spark.sql(f"WITH {_ORDER_SPANS} SELECT * FROM order_spans")
 
 
-@check("t12_trace_tree_deep", f"SELECT 1 AS trace_id, COUNT(*) AS reached, CAST(COUNT(*) AS INT) AS depth, CAST(SUM(duration_ms) AS BIGINT) AS critical_ms, false AS truncated FROM ({_CHAIN})")
+_CHAIN_SQL = f"""WITH RECURSIVE {_ORDER_SPANS}, k AS (SELECT *, trace_id % 5 = 3 AND span_id % 4 = 0 AND before IS NULL AS twice, trace_id % 5 IN (1, 2) AS loose FROM o),
+ n AS (SELECT trace_id, span_id, duration_ms, twice, loose, (SELECT COUNT(*) FROM orders x JOIN orders y ON y.o_orderkey = k.span_id
+   WHERE x.o_custkey = k.trace_id AND (x.o_orderdate, x.o_orderkey) <= (y.o_orderdate, y.o_orderkey)) AS place FROM k)"""
+
+
+@check("t12_trace_tree_deep", f"""{_CHAIN_SQL}
+ SELECT trace_id, CASE WHEN loose THEN 0 ELSE COUNT(*) END AS reached, CAST(CASE WHEN loose THEN 0 ELSE COUNT(*) END AS INT) AS depth,
+  CAST(CASE WHEN NOT loose THEN SUM(duration_ms) END AS BIGINT) AS critical_ms,
+  CASE WHEN loose THEN '' ELSE string_agg(CAST(span_id AS VARCHAR), '>' ORDER BY place) END AS critical_path, false AS truncated,
+  CASE WHEN trace_id % 5 = 2 THEN COUNT(*) ELSE 0 END AS orphaned, CASE WHEN trace_id % 5 = 1 THEN COUNT(*) ELSE 0 END AS cyclic,
+  CAST(COUNT(*) FILTER (WHERE twice) AS BIGINT) AS repeated FROM n GROUP BY trace_id, loose""")
+def _(t):
+    return traces.trace_tree(_order_spans(t)).withColumn("critical_path", F.array_join("critical_path", ">"))
+
+
+@check("t12_trace_tree_cut", f"""{_CHAIN_SQL}
+ SELECT trace_id, COUNT(*) FILTER (WHERE place <= 7) AS reached, CAST(least(COUNT(*), 7) AS INT) AS depth, COUNT(*) > 7 AS truncated,
+  CAST(SUM(duration_ms) FILTER (WHERE place <= 7) AS BIGINT) AS critical_ms FROM n WHERE NOT loose GROUP BY trace_id""")
 def _(t):
-    return ln.trace_tree(_chain(t)).drop("critical_path").withColumn("critical_ms", F.col("critical_ms").cast("bigint"))
+    return traces.trace_tree(_order_spans(t), 7).where("reached > 0").select("trace_id", "reached", "depth", "truncated", "critical_ms")
 
 
-@check("t12_trace_tree_cut", f"SELECT 1 AS trace_id, CAST(7 AS BIGINT) AS reached, 7 AS depth, true AS truncated FROM ({_CHAIN}) WHERE span_id = 0")
+@check("t12_subtree_totals", """WITH RECURSIVE u AS (SELECT trace_id, span_id, parent_span_id, MAX(duration_ms) AS ms FROM spans GROUP BY ALL),
+ r AS (SELECT trace_id, span_id, parent_span_id, ms FROM u WHERE parent_span_id IS NULL
+  UNION ALL SELECT u.trace_id, u.span_id, u.parent_span_id, u.ms FROM r JOIN u ON u.trace_id = r.trace_id AND u.parent_span_id = r.span_id),
+ w AS (SELECT trace_id, span_id, span_id AS up, ms FROM r
+  UNION ALL SELECT w.trace_id, w.span_id, r.parent_span_id, w.ms FROM w JOIN r ON r.trace_id = w.trace_id AND r.span_id = w.up WHERE r.parent_span_id IS NOT NULL),
+ c AS (SELECT trace_id, parent_span_id AS span_id, SUM(ms) AS below FROM r GROUP BY ALL)
+ SELECT w.trace_id, w.up AS span_id, COUNT(*) AS spans, CAST(SUM(w.ms) AS BIGINT) AS total_ms, CAST(greatest(0, any_value(r.ms) - coalesce(any_value(c.below), 0)) AS BIGINT) AS self_ms
+ FROM w JOIN r ON r.trace_id = w.trace_id AND r.span_id = w.up LEFT JOIN c ON c.trace_id = w.trace_id AND c.span_id = w.up GROUP BY w.trace_id, w.up""", "spans")
 def _(t):
-    return ln.trace_tree(_chain(t), 7).drop("critical_path", "critical_ms")
+    return traces.subtree_totals(t.spans)
 
 
 _NATION_EDGES = "SELECT 'n' || (n_nationkey - 1) AS src, 'n' || n_nationkey AS dst FROM nation WHERE n_nationkey > 0"

@@ -234,42 +234,3 @@ def lineage_consistency(up: DataFrame, down: DataFrame) -> DataFrame:
     a, b = up.select("src", "dst"), down.select("src", "dst")
     return (a.exceptAll(b).withColumn("missing_in", F.lit("downstream"))
             .unionAll(b.exceptAll(a).withColumn("missing_in", F.lit("upstream"))))
-
-
-def trace_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Per trace: spans reached from its roots, depth and the slowest root-to-leaf path, and whether ``max_depth`` cut deeper ones off.
-
-    The same frontier walk, keyed by (trace_id, span_id), so a trace with very many spans is spread over tasks.
-    """
-    child = spans.select("trace_id", F.col("span_id").alias("__id"), F.col("parent_span_id").alias("__parent"),
-                         F.col("duration_ms").alias("__ms"))
-    frontier = child.where("__parent IS NULL").select(
-        "trace_id", F.col("__id").alias("span_id"), F.lit(1).alias("depth"), F.array("__id").alias("path"),
-        F.col("__ms").alias("total_ms"))
-    levels = [frontier]
-    open_ends = None
-    for depth in _levels(max_depth, 2):
-        step = frontier.withColumnRenamed("trace_id", "__trace").join(
-            child, (F.col("__trace") == F.col("trace_id")) & (F.col("span_id") == F.col("__parent")))
-        found = step.select("trace_id", F.col("__id").alias("span_id"), F.lit(depth).alias("depth"),
-                            F.array_append("path", F.col("__id")).alias("path"),
-                            (F.col("total_ms") + F.col("__ms")).alias("total_ms"))
-        found, rows_found = materialize(found, "trace")
-        if not rows_found:
-            break
-        levels.append(found)
-        frontier = found
-    if max_depth is not None:
-        last = levels[-1].where(F.col("depth") == max_depth).select(F.col("trace_id").alias("__trace"), "span_id")
-        open_ends = last.join(child, (F.col("__trace") == F.col("trace_id")) & (F.col("span_id") == F.col("__parent"))).select("trace_id", F.lit(True).alias("__cut")).distinct()
-    rows = levels[0]
-    for part in levels[1:]:
-        rows = rows.unionAll(part)
-    best = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("depth"),
-                                        F.max(F.struct("total_ms", F.size("path").alias("n"), "path")).alias("best"))
-    if open_ends is None:
-        best = best.withColumn("truncated", F.lit(False))
-    else:
-        best = best.join(open_ends, "trace_id", "left").withColumn("truncated", F.coalesce("__cut", F.lit(False)))
-    return best.select("trace_id", "reached", "depth", F.col("best.total_ms").alias("critical_ms"),
-                       F.col("best.path").alias("critical_path"), "truncated")
