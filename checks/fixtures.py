@@ -255,6 +255,24 @@ _T["versioned_edges"] = [("orders", [
 ])]
 
 
+# five levels with validity; customers come and go, and some orders lead back to the nation for a while
+_T["temporal_edges"] = [
+    ("nation", [("src", "concat('region.r', CAST(n_regionkey AS {STR}))"), ("dst", "concat('nation.n', CAST(n_nationkey AS {STR}))"),
+                ("valid_from", "CAST('1990-01-01' AS DATE)"), ("valid_to", "CASE WHEN n_nationkey % 2 = 0 THEN CAST('1997-01-01' AS DATE) END")]),
+    ("nation WHERE n_nationkey % 2 = 0", [
+        ("src", "concat('region.r', CAST(n_regionkey AS {STR}))"), ("dst", "concat('nation.n', CAST(n_nationkey AS {STR}))"),
+        ("valid_from", "CAST('1996-07-01' AS DATE)"), ("valid_to", "CAST('1998-01-01' AS DATE)")]),
+    ("customer", [("src", "concat('nation.n', CAST(c_nationkey AS {STR}))"), ("dst", "concat('customer.c', CAST(c_custkey AS {STR}))"),
+                  ("valid_from", "CAST(CAST('1992-01-01' AS DATE) + CAST(c_custkey % 1500 AS INT) * INTERVAL 1 DAY AS DATE)"),
+                  ("valid_to", "CASE WHEN c_custkey % 4 > 0 THEN CAST(CAST('1993-06-01' AS DATE) + CAST(c_custkey % 1700 AS INT) * INTERVAL 1 DAY AS DATE) END")]),
+    ("orders", [("src", "concat('customer.c', CAST(o_custkey AS {STR}))"), ("dst", "concat('order.o', CAST(o_orderkey AS {STR}))"),
+                ("valid_from", "CAST(o_orderdate AS DATE)"), ("valid_to", "CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate + INTERVAL 300 DAY AS DATE) END")]),
+    ("orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 40 = 0", [
+        ("src", "concat('order.o', CAST(o_orderkey AS {STR}))"), ("dst", "concat('nation.n', CAST((c_nationkey + 1) % 25 AS {STR}))"),
+        ("valid_from", "CAST(o_orderdate AS DATE)"), ("valid_to", "CAST(o_orderdate + INTERVAL 20 DAY AS DATE)")]),
+]
+
+
 def _render_duck(name: str) -> str:
     parts = []
     for source, cols in _T[name]:

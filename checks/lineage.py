@@ -121,6 +121,16 @@ def _(t):
     return ln.lineage_as_of(t.versioned_edges, F.expr("TIMESTAMP_NTZ '1998-06-01 00:00:00'")).select("src", "dst")
 
 
+@check("n11_reach_over_time", """WITH RECURSIVE e AS (SELECT src, dst, valid_from AS f, coalesce(valid_to, DATE '9999-12-31') AS t FROM temporal_edges WHERE valid_to IS NULL OR valid_from < valid_to),
+ w AS (SELECT dst AS node, f, t FROM e WHERE src = 'region.r1'
+  UNION SELECT e.dst, greatest(w.f, e.f), least(w.t, e.t) FROM w JOIN e ON e.src = w.node WHERE greatest(w.f, e.f) < least(w.t, e.t)),
+ b AS (SELECT *, max(t) OVER (PARTITION BY node ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w WHERE node <> 'region.r1'),
+ i AS (SELECT *, sum(CASE WHEN before IS NULL OR before < f THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS island FROM b)
+ SELECT node, min(f) AS valid_from, CASE WHEN max(t) < DATE '9999-12-31' THEN max(t) END AS valid_to FROM i GROUP BY node, island""", "temporal_edges")
+def _(t):
+    return ln.reach_over_time(t.temporal_edges, ["region.r1"]).drop("root")
+
+
 @check("n12_lineage_hints", """WITH x AS (SELECT table_name, table_id, CASE WHEN lower(location) LIKE '%raw%' THEN 'raw' WHEN lower(location) LIKE '%processed%' THEN 'processed' WHEN lower(location) LIKE '%curated%' THEN 'curated' END AS tier, source_tables, downstream_tables FROM catalog_tables),
  h AS (SELECT table_id, 'upstream' AS direction, unnest(string_split(source_tables, ',')) AS related FROM x WHERE source_tables IS NOT NULL
   UNION ALL SELECT table_id, 'downstream', unnest(string_split(downstream_tables, ',')) FROM x WHERE downstream_tables IS NOT NULL)
@@ -206,18 +216,39 @@ def _(t):
     return traces.subtree_totals(t.spans)
 
 
-_NATION_EDGES = "SELECT 'n' || (n_nationkey - 1) AS src, 'n' || n_nationkey AS dst FROM nation WHERE n_nationkey > 0"
+# a chain of the orders of each customer, by date; the longest histories grow with the table
+_CHAIN_EDGES = """o AS (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders),
+ chain_edges AS (SELECT concat('o', CAST(before AS {S})) AS src, concat('o', CAST(o_orderkey AS {S})) AS dst, 'next' AS relationship, CAST(NULL AS {S}) AS transformation FROM o WHERE before IS NOT NULL)"""
+_DUCK_CHAIN = _CHAIN_EDGES.format(S="VARCHAR")
 
 
-def _nation_edges(t):
-    return t.nation.where("n_nationkey > 0").selectExpr("concat('n', n_nationkey - 1) AS src", "concat('n', n_nationkey) AS dst", "'next' AS relationship", "CAST(NULL AS STRING) AS transformation")
+def _chain_edges(t):
+    t.orders.createOrReplaceTempView("orders")
+    return t.spark.sql(f"WITH {_CHAIN_EDGES.format(S='STRING')} SELECT * FROM chain_edges")
+
+
+# customer 1's history from its first order to its last
+_ENDS = "SELECT concat('o', CAST(min_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS STRING)) AS a, concat('o', CAST(max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS STRING)) AS b FROM orders WHERE o_custkey = 1"
+
+
+@check("n6_find_path_long", f"WITH {_DUCK_CHAIN} SELECT string_agg('o' || o_orderkey, ' > ' ORDER BY place) AS path FROM o WHERE o_custkey = 1")
+def _(t):
+    edges = _chain_edges(t)
+    ends = t.spark.sql(_ENDS).first()
+    return ln.find_path(edges, ends.a, ends.b).select(F.array_join("path", " > ").alias("path"))
 
 
-@check("n6_find_path_long", "SELECT string_agg('n' || n_nationkey, ' > ' ORDER BY n_nationkey) AS path FROM nation")
+@check("n2_downstream_all_levels", f"""WITH {_DUCK_CHAIN} SELECT concat('o', CAST(a.o_orderkey AS VARCHAR)) AS root, concat('o', CAST(b.o_orderkey AS VARCHAR)) AS node, CAST(b.place - a.place AS INT) AS level
+ FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.place = 1 AND b.place > 1""")
 def _(t):
-    return ln.find_path(_nation_edges(t), "n0", "n24").select(F.array_join("path", " > ").alias("path"))
+    edges = _chain_edges(t)
+    firsts = t.spark.sql("SELECT concat('o', CAST(min_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS STRING)) AS root FROM orders GROUP BY o_custkey")
+    return ln.downstream(edges, firsts, None).select("root", "node", "level")
 
 
-@check("n2_downstream_all_levels", "SELECT 'n0' AS root, 'n' || n_nationkey AS node, CAST(n_nationkey AS INT) AS level FROM nation WHERE n_nationkey > 0")
+@check("n8_longest_path", f"WITH {_DUCK_CHAIN} SELECT string_agg('o' || o_orderkey, ' > ' ORDER BY place) AS path FROM o WHERE o_custkey = 2")
 def _(t):
-    return ln.downstream(_nation_edges(t), ["n0"], None).select("root", "node", "level")
+    edges = _chain_edges(t)
+    first = t.spark.sql(_ENDS.replace("o_custkey = 1", "o_custkey = 2")).first().a
+    return ln.longest_path(edges, first).select(F.array_join("path", " > ").alias("path"))

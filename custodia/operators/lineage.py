@@ -1,20 +1,23 @@
 """Lineage over an edge table ``(src, dst, relationship, transformation)``.
 
-Walks run level by level as equi-joins of the frontier with the edges. Each finished level is written to the
-shared folder (see ``session.materialize``), which stops the plan from growing, tells Catalyst the real size of
-the frontier and lets the walk end as soon as a level is empty. Nothing is collected. A depth of None walks until
-that happens: a node, or a node of a path, is never expanded twice, so cycles end too.
+Walks run level by level as equi-joins of the frontier with the edges. The edges are laid out once, in buckets by the
+node that they leave (see ``session.lay_out``), so a level moves its frontier and nothing else; ``laid_out`` gives a
+layout that several walks share. Each finished level is written to the shared folder (see ``session.materialize``),
+which stops the plan from growing, tells Catalyst the real size of the frontier and lets the walk end as soon as a
+level is empty. Nothing is collected. A depth of None walks until that happens: a node, or a node of a path, is
+never expanded twice, so cycles end too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import cached_property
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.session import materialize
+from custodia.session import lay_out, materialize
 
 
 def _levels(depth: int | None, first: int = 1) -> Iterable[int]:
@@ -23,25 +26,48 @@ def _levels(depth: int | None, first: int = 1) -> Iterable[int]:
     return count(first) if depth is None else range(first, depth + 1)
 
 
-def _roots(edges: DataFrame, roots: Sequence[str] | DataFrame) -> DataFrame:
+def _roots(edges: DataFrame | LaidOut, roots: Sequence[str] | DataFrame) -> DataFrame:
     """One column ``root``: given as a list of URIs or as the first column of a DataFrame."""
     if isinstance(roots, DataFrame):
         return roots.select(F.col(roots.columns[0]).alias("root")).distinct()
-    return edges.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(roots)], "root string")
+    return laid_out(edges).edges.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(roots)], "root string")
 
 
-def _directed(edges: DataFrame, forward: bool) -> DataFrame:
-    a, b = ("src", "dst") if forward else ("dst", "src")
-    return edges.select(F.col(a).alias("__from"), F.col(b).alias("__to"), "relationship", "transformation")
+class LaidOut:
+    """Edges laid out for walks; each direction when it is first walked."""
 
+    def __init__(self, edges: DataFrame):
+        self.edges = edges
 
-def walk(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int | None = 3, forward: bool = True) -> DataFrame:
+    @cached_property
+    def forward(self) -> DataFrame:
+        return self._by("src", "dst")
+
+    @cached_property
+    def backward(self) -> DataFrame:
+        return self._by("dst", "src")
+
+    def _by(self, a: str, b: str) -> DataFrame:
+        rest = [c for c in self.edges.columns if c not in ("src", "dst")]
+        return lay_out(self.edges.where(F.col(a).isNotNull()).select(F.col(a).alias("__from"), F.col(b).alias("__to"), *rest), "__from", "edges")
+
+
+def laid_out(edges: DataFrame | LaidOut) -> LaidOut:
+    return edges if isinstance(edges, LaidOut) else LaidOut(edges)
+
+
+def _hops(edges: DataFrame | LaidOut, forward: bool) -> DataFrame:
+    """(__from, __to, the edges' other columns), in buckets by __from."""
+    return laid_out(edges).forward if forward else laid_out(edges).backward
+
+
+def walk(edges: DataFrame | LaidOut, roots: Sequence[str] | DataFrame, depth: int | None = 3, forward: bool = True) -> DataFrame:
     """Every edge of every path from the roots, up to ``depth`` edges.
 
     One row per edge and path: an edge reached over two paths appears twice. A path never expands a node twice,
     but the edge that closes a cycle is still reported.
     """
-    hops = _directed(edges, forward)
+    hops = _hops(edges, forward)
     frontier = _roots(edges, roots).select("root", F.col("root").alias("node"),
                                            F.array().cast("array<string>").alias("path"))
     levels: list[DataFrame] = []
@@ -62,9 +88,9 @@ def walk(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int | None =
     return out
 
 
-def reach(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int | None = 3, forward: bool = True) -> DataFrame:
+def reach(edges: DataFrame | LaidOut, roots: Sequence[str] | DataFrame, depth: int | None = 3, forward: bool = True) -> DataFrame:
     """Each reachable node once, at its first level, with the smallest edge that leads to it there."""
-    hops = _directed(edges, forward)
+    hops = _hops(edges, forward)
     seen = _roots(edges, roots).select("root", F.col("root").alias("node"))
     frontier = seen
     levels: list[DataFrame] = []
@@ -86,21 +112,22 @@ def reach(edges: DataFrame, roots: Sequence[str] | DataFrame, depth: int | None
     return out
 
 
-def upstream(edges: DataFrame, roots, depth: int | None = 3, paths: bool = False) -> DataFrame:
+def upstream(edges: DataFrame | LaidOut, roots, depth: int | None = 3, paths: bool = False) -> DataFrame:
     """Sources of the roots; ``paths`` keeps one row per path instead of one per node."""
     return walk(edges, roots, depth, forward=False) if paths else reach(edges, roots, depth, forward=False)
 
 
-def downstream(edges: DataFrame, roots, depth: int | None = 3, paths: bool = False) -> DataFrame:
+def downstream(edges: DataFrame | LaidOut, roots, depth: int | None = 3, paths: bool = False) -> DataFrame:
     return walk(edges, roots, depth) if paths else reach(edges, roots, depth)
 
 
-def impact_analysis(edges: DataFrame, roots, depth: int | None = 3) -> DataFrame:
+def impact_analysis(edges: DataFrame | LaidOut, roots, depth: int | None = 3) -> DataFrame:
     return reach(edges, roots, depth)
 
 
-def lineage(edges: DataFrame, roots, depth: int | None = 3) -> DataFrame:
+def lineage(edges: DataFrame | LaidOut, roots, depth: int | None = 3) -> DataFrame:
     """Both directions: (root, node, direction, distance)."""
+    edges = laid_out(edges)
     up = reach(edges, roots, depth, forward=False).select("root", "node", F.lit("upstream").alias("direction"),
                                                           F.col("level").alias("distance"))
     down = reach(edges, roots, depth).select("root", "node", F.lit("downstream").alias("direction"),
@@ -125,13 +152,12 @@ def has_lineage(uris: DataFrame, edges: DataFrame) -> DataFrame:
     return uris.join(nodes(edges), "uri", "left_semi")
 
 
-def find_path(edges: DataFrame, src: str, dst: str, max_nodes: int | None = None) -> DataFrame:
+def find_path(edges: DataFrame | LaidOut, src: str, dst: str, max_nodes: int | None = None) -> DataFrame:
     """Shortest downstream path (of at most ``max_nodes``) as an array of URIs, or no row. The smallest path wins among equals."""
-    spark = edges.sparkSession
-    start = spark.createDataFrame([(src, [src])], "node string, path array<string>")
+    start = laid_out(edges).edges.sparkSession.createDataFrame([(src, [src])], "node string, path array<string>")
     if src == dst:
         return start.select("path")
-    hops = edges.select(F.col("src").alias("__from"), F.col("dst").alias("__to"))
+    hops = _hops(edges, True)
     seen, frontier = start.select("node"), start
     for _ in _levels(max_nodes, 2):
         step = frontier.join(hops, frontier["node"] == hops["__from"])
@@ -151,24 +177,99 @@ def domain_of(uri: Column) -> Column:
     return F.regexp_extract(uri, r"^catalog://([^.]+)\.", 1)
 
 
-def lineage_summary(edges: DataFrame, root: str, depth: int | None = 3) -> DataFrame:
+def strong_components(links: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of ``links`` (a, b) that lie on a cycle; the component is its largest node.
+
+    Nodes without a link in or without one out lie on none and are peeled off. In the rest every node learns the
+    largest node that leads to it; those that lead back to the node they learned form its component. What is found
+    goes, and the rest starts anew. A self-link is a cycle.
+    """
+    left, n = materialize(links.select("a", "b").distinct(), "links")
+    found = left.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    while n:
+        before = None
+        while n and n != before:
+            before = n
+            left, n = materialize(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+                                  .join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "links")
+        if not n:
+            break
+        color = left.select(F.col("a").alias("node"), F.col("a").alias("color")).distinct()
+        moved = 1
+        while moved:
+            told = left.join(color, left["a"] == color["node"]).groupBy(F.col("b").alias("node")).agg(F.max("color").alias("told"))
+            color, _ = materialize(color.join(told, "node").select("node", F.greatest("color", "told").alias("color"), (F.col("told") > F.col("color")).alias("moved")), "colors")
+            moved = color.where("moved").limit(1).count()
+            color = color.select("node", "color")
+        inner = left.join(color.select(F.col("node").alias("a"), F.col("color").alias("c")), "a").join(color.select(F.col("node").alias("b"), F.col("color").alias("d")), "b").where("c = d")
+        inner, _ = materialize(inner.select("a", "b", "c"), "links")
+        back, size = materialize(color.where("node = color").select("node", F.col("color").alias("component")), "component")
+        edge = back
+        while size:
+            step = inner.join(edge.withColumnRenamed("node", "b"), "b").where("c = component").select(F.col("a").alias("node"), "component").distinct()
+            edge, size = materialize(step.join(back, ["node", "component"], "left_anti"), "component")
+            back = back.unionByName(edge)
+        back, _ = materialize(back, "component")
+        # a color's root that nothing of its color leads to and that has no self-link is on no cycle
+        cyclic = back.join(inner.where("a = b").select(F.col("a").alias("node")).union(
+            back.groupBy("component").count().where("count > 1").join(back, "component").select("node")).distinct(), "node", "left_semi")
+        found = found.unionByName(cyclic.select("node", "component"))
+        gone = back.select("node")
+        left, n = materialize(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "links")
+    return materialize(found, "components")[0]
+
+
+def longest_path(edges: DataFrame | LaidOut, root: str, depth: int | None = None, near: DataFrame | None = None) -> DataFrame:
+    """One row, ``path``: the longest downstream path from ``root`` of up to ``depth`` edges (null without any), as ``walk`` would list it.
+
+    A path never expands a node twice, but may end in one of its own. Of equally long paths the smallest wins.
+    ``near`` is ``reach`` of the root, if that is known already. Paths are not listed: all that matters of a path for
+    its continuations is where it stands and which nodes of that node's strongly connected component it has been to,
+    so a level keeps the smallest path of each such state. Without cycles that is one path per node and level.
+    """
+    hops = _hops(edges, True)
+    start = _roots(edges, [root]).select(F.col("root").alias("node"))
+    near = reach(edges, [root], depth) if near is None else near
+    reached = near.select("node", "level").unionByName(start.select("node", F.lit(0).alias("level")))
+    open_ = reached if depth is None else reached.where(F.col("level") < depth)
+    links = open_.join(hops, open_["node"] == hops["__from"]).select(F.col("node").alias("a"), F.col("__to").alias("b"))
+    cycles = strong_components(links)
+    member, other = (cycles.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
+    links = links.distinct().join(member, "a", "left").join(other, "b", "left").select("a", "b", F.coalesce(F.col("ca") == F.col("cb"), F.col("a") == F.col("b")).alias("inside"))
+    links = lay_out(links, "a", "links")
+    frontier = start.select("node", F.array("node").alias("been"), F.array("node").alias("path"))
+    last = None
+    for _ in _levels(depth):
+        step = frontier.join(links, frontier["node"] == links["a"]).select(
+            F.col("b").alias("node"), F.when(F.col("inside"), F.array_sort(F.array_union("been", F.array("b")))).otherwise(F.array("b")).alias("been"),
+            (F.col("inside") & F.array_contains("been", F.col("b"))).alias("closed"), F.array_append("path", F.col("b")).alias("path"))
+        found, n = materialize(step.groupBy("node", "been", "closed").agg(F.min("path").alias("path")), "longest")
+        if not n:
+            break
+        last, frontier = found, found.where("NOT closed").drop("closed")
+    return (frontier.limit(0) if last is None else last).agg(F.min("path").alias("path"))
+
+
+def lineage_summary(edges: DataFrame | LaidOut, root: str, depth: int | None = 3) -> DataFrame:
     """Totals and depth per direction, domains touched and the longest downstream path."""
-    near = lineage(edges, [root], depth)
+    edges = laid_out(edges)
+    up, down = (reach(edges, [root], depth, forward=f) for f in (False, True))
+    down, _ = materialize(down, "downstream")
+    near = up.select("node", F.lit("upstream").alias("direction"), F.col("level").alias("distance")).unionAll(
+        down.select("node", F.lit("downstream").alias("direction"), F.col("level").alias("distance")))
     totals = near.agg(
         F.count_if(F.col("direction") == "upstream").alias("upstream_nodes"),
         F.count_if(F.col("direction") == "downstream").alias("downstream_nodes"),
         F.coalesce(F.max(F.when(F.col("direction") == "upstream", F.col("distance"))), F.lit(0)).alias("upstream_depth"),
         F.coalesce(F.max(F.when(F.col("direction") == "downstream", F.col("distance"))), F.lit(0)).alias("downstream_depth"),
         F.array_sort(F.collect_set(domain_of(F.col("node")))).alias("domains"))
-    full = F.array_append("path", F.col("node"))
-    longest = walk(edges, [root], depth).agg(
-        F.min(F.struct((-F.size(full)).alias("n"), full.alias("path"))).alias("best"))
-    return totals.withColumn("critical_path", longest.select("best.path").scalar())
+    return totals.withColumn("critical_path", longest_path(edges, root, depth, down).scalar())
 
 
-def lineage_graph(edges: DataFrame, root: str, depth: int | None = 3) -> tuple[DataFrame, DataFrame]:
+def lineage_graph(edges: DataFrame | LaidOut, root: str, depth: int | None = 3) -> tuple[DataFrame, DataFrame]:
     """Node table (uri, direction, distance, is_root) and the edges between those nodes."""
-    near = lineage(edges, [root], depth)
+    laid = laid_out(edges)
+    edges, near = laid.edges, lineage(laid, [root], depth)
     start = edges.sparkSession.createDataFrame([(root, "root", 0)], "uri string, direction string, distance int")
     table = start.unionAll(near.select(F.col("node").alias("uri"), "direction", "distance"))
     table = table.withColumn("is_root", F.col("uri") == root)
@@ -198,6 +299,37 @@ def lineage_as_of(edges: DataFrame, ts: Column) -> DataFrame:
     return edges.where((F.col("valid_from") <= ts) & (F.col("valid_to").isNull() | (F.col("valid_to") > ts)))
 
 
+def reach_over_time(edges: DataFrame | LaidOut, roots: Sequence[str] | DataFrame, forward: bool = True) -> DataFrame:
+    """(root, node, valid_from, valid_to): when each node is reachable from a root, for all dates in one walk.
+
+    A node is reachable at a date if some path leads to it whose edges are all valid then: intervals are
+    intersected along paths, and those of a node merged into as few as there are. Only intervals that are new or
+    have grown are walked on, so cycles end. ``lineage_as_of`` of the result are the nodes that ``reach`` finds over
+    the edges as of that date. Edges without a start, or that end when they start, are never valid.
+    """
+    hops = _hops(edges, forward).where("valid_from < valid_to OR (valid_from IS NOT NULL AND valid_to IS NULL)")
+    dates = dict(hops.dtypes)["valid_from"]
+    always = F.lit(None).cast(dates)
+    seen = _roots(edges, roots).select("root", F.col("root").alias("node"), always.alias("since"), always.alias("till"))  # no start: ever
+    frontier = seen
+    order = Window.partitionBy("root", "node").orderBy(F.asc_nulls_first("since"))
+    while True:
+        found = frontier.join(hops, frontier["node"] == hops["__from"]).select(
+            "root", F.col("__to").alias("node"), F.greatest("since", "valid_from").alias("since"), F.least("till", "valid_to").alias("till")
+        ).where("till IS NULL OR since < till").distinct()
+        # a null end is after all others: compared by (is open, end)
+        end = F.max(F.struct(F.col("till").isNull().alias("open"), "till"))
+        rows = seen.unionByName(found).withColumn("before", end.over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        starts = F.col("before").isNull() | (~F.col("before.open") & (F.col("before.till") < F.col("since")))
+        islands = rows.withColumn("island", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("root", "node", "island").agg(
+            F.min(F.struct(F.col("since").isNotNull().alias("bounded"), "since")).alias("s"), end.alias("e")).select("root", "node", "s.since", "e.till")
+        islands, _ = materialize(islands, "islands")
+        frontier, n = materialize(islands.subtract(seen), "islands")
+        seen = islands
+        if not n:
+            return seen.where("node <> root").select("root", "node", F.col("since").alias("valid_from"), F.col("till").alias("valid_to"))
+
+
 def lineage_hints(tables: DataFrame) -> DataFrame:
     """Edges named in table parameters plus the storage tier read from the location (first hit wins)."""
     where = F.lower("location")

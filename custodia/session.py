@@ -89,3 +89,19 @@ def materialize(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def lay_out(df: DataFrame, key: str, label: str = "layout") -> DataFrame:
+    """``df`` written to the shared folder in buckets by the hash of ``key``, sorted by it within each, and read as such.
+
+    A join on ``key`` with any other data moves that data only, not these rows, however often it runs. There are as
+    many buckets as shuffle partitions, one file each. The catalog knows the table for a moment only; the files stay.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"custodia_{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
