@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custodia.functions.text import contains_any
 from custodia.operators import aggregates as agg
-from custodia.operators.ordered import top_per_key
+from custodia.operators.ordered import join_null_safe, top_per_key
+from custodia.session import materialize
 
 # fixed values: path patterns in the order they are tried: regex, capture groups, column, type, granularity
 PATH_PATTERNS = [
@@ -204,54 +205,56 @@ def prefixes(listing: DataFrame) -> DataFrame:
     return listing.select(bucket_of(F.col("path")).alias("bucket"), prefix_of(F.col("path")).alias("prefix")).distinct()
 
 
-def _cuts(df: DataFrame, text: str, against: DataFrame, column: str, out: str) -> DataFrame:
-    """One row per row of ``df`` and distinct length in ``against[column]``: the start of ``text`` of that length.
+def swept(rows: DataFrame, text: str, marks: DataFrame, mark: str, keys: list[str] = []) -> DataFrame:
+    """``rows`` with ``__under`` (``text`` starts with a ``mark`` of the same ``keys``) and ``__over`` (it is the start of one).
 
-    A starts-with join would compare all pairs; joining these cuts by equality hashes them instead. Object keys
-    have at most 1024 bytes, which bounds both the number of cuts and the array of lengths.
+    A starts-with join as one sweep over both tables in order of their bytes. What starts with a mark lies between the
+    mark and the mark followed by a byte beyond any character, so a row is under a mark if the greatest such end
+    among the marks up to it is beyond it, and over one if the next mark is before its own end. The sweep runs in
+    each of many ranges; only the greatest end and the first mark of a range pass to the others. Every row is moved
+    once and comes out once, however many lengths the marks have, and a busy key is cut into ranges like any other.
+    Null texts, marks and keys match nothing.
     """
-    lengths = against.agg(F.collect_set(F.length(column)).alias("n")).scalar()
-    rows = df.withColumn("__len", F.explode_outer(lengths))
-    cut = F.when(F.col("__len") <= F.length(text), F.substring(F.col(text), F.lit(1), F.col("__len")))
-    return rows.withColumn(out, cut).drop("__len")
-
-
-def _starts(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Every start of every ``text``; for the short side only, since a row becomes as many as its text is long."""
-    cuts = F.transform(F.sequence(F.lit(0), F.length(text)), lambda n: F.substring(F.col(text), F.lit(1), n))
-    return df.select(F.explode(cuts).alias(out)).distinct()
+    end = lambda c: F.concat(c, F.lit(bytes([255])))
+    names = [f"__k{i}" for i in range(len(keys))] or ["__k0"]
+    key = lambda df: [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)] if keys else [F.lit(0).alias("__k0")]
+    held = rows.select(*key(rows), F.col(text).cast("binary").alias("__t"), F.struct(*rows.columns).alias("__row"), F.lit(None).cast("binary").alias("__mark"))
+    known = marks.where(F.col(mark).isNotNull()).select(*key(marks), F.col(mark).cast("binary").alias("__t")).distinct()
+    known = known.dropna(subset=names).withColumn("__row", F.lit(None).cast(held.schema["__row"].dataType)).withColumn("__mark", F.col("__t"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both, _ = materialize(held.unionByName(known).repartitionByRange(parts, *names, "__t").withColumn("__part", F.spark_partition_id()), "sweep")
+    order = Window.partitionBy(*names).orderBy("__part")
+    ranges = both.groupBy(*names, "__part").agg(F.max(end(F.col("__mark"))).alias("__end"), F.min("__mark").alias("__first")).select(
+        *names, "__part", F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__end"),
+        F.min("__first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__first"))
+    joined = join_null_safe(both, ranges, [*names, "__part"])
+    own = Window.partitionBy(*names, "__part").orderBy("__t")
+    last = F.greatest("__end", F.max(end(F.col("__mark"))).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    after = F.least("__first", F.min("__mark").over(own.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    out = joined.select("__row", F.coalesce(last > F.col("__t"), F.lit(False)).alias("__under"), F.coalesce(after < end(F.col("__t")), F.lit(False)).alias("__over"))
+    return out.where("__row IS NOT NULL").select("__row.*", "__under", "__over")
 
 
 def uncatalogued_prefixes(found: DataFrame, catalog: DataFrame) -> DataFrame:
     """Prefixes not starting with any catalogued prefix of their bucket; an empty one covers the bucket."""
-    known = catalog.select("bucket", F.col("prefix").alias("__cut")).distinct().withColumn("__hit", F.lit(True))
-    rows = _cuts(found.select("bucket", "prefix"), "prefix", catalog, "prefix", "__cut")
-    return (rows.join(known, ["bucket", "__cut"], "left").groupBy("bucket", "prefix")
-            .agg(F.max("__hit").alias("__hit")).where("__hit IS NULL").select("bucket", "prefix"))
+    return swept(found.select("bucket", "prefix").distinct(), "prefix", catalog, "prefix", ["bucket"]).where("NOT __under").select("bucket", "prefix")
 
 
 def not_covered(found: DataFrame, targets: DataFrame, column: str = "path") -> DataFrame:
-    """Paths that neither start with a target nor are the start of one (cut on both sides)."""
-    t = targets.select(F.col(column).alias("__t")).distinct()
-    rows = _cuts(found, column, t, "__t", "__cut").join(
-        t.select(F.col("__t").alias("__cut"), F.lit(True).alias("__hit")), "__cut", "left")
-    rest = rows.groupBy(*found.columns).agg(F.max("__hit").alias("__hit")).where("__hit IS NULL").drop("__hit")
-    return rest.join(_starts(t, "__t", column), column, "left_anti")
+    """Paths that neither start with a target nor are the start of one."""
+    return swept(found.distinct(), column, targets, column).where("NOT __under AND NOT __over").select(*found.columns)
 
 
 def containers_to_scan(containers: DataFrame, scanned: DataFrame, per_account: int | None = None) -> DataFrame:
     """Storage containers no scan covers, system containers skipped; ``per_account`` keeps the first of those by position.
 
-    A container is covered when its address occurs in a scanned name (case ignored): the starts of the name, from
-    its address onwards, are joined by equality.
+    A container is covered when its address occurs in a scanned name (case ignored): when the name, from its address
+    onwards, starts with the container's.
     """
-    rows = containers
     url = F.concat(F.lit("https://"), F.col("account"), F.lit(".blob.core.windows.net/"), F.col("container"))
-    rows = rows.withColumn("path", url).where(~F.col("container").startswith("$") & ~F.col("container").isin(SYSTEM_CONTAINERS))
-    rows = rows.withColumn("__low", F.lower("path"))
-    start = F.regexp_extract(F.lower("qualified_name"), r"(https://.*)$", 1)
-    names = scanned.select(start.alias("__t")).distinct()
-    left = rows.join(_starts(names, "__t", "__low"), "__low", "left_anti").drop("__low")
+    rows = containers.withColumn("path", url).where(~F.col("container").startswith("$") & ~F.col("container").isin(SYSTEM_CONTAINERS))
+    names = scanned.select(F.regexp_extract(F.lower("qualified_name"), r"(https://.*)$", 1).alias("__t"))
+    left = swept(rows.withColumn("__low", F.lower("path")), "__low", names, "__t").where("NOT __over").select(*rows.columns)
     return left if per_account is None else top_per_key(left, ["account"], [F.col("position"), F.col("container")], per_account)
 
 

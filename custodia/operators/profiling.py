@@ -205,12 +205,9 @@ def column_statistics(df: DataFrame, columns: Sequence[str], exact: bool = False
     base = df.agg(F.array(*[one(c) for c in columns]).alias("r")).select(F.inline("r"))
     if not exact:
         return base
-    long = _long(df, columns)
-    distinct = (long.where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-                .groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count")))
-    median = percentiles(long, ["column_name"], "value", {"median": 0.5}, exact=True)
-    return (base.join(distinct, "column_name", "left").join(median, "column_name", "left")
-            .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0))))
+    # one count of the values gives both
+    values = percentiles(_long(df, columns), ["column_name"], "value", {"median": 0.5}, exact=True, distinct=True).withColumnRenamed("distinct", "distinct_count")
+    return base.join(values, "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
 
 
 def sample_values(df: DataFrame, columns: Sequence[str], n: int = 5, masks: Mapping[str, object] = {}) -> DataFrame:

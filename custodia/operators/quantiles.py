@@ -1,4 +1,8 @@
-"""Percentiles: sketch-based by default, exact by distributed rank selection."""
+"""Percentiles: sketch-based by default, exact by distributed rank selection.
+
+Exact ranks need no sorted group. Equal values are counted, the counts are laid out once, range-partitioned by group and
+value, and the totals of the partitions say which partition holds a rank. Only those partitions are read again.
+"""
 
 from __future__ import annotations
 
@@ -8,82 +12,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custodia.operators.ordered import join_null_safe
-
-# First cut: bins per doubling of the magnitude, at every magnitude. Second cut: equal steps inside a bin.
-BINS_PER_OCTAVE = 1024
-STEPS = 4096
-
-
-def _bin(value: Column) -> Column:
-    """Monotone bin number: logarithmic in magnitude, NaN above everything as in Spark's own order."""
-    v = value.cast("double")
-    # exponents lie between -1074 and 1024, so the shifted bin of any magnitude is positive
-    size = F.floor((F.log2(F.abs(v)) + 1100.0) * BINS_PER_OCTAVE)
-    top = F.lit(3_000_000).cast("bigint")
-    size = F.when(F.abs(v) == float("inf"), top).otherwise(size)
-    return F.when(F.isnan(v), top + 1).when(v == 0, F.lit(0).cast("bigint")).when(v < 0, -size).otherwise(size)
-
-
-def _locate(counts: DataFrame, keys: list[str], spot: str, wants: DataFrame | None, ranks: dict) -> DataFrame:
-    """Rows of ``counts`` in the bins ``spot`` that hold a wanted rank, with those ranks and the rank where the bin begins.
-
-    Only the totals of a group's bins meet in one task. ``wants`` are the outer bins found before; None at first.
-    """
-    outer = keys if wants is None else [*keys, "__outer"]
-    bins = counts.groupBy(*outer, spot).agg(F.sum("__n").alias("__bn"))
-    upto = Window.partitionBy(*outer).orderBy(spot).rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("__hi", F.sum("__bn").over(upto))
-    if wants is None:
-        bins = bins.withColumn("__total", F.sum("__bn").over(Window.partitionBy(*keys)))
-        bins = bins.withColumn("__all_ranks", F.array(*[
-            F.struct(F.lit(name).alias("name"), fn(F.col("__total")).cast("bigint").alias("rank")) for name, fn in ranks.items()]))
-        bins = bins.withColumn("__base", F.lit(0).cast("bigint"))
-    else:
-        bins = join_null_safe(bins, wants, outer)
-    lo, hi = F.col("__base") + F.col("__hi") - F.col("__bn"), F.col("__base") + F.col("__hi")
-    hits = (bins.withColumn("__want", F.filter("__all_ranks", lambda r: (r["rank"] >= lo) & (r["rank"] < hi))).where(F.size("__want") > 0)
-            .select(*outer, spot, "__want", "__total", lo.alias("__lo")))
-    return join_null_safe(counts, hits, [*outer, spot])
+from custodia.session import materialize
 
 
-def order_statistics(df: DataFrame, group: list[str], col: str,
-                     ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Exact values at the requested 0-based ranks: ``ranks`` maps a name to a function of the row count.
+def order_statistics(df: DataFrame, group: list[str], col: str, ranks: dict[str, Callable[[Column], Column]], distinct: bool = False) -> DataFrame:
+    """Exact values at the requested 0-based ranks: ``ranks`` maps a name to a function of the row count, which is column ``n``.
 
-    Equal values are counted before any shuffle of rows. Bin totals locate the bin of each rank, steps inside that
-    bin locate it further, and only the distinct values of those steps are sorted: of a million values in one bin,
-    a few hundred. No group is ever sorted as a whole.
+    Values are in Spark's order, NaN last; nulls do not count. ``distinct`` adds the number of distinct values. The
+    counts are written once to the shared folder. A group meets in one task with the totals of its partitions, and
+    with the distinct values of those partitions (as many as ranks at most) that hold a wanted rank.
     """
-    counts = (df.where(F.col(col).isNotNull())
-              .groupBy(*group, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-              .withColumn("__bin", _bin(F.col("__v"))))
     keys = group or ["__all"]
+    counts = df.where(F.col(col).isNotNull()).groupBy(*group, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     if not group:
         counts = counts.withColumn("__all", F.lit(0))
-    near = _locate(counts, keys, "__bin", None, ranks)
-    # the same once more with equal steps between the ends of each bin
-    near = near.withColumnRenamed("__bin", "__outer")
-    outer = [*keys, "__outer"]
-    ends = near.groupBy(*outer).agg(F.min("__v").cast("double").alias("__min"), F.max("__v").cast("double").alias("__max"), F.first("__want").alias("__all_ranks"),
-                                    F.first("__total").alias("__total"), F.first("__lo").alias("__base"))
-    v = F.col("__v").cast("double")
-    step = F.when(F.col("__max") > F.col("__min"), F.least(F.floor((v - F.col("__min")) / (F.col("__max") - F.col("__min")) * STEPS), F.lit(STEPS - 1))).otherwise(0)
-    near = near.select(*outer, "__v", "__n")
-    stepped = join_null_safe(near, ends.select(*outer, "__min", "__max"), outer).withColumn("__step", F.coalesce(step.cast("bigint"), F.lit(0).cast("bigint")))
-    picked = _locate(stepped.select(*outer, "__v", "__n", "__step"), keys, "__step", ends.select(*outer, "__all_ranks", "__total", "__base"), ranks)
-    inside = Window.partitionBy(*outer, "__step").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = picked.withColumn("__top", F.col("__lo") + F.sum("__n").over(inside))
-    picked = picked.select(*keys, "__total", "__v", "__n", "__top", F.explode("__want").alias("__r"))
-    picked = picked.where((F.col("__r.rank") >= F.col("__top") - F.col("__n")) & (F.col("__r.rank") < F.col("__top")))
-    out = picked.groupBy(*keys).agg(
-        F.first("__total").alias("n"),
-        *[F.max(F.when(F.col("__r.name") == name, F.col("__v"))).alias(name) for name in ranks])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid, _ = materialize(counts.repartitionByRange(parts, *keys, "__v").withColumn("__part", F.spark_partition_id()), "values")
+    totals = laid.groupBy(*keys, "__part").agg(F.sum("__n").alias("__pn"), F.count(F.lit(1)).alias("__pd"))
+    order, whole = Window.partitionBy(*keys).orderBy("__part"), Window.partitionBy(*keys)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    spots = (totals.withColumn("__lo", F.coalesce(F.sum("__pn").over(before), F.lit(0))).withColumn("n", F.sum("__pn").over(whole))
+             .withColumn("distinct", F.sum("__pd").over(whole)))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), fn(F.col("n")).cast("bigint").alias("rank")) for name, fn in ranks.items()])
+    spots = spots.withColumn("__want", F.filter(wanted, lambda r: (r["rank"] >= F.col("__lo")) & (r["rank"] < F.col("__lo") + F.col("__pn")))).where(F.size("__want") > 0)
+    # the rank of a value is its running count over the partitions read, and what of the group lies in others before it
+    spots = spots.withColumn("__skip", F.col("__lo") - F.coalesce(F.sum("__pn").over(before), F.lit(0))).select(*keys, "__part", "n", "distinct", "__want", "__skip")
+    spots, _ = materialize(spots, "ranks")
+    near = join_null_safe(laid, spots, [*keys, "__part"])
+    near = near.withColumn("__top", F.col("__skip") + F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part", "__v").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = lambda name: F.exists("__want", lambda r: (r["name"] == name) & (r["rank"] >= F.col("__top") - F.col("__n")) & (r["rank"] < F.col("__top")))
+    out = near.groupBy(*keys).agg(F.first("n").alias("n"), *([F.first("distinct").alias("distinct")] if distinct else []),
+                                  *[F.max(F.when(hit(name), F.col("__v"))).alias(name) for name in ranks])
     return out if group else out.drop("__all")
 
 
 def percentiles(df: DataFrame, group: list[str], col: str, ps: dict[str, float], exact: bool = False,
-                accuracy: int = 10_000) -> DataFrame:
-    """One column per requested percentile; ``exact`` interpolates between neighbouring ranks."""
+                accuracy: int = 10_000, distinct: bool = False) -> DataFrame:
+    """One column per requested percentile; ``exact`` interpolates between neighbouring ranks, and ``distinct`` then adds the number of distinct values."""
     if not exact:
         return df.groupBy(*group).agg(*[
             F.percentile_approx(col, float(p), accuracy).cast("double").alias(name) for name, p in ps.items()])
@@ -91,8 +56,8 @@ def percentiles(df: DataFrame, group: list[str], col: str, ps: dict[str, float],
     for name, p in ps.items():
         ranks[f"{name}__lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(float(p)))
         ranks[f"{name}__hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(float(p)))
-    stats = order_statistics(df, group, col, ranks)
-    cols = []
+    stats = order_statistics(df, group, col, ranks, distinct)
+    cols = [F.col("distinct")] if distinct else []
     for name, p in ps.items():
         pos = (F.col("n") - 1) * F.lit(float(p))
         low, high = F.col(f"{name}__lo").cast("double"), F.col(f"{name}__hi").cast("double")
