@@ -14,8 +14,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html import escape
-from html.parser import HTMLParser
+from html import escape, unescape
 
 import numpy as np
 import pyarrow as pa
@@ -39,24 +38,120 @@ WALLS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table
 GROUPS = ({"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "dd", "dt"}, {"ul", "ol", "dl", "menu"}, {"div"}, {"section"}, {"article", "main"}, {"nav"}, {"header"},
           {"footer"}, {"aside"}, {"form", "fieldset", "dialog"}, {"table", "tbody", "tr", "td", "th"}, {"blockquote", "pre"}, {"figure", "figcaption"}, {"body", "html"})
 SPACE = re.compile(r"\s+")
+#: Elements whose content is characters up to their own end tag, with that end.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title")}
+_TAG = re.compile(r"[a-zA-Z][^\s/>\x00]*")
+#: An attribute's name, behind white space and slashes; its equals sign; a value without quotes.
+_NAME, _EQUALS, _BARE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+_TAIL = re.compile(r"[\s/]*>")
 
 
-class Page(HTMLParser):
+class Page:
     """Block-level elements in page order, and the runs of text between their tags.
 
-    nodes: tag, parent, tokens; runs: owner and text, link characters. Missing ends are implied.
+    nodes: tag, parent, tokens; runs: owner and text, link characters. Missing ends are implied. Markup is read as
+    browsers read it, in one scan without a step back: a comment, tag or quoted value that never ends reaches to the
+    end of the page, so that it is text to no reader.
     """
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.tokens = ["#page"], [-1], [()]
         self.runs: list[list] = []  # owner, pieces, link characters
         self.open = [("#page", 0)]  # element and its block node
         self.held: Counter = Counter()  # open elements by tag, so that a stray end needs no search
         self.links, self.silent, self.fresh = 0, 0, True
-        # an unclosed comment or tag at the end is text to no reader
-        self.feed(html)
-        self.close()
+        self._read(html)
+
+    def _read(self, html: str) -> None:
+        at, size = 0, len(html)
+        while at < size:
+            mark = html.find("<", at)
+            if mark < 0:
+                mark = size
+            if mark > at:
+                self.handle_data(unescape(html[at:mark]))
+            after = html[mark + 1:mark + 2]
+            if not after:
+                if mark < size:
+                    self.handle_data("<")
+                return
+            if after.isascii() and after.isalpha():
+                at = self._start_tag(html, mark)
+            elif after == "/":
+                at = self._end_tag(html, mark)
+            elif after == "!" and html.startswith("--", mark + 2):
+                at = self._comment(html, mark)
+            elif after in "!?":
+                at = html.find(">", mark) + 1 or size
+            else:
+                self.handle_data("<")
+                at = mark + 1
+
+    @staticmethod
+    def _comment(html: str, mark: int) -> int:
+        """Where a comment ends: at ``-->`` or ``--!>``, or at once in ``<!-->`` and ``<!--->``."""
+        for short in (">", "->"):
+            if html.startswith(short, mark + 4):
+                return mark + 4 + len(short)
+        at = mark + 4
+        while True:
+            at = html.find("--", at)
+            if at < 0:
+                return len(html)
+            for end in ("-->", "--!>"):
+                if html.startswith(end, at):
+                    return at + len(end)
+            at += 1
+
+    def _end_tag(self, html: str, mark: int) -> int:
+        name = _TAG.match(html, mark + 2)
+        if name is None:  # no tag: passed over up to its end
+            return html.find(">", mark) + 1 or len(html)
+        at, _, _ = self._attributes(html, name.end())
+        if at:
+            self.handle_endtag(name[0].lower())
+        return at or len(html)
+
+    def _start_tag(self, html: str, mark: int) -> int:
+        name = _TAG.match(html, mark + 1)
+        tag = name[0].lower()
+        at, attrs, closed = self._attributes(html, name.end())
+        if not at:
+            return len(html)
+        if closed:
+            self.handle_startendtag(tag, attrs)
+        else:
+            self.handle_starttag(tag, attrs)
+        if tag in RAW and not any(self.held[t] for t in FOREIGN):
+            end = RAW[tag].search(html, at)
+            return end.start() if end else len(html)
+        return at
+
+    @staticmethod
+    def _attributes(html: str, at: int) -> tuple[int, list[tuple[str, str | None]], bool]:
+        """Where the tag ends (0: never), its attributes, and whether it closes itself."""
+        attrs = []
+        while True:
+            tail = _TAIL.match(html, at)
+            if tail:
+                return tail.end(), attrs, html[tail.end() - 2] == "/"
+            name = _NAME.match(html, at)
+            if name is None:
+                return 0, attrs, False
+            at, value = name.end(), None
+            equals = _EQUALS.match(html, at)
+            if equals:
+                at = equals.end()
+                quote = html[at:at + 1]
+                if quote in ('"', "'") and quote:
+                    end = html.find(quote, at + 1)
+                    if end < 0:
+                        return 0, attrs, False
+                    value, at = html[at + 1:end], end + 1
+                else:
+                    bare = _BARE.match(html, at)
+                    value, at = bare[0], bare.end()
+            attrs.append((name[1].lower(), unescape(value) if value else value))
 
     def handle_starttag(self, tag, attrs):
         if self.silent:

@@ -77,6 +77,32 @@ def test_odd_silent_elements():
     assert [linked for _, _, linked in h.Page("<div><a href=/1>A<button>x</div>B").blocks()] == [1, 0]
 
 
+def test_broken_markup_is_no_text():
+    read = lambda page: [t for _, t, _ in h.Page(page).blocks()]
+    assert read("<p>Before <b>it</b> ...</p><!-- never closed <p>hidden") == ["Before it ..."]
+    assert read("a<!-->b<!--->c<!-- x --!>d<!-- - -- --->e") == ["abcde"]
+    assert read("<p>A</p><a href='x>B</a><p>C") == ["A"] and read("<p>A</p><a href=") == ["A"] and read("<p>A</p></p") == ["A"]
+    assert read("1 < 2 <3 &lt;b&gt; a<") == ["1 < 2 <3 <b> a<"] and read("a</>b</ c>d<!x>e<?y>f<![CDATA[g>h") == ["abdefh"]
+    assert read("<p title='a>b' x=\"c'd\"y=1/ z>A<br/>B</P x='>'>C") == ["A B", "C"]
+    assert read("<div hidden class=x/>a") == ["a"] and h.Page("<div class='Main fooBar' id=a&amp;b>x").tokens[1] == ("a", "b", "bar", "foo", "main")
+    assert read("<script>if (a</b/.test('</div>')) <p>no</script >yes<style>p::after{}</style x>!<title>a<p>b</title><textarea><!-- </textarea>?") == ["yes", "!", "?"]
+    assert read("<script>never closed <p>A") == [] and read("<SCRIPT>x</sCript>A") == ["A"]
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<a", "<a b='", '<a b="', "<", "</", "</a", "<!", "<?", "<a b=", "<a /", "<!-- --", "</p ", "<p><!-->", "&", "<script>", "<a\t", "<b><i></b>", "<p=", "--"])
+def test_a_megabyte_of_one_piece_is_read_once(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.time()
+    h.Page(page).blocks()
+    assert time.time() - start < 4, piece
+
+
+def test_repeated_rows_and_ties(spark, extractor):
+    page = "<body><article><p>One two three. Four five.</p></article><footer>End</footer>"
+    df = spark.createDataFrame([(1, page, "u")] * 3 + [(2, page, "v")], "page_id int, html string, url string")
+    assert sorted((r.page_id, r.text) for r in h.extract(df, extractor).collect()) == [(1, "One two three. Four five.")] * 3 + [(2, "One two three. Four five.")]
+
+
 def test_decoding_contradicts_nothing():
     import numpy as np
     rng = np.random.default_rng(3)
