@@ -70,3 +70,37 @@ def test_no_python_and_no_shuffle(spark, sf_dir):
 def test_repeated_rows_stay(spark):
     df = spark.createDataFrame([("http://a.net/x",)] * 3, "url string")
     assert url_filter.judge(df, URL_RULES, [0.0] * 9).where(F.col("verdict") == "block").count() == 3
+
+
+def test_nothing_known_is_allowed(spark):
+    """No host, or one that shares nothing with the labelled names: no evidence, so no block."""
+    weights = url_filter.train(url_filter.labelled_urls(spark))
+    hosts = ["www.scunthorpe-gov.uk", "github.example.org", "nytimes.example.com", "zzqx.org", "kqjv.net", "www.debian.example.org", "lemonde.fr", "shop.essex.ac.uk"]
+    rows = [(None,), ("",), ("no scheme",), ("http://",), *[(f"https://{h}/maths",) for h in hosts], *[("http://",)] * 3]
+    out = url_filter.judge(spark.createDataFrame(rows, "url string"), [], weights).collect()
+    assert len(out) == len(rows) and all(r.verdict == "allow" for r in out), [(r.url, r.score) for r in out if r.verdict != "allow"]
+    assert all(r.score == 0 for r in out if not r.host)
+
+
+def test_scores_are_those_of_a_plain_fold(spark):
+    """Training and scoring against the same gradient descent in plain Python, on the positions that Spark hashes."""
+    import math
+
+    from pyspark.sql import functions as F
+    dim, step, decay, epochs = 64, 0.8, 1e-4, 3
+    names = [("good-name", 0), ("bad-pills", 1), ("library", 0), ("casino", 1), ("forum", 0), ("free-money", 1)]
+    df = spark.createDataFrame([(f"http://{n}.org/en/{y}", y) for n, y in names], "url string, label int")
+    weights = url_filter.train(df, dim, epochs, step, decay)
+    x = url_filter.features(url_filter.host(F.col("url")), url_filter.path(F.col("url")), dim)
+    rows = [(set(r.x), r.label) for r in df.withColumn("x", x).orderBy(F.xxhash64("url")).collect()]
+    w = [url_filter.PRIOR] + [0.0] * dim
+    p = lambda s: 1 / (1 + math.exp(-(w[0] + sum(w[i] for i in s) / math.sqrt(len(s)))))
+    for _ in range(epochs):
+        for s, y in rows:
+            e = y - p(s)
+            w = [v * (1 - step * decay) + e * (step / math.sqrt(len(s)) if i in s else 0.0) for i, v in enumerate(w)]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(w, weights, strict=True))
+    got = url_filter.judge(df, [], weights, threshold=p(rows[0][0])).orderBy(F.xxhash64("url")).collect()
+    assert all(abs(r.score - p(s)) < 1e-9 for r, (s, _) in zip(got, rows, strict=True))
+    tie = url_filter.judge(df, [], [0.0] * (dim + 1)).collect()
+    assert all(r.score == 0.5 and r.verdict == "block" for r in tie)
