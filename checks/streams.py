@@ -8,7 +8,7 @@ from checks.events import TTL_SQL
 from checks.registry import check, rnd
 from custodia.operators import events as ev
 from custodia.schemas import SESSION_SCHEMA
-from custodia.session import scratch_path
+from custodia.session import materialize, scratch_path
 from custodia.sources import sessions as src
 from custodia.sources import tables as tab
 from custodia.streaming import streams as st
@@ -179,6 +179,42 @@ def _(t):
     return st.run_available(st.health_transitions(t.stream("health_checks")), "health").drop("average_ms")
 
 
+def _late(t, df, key):
+    """``df`` (with a timestamp ts) as a stream of five triggers: a fifth of the time each, but every fifth row comes one
+    trigger late. The last trigger brings one more row, long after all others, which moves the watermark past them. The
+    delay that admits the late rows, three tenths of the time, comes with it."""
+    df, n = materialize(df.withColumn("__t", F.unix_micros("ts")), "late")
+    ends = df.agg(F.min("__t").alias("a"), F.max("__t").alias("b")).first()
+    trigger = F.floor((F.col("__t") - ends.a) * 5 / (ends.b - ends.a + 1)) + F.when(F.pmod(F.xxhash64("__t"), F.lit(5)) == 0, 1).otherwise(0)
+    end = df.limit(1).withColumn("ts", F.expr("ts + INTERVAL 9000 DAYS")).withColumn(key, F.lit("~end")).withColumn("__trigger", F.lit(5))
+    rows = df.withColumn("__trigger", F.least(trigger, F.lit(4)).cast("int")).unionByName(end).drop("__t")
+    path = scratch_path(t.spark, "triggers")
+    for i in range(6):
+        rows.where(F.col("__trigger") == i).drop("__trigger").coalesce(1).write.parquet(f"{path}/{i}")
+    schema = rows.drop("__trigger").schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*"), f"{(ends.b - ends.a) * 3 // 10_000_000 + 1} seconds"
+
+
+@check("t2_dedupe_requests_stream_late", TTL_SQL.format(key="agent || '/' || capability"), "request_log", recursive=True)
+def _(t):
+    stream, delay = _late(t, t.request_log.withColumn("ts", F.col("ts").cast("timestamp")), "agent")
+    return st.run_available(st.dedupe_requests_in_order(stream, F.concat_ws("/", "agent", "capability"), delay=delay), "dedupe-late")
+
+
+@check("t3_health_transitions_stream_late", """WITH f AS (SELECT agent, seq, status, status <> 'UNHEALTHY' AS ok FROM health_checks),
+ g AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY seq) - row_number() OVER (PARTITION BY agent, ok ORDER BY seq) AS isl FROM f),
+ h AS (SELECT *, row_number() OVER (PARTITION BY agent, ok, isl ORDER BY seq) AS run FROM g),
+ s AS (SELECT *, CASE WHEN ok AND run >= 2 THEN status WHEN NOT ok AND run >= 3 THEN 'UNHEALTHY' END AS sets FROM h),
+ c AS (SELECT *, COALESCE(last_value(sets IGNORE NULLS) OVER (PARTITION BY agent ORDER BY seq ROWS UNBOUNDED PRECEDING), 'UNKNOWN') AS cur FROM s),
+ p AS (SELECT *, COALESCE(LAG(cur) OVER (PARTITION BY agent ORDER BY seq), 'UNKNOWN') AS prev FROM c)
+ SELECT agent, seq, prev AS from_status, cur AS to_status FROM p WHERE cur <> prev""", "health_checks")
+def _(t):
+    # the checks' own clock: one a minute, in the order of their numbers
+    checks = t.health_checks.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 60))
+    stream, delay = _late(t, checks, "agent")
+    return st.run_available(st.health_transitions_in_order(stream, delay=delay), "health-late").drop("average_ms")
+
+
 @check("t5_audit_trail_stream", "SELECT user_id, action, resource, decision AS outcome, strftime(ts, '%Y-%m-%d') AS event_date FROM audit_log", "audit_log")
 def _(t):
     stream = t.stream("audit_log").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -1,14 +1,17 @@
 """Streaming twins of the session, request, audit and health operators.
 
 Windows, de-duplication and audit streams have a watermark that bounds their state. The health stream keeps four
-numbers for each agent it has seen, and no watermark.
+numbers for each agent it has seen, and no watermark. The ``_in_order`` variants of de-duplication and health hold
+rows back until the watermark has passed them, so that their results are those of the batch operators.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import pickle
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +123,82 @@ def dedupe_requests(stream: DataFrame, key: Column, ttl_seconds: int = 3600, del
                                                     GroupStateTimeout.EventTimeTimeout)
 
 
+_HELD = "memory binary, held binary"
+
+
+def _in_order(step: Callable, fresh: Any, order: list[str], wake: Callable) -> Callable:
+    """A fold over a key's rows in the order of their event time (``us``, then the rest of ``order``), across triggers.
+
+    Rows wait in the state until the watermark has passed them, as no earlier one can come then. ``step(key, memory,
+    rows)`` folds what is settled and gives the new memory and a frame; ``wake(memory)`` is the event time in
+    microseconds at which a key without waiting rows may be forgotten, or None for never.
+    """
+    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory, waiting = fresh, []
+        if state.exists:
+            memory, held = (pickle.loads(x) for x in state.get)
+            waiting = [] if held is None else [held]
+        rows = [*waiting, *(b for b in batches if len(b))]
+        rows = pd.concat(rows).sort_values(order, kind="stable") if rows else None
+        mark = state.getCurrentWatermarkMs()
+        rest, out = None, None
+        if rows is not None:
+            settled = int(np.searchsorted(rows["us"].to_numpy(), mark * 1000, "left"))
+            if settled:
+                memory, out = step(key, memory, rows.iloc[:settled])
+            rest = rows.iloc[settled:] if settled < len(rows) else None
+        due = wake(memory) if rest is None else int(rest["us"].iloc[0])
+        if due is not None and rest is None and due <= mark * 1000:
+            state.remove()
+        else:
+            state.update((pickle.dumps(memory), pickle.dumps(rest)))
+            if due is not None:
+                state.setTimeoutTimestamp(max(due // 1000 + 1, mark + 1))
+        if out is not None:
+            yield out
+    return fold
+
+
+def _ttl_step(ttl_us: int) -> Callable:
+    def step(key: tuple, memory: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        last, by = memory
+        us, ids, ok = rows["us"].to_numpy(), rows["request_id"].to_numpy(), rows["ok"].to_numpy(bool)
+        n = len(us)
+        served = np.full(n, -1)
+        # the next success at or behind each row
+        following = np.minimum.accumulate(np.where(ok, np.arange(n), n)[::-1])[::-1]
+        at = 0
+        while at < n:
+            if last is not None and us[at] < last + ttl_us:
+                end = int(np.searchsorted(us, last + ttl_us, "left"))
+                served[at:end] = by
+                at = end
+            else:
+                at = int(following[at])
+                if at < n:
+                    last, by = int(us[at]), int(ids[at])
+                    at += 1
+        hit = served >= 0
+        return (last, by), pd.DataFrame({"request_id": ids, "executed": ~hit, "served_by": pd.array(np.where(hit, served, 0), "Int64").copy()}).assign(
+            served_by=lambda f: f["served_by"].mask(~hit))
+    return step
+
+
+def dedupe_requests_in_order(stream: DataFrame, key: Column, ttl_seconds: int = 3600, delay: str = "10 minutes", ts: str = "ts",
+                             request_id: str = "request_id", failed: str = "status = 'ERROR'") -> DataFrame:
+    """``dedupe_requests`` with every request judged in the order of event time, however late it came within ``delay``.
+
+    A request comes out when the watermark passes it; requests later than that are dropped. The rule is folded per
+    accepted request, not per row. Request ids are not negative. A key is forgotten when its window has passed.
+    """
+    ship_package(stream.sparkSession)
+    rows = stream.withWatermark(ts, delay).select(
+        key.alias("k"), F.col(ts), F.unix_micros(F.col(ts)).alias("us"), F.col(request_id).cast("bigint").alias("request_id"), F.expr(f"NOT ({failed})").alias("ok"))
+    ttl = ttl_seconds * 1_000_000
+    fold = _in_order(_ttl_step(ttl), (None, None), ["us", "request_id"], lambda memory: 0 if memory[0] is None else memory[0] + ttl)
+    return rows.groupBy("k").applyInPandasWithState(fold, _DEDUPE_OUT, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def rate_breaches(stream: DataFrame, limit: int = events.RATE_LIMIT_PER_MINUTE, window: str = "1 minute",
                   delay: str = "5 minutes", caller: str = "caller", ts: str = "ts") -> DataFrame:
     return events.rate_breaches(stream.withWatermark(ts, delay), limit, caller, ts, window)
@@ -163,6 +242,40 @@ def _advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Group
     yield pd.DataFrame(changes, columns=["agent", "seq", "from_status", "to_status", "average_ms"])
 
 
+def _health_step(key: tuple, memory: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    status, run, average = memory  # run: good checks in a row, or bad ones as a negative number
+    seen, took = rows["status"].to_numpy(object), rows["response_time_ms"].to_numpy(float)
+    good = np.isin(seen, ("HEALTHY", "DEGRADED"))
+    # runs of good and bad checks; the first goes on with the run held
+    begins = np.flatnonzero(np.concatenate(([True], good[1:] != good[:-1])))
+    place = np.arange(len(good)) - np.repeat(begins, np.diff(np.append(begins, len(good)))) + 1
+    if (run > 0) == good[0] and run:
+        place[:begins[1] if len(begins) > 1 else None] += abs(run)
+    sets = np.where(good & (place >= events.HEALTHY_AFTER), seen, np.where(~good & (place >= events.UNHEALTHY_AFTER), "UNHEALTHY", None))
+    current = pd.Series(sets, dtype=object).ffill().fillna(status).to_numpy(object)
+    before = np.concatenate(([status], current[:-1]))
+    averages = np.empty(len(took))
+    for i, (healthy, x) in enumerate(zip((seen == "HEALTHY").tolist(), took.tolist(), strict=True)):
+        if healthy:
+            average = x if average == 0 else events.EWMA_ALPHA * x + (1 - events.EWMA_ALPHA) * average
+        averages[i] = average
+    changed = current != before
+    out = pd.DataFrame({"agent": key[0], "seq": rows["seq"].to_numpy()[changed], "from_status": before[changed], "to_status": current[changed], "average_ms": averages[changed]})
+    return (current[-1], int(place[-1]) if good[-1] else -int(place[-1]), float(average)), out
+
+
+def health_transitions_in_order(stream: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """``health_transitions`` with the checks taken in the order of event time, however late they came within ``delay``.
+
+    A change comes out when the watermark passes its check; checks later than that are dropped. Of each agent three
+    values stay, and the checks that wait for the watermark.
+    """
+    ship_package(stream.sparkSession)
+    rows = stream.withWatermark(ts, delay).select("agent", F.col(ts), F.unix_micros(F.col(ts)).alias("us"), "seq", "status", "response_time_ms")
+    fold = _in_order(_health_step, ("UNKNOWN", 0, 0.0), ["us", "seq"], lambda memory: None)
+    return rows.groupBy("agent").applyInPandasWithState(fold, _OUT, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def health_transitions(stream: DataFrame) -> DataFrame:
     """Status changes per agent with the running latency average; four numbers of state per agent.
 

@@ -49,3 +49,41 @@ def test_health_state_survives_triggers(spark):
     out = st.run_available(st.health_transitions(stream), "health-test")
     assert {r["seq"]: (r["from_status"], r["to_status"]) for r in out.collect()} == {
         1: ("UNKNOWN", "HEALTHY"), 4: ("HEALTHY", "UNHEALTHY"), 6: ("UNHEALTHY", "DEGRADED")}
+
+
+def test_late_rows_are_folded_in_order(spark):
+    """Five triggers with late rows and an end mark: all columns equal those of a fold over the sorted rows."""
+    import random
+
+    from custodia.operators import dedupe, events
+    draw = random.Random(5)
+    rows = [_row(i, draw.uniform(0, 1000), draw.choice(["SUCCESS", "SUCCESS", "ERROR"]), draw.choice("abc")) for i in range(400)]
+    rows.sort(key=lambda r: r[1])
+    batches = [[] for _ in range(6)]
+    for r in rows:
+        at = min(4, int((r[1] - rows[0][1]).total_seconds() / 60 / 200) + (draw.random() < 0.2))
+        batches[at].append(r)
+    batches[5] = [_row(1000, 100_000, agent="~end")]
+    for b in batches:
+        draw.shuffle(b)
+    out = st.run_available(st.dedupe_requests_in_order(_feed(spark, batches), F.col("agent"), 1800, "220 minutes"), "in-order").collect()
+    batch = dedupe.dedupe_requests(spark.createDataFrame(rows, SCHEMA), F.col("agent"), "ts", "request_id", F.col("status") == "ERROR", 1800)
+    key = lambda r: (r.request_id, r.executed, r.served_by)
+    assert sorted(map(key, out), key=str) == sorted(map(key, batch.select("request_id", "executed", "served_by").collect()), key=str)
+
+    kinds = "HEALTHY", "HEALTHY", "DEGRADED", "UNHEALTHY", "UNHEALTHY"
+    checks = [[(*r[:2], r[2], draw.choice(kinds), "", "", 100 * draw.random()) for r in b] for b in batches]
+    stream = _feed(spark, checks).selectExpr("agent", "request_id AS seq", "ts", "capability AS status", "duration_ms AS response_time_ms")
+    got = st.run_available(st.health_transitions_in_order(stream, delay="220 minutes"), "health-order").collect()
+    want = []
+    for agent in "abc":
+        status, good, bad, average = "UNKNOWN", 0, 0, 0.0
+        for seq, _, _, seen, _, _, took in sorted((r for b in checks for r in b if r[2] == agent), key=lambda r: r[1]):
+            before = status
+            if seen == "HEALTHY":
+                average = took if average == 0 else events.EWMA_ALPHA * took + (1 - events.EWMA_ALPHA) * average
+            good, bad = (0, bad + 1) if seen == "UNHEALTHY" else (good + 1, 0)
+            status = seen if good >= 2 else "UNHEALTHY" if bad >= 3 else status
+            if status != before:
+                want.append((agent, seq, before, status, round(average, 9)))
+    assert sorted((r.agent, r.seq, r.from_status, r.to_status, round(r.average_ms, 9)) for r in got) == sorted(want) and len(want) > 30
