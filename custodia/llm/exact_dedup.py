@@ -21,7 +21,7 @@ from custodia.llm.common import materialize, ready, spread
 P = 2**31 - 1
 #: The evaluation points; any residues of large order do.
 POINTS = (1_103_515_245, 1_664_525_013, 69_069_069, 1_597_334_677)
-#: Texts above CHUNK characters are hashed in pieces of that size, and compared in such pieces.
+#: Texts above CHUNK bytes are hashed in pieces of that size, and compared in such pieces.
 CHUNK = 1 << 18
 FP = [f"f{i}" for i in range(len(POINTS))]
 
@@ -55,30 +55,52 @@ def shifted(hashes: tuple[int, ...], behind: int) -> tuple[int, ...]:
     return tuple(h * pow(b, behind, P) % P for h, b in zip(hashes, POINTS, strict=True))
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds n_bytes, fingerprint and SHA-256 to rows; a text above CHUNK gets no fingerprint yet."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("__text"))
-        sizes, digests, cols = [], [], [[] for _ in FP]
-        for value in texts:
-            data = value.as_buffer().to_pybytes().translate(LOWER) if value.is_valid else b""
-            sizes.append(len(data))
-            digests.append(hashlib.sha256(data).hexdigest())
-            prints = fingerprint(data) if len(data) <= CHUNK else (None,) * len(FP)
-            for col, x in zip(cols, prints, strict=True):
-                col.append(x)
-        keep = [i for i, f in enumerate(batch.schema) if f.name != "__text"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(i) for i in keep] + [pa.array(sizes, pa.int64()), pa.array(digests, pa.string())]
-            + [pa.array(c, pa.int64()) for c in cols],
-            [batch.schema.field(i).name for i in keep] + ["n_bytes", "text_sha256", *FP])
+def _short(chunk: int):
+    """Adds n_bytes, fingerprint and SHA-256 to rows; a text above ``chunk`` bytes gets no fingerprint yet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("__text"))
+            sizes, digests, cols = [], [], [[] for _ in FP]
+            for value in texts:
+                data = value.as_buffer().to_pybytes().translate(LOWER) if value.is_valid else b""
+                sizes.append(len(data))
+                digests.append(hashlib.sha256(data).hexdigest())
+                prints = fingerprint(data) if len(data) <= chunk else (None,) * len(FP)
+                for col, x in zip(cols, prints, strict=True):
+                    col.append(x)
+            keep = [i for i, f in enumerate(batch.schema) if f.name != "__text"]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in keep] + [pa.array(sizes, pa.int64()), pa.array(digests, pa.string())]
+                + [pa.array(c, pa.int64()) for c in cols],
+                [batch.schema.field(i).name for i in keep] + ["n_bytes", "text_sha256", *FP])
+    return run
+
+
+def _cut(chunk: int):
+    """Rows whose last column is a text -> a row per piece of ``chunk`` normalised bytes, with its number k and the bytes behind it.
+
+    A text is walked once, whatever its length: each byte is copied into one piece.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest, names = batch.columns[:-1], batch.schema.names[:-1]
+            for i, value in enumerate(batch.columns[-1]):
+                data = value.as_buffer().to_pybytes().translate(LOWER) if value.is_valid else b""
+                starts = range(0, max(1, len(data)), chunk)
+                for at in range(0, len(starts), 32):
+                    some = starts[at:at + 32]
+                    same = pa.array([i] * len(some))
+                    yield pa.RecordBatch.from_arrays(
+                        [c.take(same) for c in rest] + [pa.array(range(at, at + len(some)), pa.int32()), pa.array([data[s:s + chunk] for s in some], pa.binary()),
+                                                        pa.array([max(0, len(data) - s - chunk) for s in some], pa.int64())], [*names, "k", "piece", "behind"])
+    return run
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, x, piece, behind) -> the piece's shifted hash."""
     for batch in batches:
         rows = batch.to_pydict()
-        out = [shifted(fingerprint(p.translate(LOWER)), n) for p, n in zip(rows["piece"], rows["behind"], strict=True)]
+        out = [shifted(fingerprint(p), n) for p, n in zip(rows["piece"], rows["behind"], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("x"), batch.column("k")] + [pa.array([r[i] for r in out], pa.int64()) for i in range(len(FP))],
             ["doc_id", "x", "k", *FP])
@@ -87,19 +109,15 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, x (a hash of the raw text), n_bytes, text_sha256, f0..f3.
 
-    Null texts count as empty. Huge texts are cut into byte pieces on the JVM side, the pieces dealt out
-    over all tasks, hashed there and summed; rows with the same doc_id and text share one sum.
+    Null texts count as empty. Huge texts are cut into pieces of bytes, the pieces dealt out over all tasks, hashed
+    there and summed; rows with the same doc_id and text share one sum.
     """
     ready(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).withColumn("x", F.xxhash64("__text"))
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, x long, n_bytes long, text_sha256 string, " + ", ".join(f"{f} long" for f in FP)
-    short = rows.select("doc_id", "x", "__text").mapInArrow(_short, schema)
-    huge = (rows.where(F.octet_length("__text") > CHUNK)
-            .select("doc_id", "x", F.col("__text").cast("binary").alias("b"))
-            .select("doc_id", "x", "b", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((octet_length(b) - 1) DIV {CHUNK} AS INT)"))).alias("k"))
-            .select("doc_id", "x", "k", F.expr(f"substring(b, k * {CHUNK} + 1, {CHUNK})").alias("piece"),
-                    F.expr(f"greatest(0L, octet_length(b) - (k + 1L) * {CHUNK})").alias("behind")))
+    short = rows.select("doc_id", "x", "__text").mapInArrow(_short(CHUNK), schema)
+    huge = rows.where(F.octet_length("__text") > CHUNK).select("doc_id", "x", "__text").mapInArrow(_cut(CHUNK), f"doc_id {kind}, x long, k int, piece binary, behind long")
     parts = spread(huge, "doc_id", "x", "k").mapInArrow(
         _pieces, f"doc_id {kind}, x long, k int, " + ", ".join(f"{f} long" for f in FP))
     once = parts.groupBy("doc_id", "x", "k").agg(*[F.max(f).alias(f) for f in FP])
@@ -137,9 +155,10 @@ def groups(docs: DataFrame) -> DataFrame:
         # the texts that share a fingerprint, in bounded pieces; one row of each (doc_id, text)
         cand = need.join(texts, need.doc_id.eqNullSafe(texts.doc_id) & (need.x == texts.x)).select(
             need.doc_id, need.x, "keep_id", "keep_x", "text")
-        cand = cand.select("doc_id", "x", "keep_id", "keep_x", "text", F.explode(F.sequence(
-            F.lit(0), F.expr(f"CAST(greatest(0, length(text) - 1) DIV {CHUNK} AS INT)"))).alias("k"))
-        cand = cand.withColumn("piece", F.translate(F.expr(f"substring(text, k * {CHUNK} + 1, {CHUNK})"), UPPER, UPPER.lower())).drop("text")
+        kind, long = dict(cand.dtypes)["doc_id"], F.octet_length("text") > CHUNK
+        whole = cand.where(~long).select("doc_id", "x", "keep_id", "keep_x", F.lit(0).alias("k"), F.translate("text", UPPER, UPPER.lower()).cast("binary").alias("piece"))
+        parts = cand.where(long).mapInArrow(_cut(CHUNK), f"doc_id {kind}, x long, keep_id {kind}, keep_x long, k int, piece binary, behind long").drop("behind")
+        cand = whole.unionByName(parts)
         cand, _ = materialize(cand, "candidates")
         first = cand.where("doc_id <=> keep_id AND x = keep_x").dropDuplicates(["doc_id", "x", "k"])
         pieces = cand.where("NOT (doc_id <=> keep_id AND x = keep_x)").alias("m").join(

@@ -30,7 +30,7 @@ from custodia.llm.simhash import LOWER, keep_first
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 5
 #: Sets, and hashes of their shingles, in one part of a cell; a cell has one part or two.
-CELL_SETS, CELL_HASHES = 4000, 1_500_000
+CELL_SETS, CELL_HASHES = 500, 400_000
 #: Of BANDS * ROWS minima, those that a pair of similarity SIMILAR has in common at least, but for one in 3 million (5 deviations).
 ALIKE = int(BANDS * ROWS * SIMILAR - 5 * (BANDS * ROWS * SIMILAR * (1 - SIMILAR)) ** 0.5)
 #: Hashes that meet all permutations at a time, so that a huge text needs bounded memory.

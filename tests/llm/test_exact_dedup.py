@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from custodia.llm import exact_dedup as ex
 
 
@@ -56,7 +58,7 @@ def test_huge_texts_in_pieces(spark, monkeypatch):
     whole = {i: ex.fingerprint(low(t).encode()) for i, t in rows}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for r in ex.fingerprints(df).collect():
-        # the workers import the module anew, with its own piece length; the driver's part cuts at 64
+        # texts above 64 bytes have no hash of their own: these are sums of their pieces' hashes
         assert (r.f0, r.f1, r.f2, r.f3) == whole[r.doc_id]
     assert got(df) == brute(rows)
 
@@ -72,3 +74,15 @@ def test_texts_whose_fingerprints_meet_by_chance(spark, monkeypatch):
     monkeypatch.setattr(ex, "fingerprints", weak)
     rows = [(1, "aaa"), (2, "bbb"), (3, "AAA"), (4, "ccc"), (5, "bbb"), (6, "ccc"), (7, "ddd")]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_time_grows_with_the_length(spark):
+    """Two equal texts and one that differs at its end: 32 MB take about twice the time of 16 MB."""
+    import time
+    took = []
+    for mb in (2, 16, 32):
+        df = spark.range(3).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("Some text "), mb * 100_000), F.when(F.col("id") == 2, "x").otherwise("y")).alias("text"))
+        start = time.time()
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in ex.groups(df).collect()) == [(0, 1, 2), (1, 1, 2), (2, 2, 1)]
+        took.append(time.time() - start)
+    assert took[2] < 3 * took[1], took
