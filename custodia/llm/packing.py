@@ -31,8 +31,8 @@ WINDOW, END_ID = 4096, 2
 #: Penalties, as padding tokens; the step of the positions inside a sentence.
 SENTENCE, HARD, STEP = 2, 8, 16
 SPAN = 1 << 20
-#: Words that a worker remembers with their ids, and the longest such word.
-REMEMBER, LONG_WORD = 1_200_000, 64
+#: Words that a worker remembers with their ids before it forgets those not met since the last such moment; the longest such word.
+REMEMBER, LONG_WORD = 450_000, 64
 
 _TOKENIZERS: dict[str, WordIds] = {}
 #: White space to str.split but not to the tokenizer.
@@ -52,6 +52,7 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         self.stops = np.array(sorted(i for t, i in vocab.items() if re.fullmatch(r"[.!?]+[\"')\]]*(</w>)?", t)), np.uint32)
@@ -78,7 +79,7 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memory) > REMEMBER:
-            self.memory.clear()
+            self.memory, self.older = {}, self.memory
         known = self.memory.get
         words = [self.words(t) for t in texts]
         found = [None if ws is None else list(map(known, ws)) for ws in words]
@@ -86,7 +87,7 @@ class WordIds:
         for ws, ids in zip(words, found, strict=True):
             if ids and None in ids:
                 new.update([w for w, i in zip(ws, ids, strict=True) if i is None])
-        fresh = self._learn(list(new))
+        fresh = self._learn(new)
         out = []
         for t, ws, ids in zip(texts, words, found, strict=True):
             if ids is None:
@@ -97,11 +98,13 @@ class WordIds:
             out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words; those that are not too long are remembered."""
-        ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        found = dict(zip(words, ids, strict=True))
-        self.memory.update(found if max(map(len, words), default=0) <= LONG_WORD else {w: i for w, i in found.items() if len(w) <= LONG_WORD})
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered, or were longer ago; those that are not too long are remembered."""
+        found = {w: self.older[w] for w in words if w in self.older}
+        new = [w for w in words if w not in found]
+        ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        found.update(zip(new, ids, strict=True))
+        self.memory.update(found if max(map(len, new), default=0) <= LONG_WORD else {w: i for w, i in found.items() if len(w) <= LONG_WORD})
         return found
 
 
