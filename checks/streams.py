@@ -10,6 +10,7 @@ from custodia.operators import events as ev
 from custodia.schemas import SESSION_SCHEMA
 from custodia.session import materialize, scratch_path
 from custodia.sources import sessions as src
+from custodia.sources import listing
 from custodia.sources import tables as tab
 from custodia.streaming import streams as st
 
@@ -47,6 +48,28 @@ def _(t):
     return files.groupBy(F.regexp_extract("path", "(y=[0-9]+)/", 1).alias("folder")).agg((F.count("*") > 0).alias("has_files"))
 
 
+@check("s4_object_listing_partitions", "SELECT strftime(o_orderdate, 'y=%Y/m=%-m') AS folder, 1 AS files FROM orders GROUP BY 1")
+def _(t):
+    path = scratch_path(t.spark, "listing")
+    dated = t.orders.withColumns({"y": F.year("o_orderdate"), "m": F.month("o_orderdate")})
+    dated.repartition("y", "m").write.partitionBy("y", "m").parquet(path)
+    files = tab.object_listing(t.spark, path).where("path LIKE '%.parquet' AND size > 0 AND mtime > '2020-01-01'")
+    return files.groupBy(F.regexp_extract("path", "(y=[0-9]+/m=[0-9]+)/", 1).alias("folder")).agg(F.count("*").cast("int").alias("files"))
+
+
+@check("c4_crawl_tables", """SELECT t.table_name, column_name, ordinal, data_type, is_partition, n AS rows, 1 AS n_types FROM (VALUES
+ ('orders', 'o_orderkey', 0, 'bigint', false), ('orders', 'o_custkey', 1, 'bigint', false), ('orders', 'price', 2, 'decimal(15,2)', false), ('orders', 'y', 1048576, 'string', true),
+ ('customer', 'c_custkey', 0, 'bigint', false), ('customer', 'c_name', 1, 'string', false)) x(table_name, column_name, ordinal, data_type, is_partition)
+ JOIN (SELECT 'orders' AS table_name, COUNT(*) AS n FROM orders UNION ALL SELECT 'customer', COUNT(*) FROM customer) t USING (table_name)""")
+def _(t):
+    root = scratch_path(t.spark, "warehouse")
+    t.orders.selectExpr("CAST(o_orderkey AS BIGINT) AS o_orderkey", "CAST(o_custkey AS BIGINT) AS o_custkey", "CAST(o_totalprice AS DECIMAL(15,2)) AS price",
+                        "year(o_orderdate) AS y").repartition("y").write.partitionBy("y").parquet(f"{root}/orders")
+    t.customer.selectExpr("CAST(c_custkey AS BIGINT) AS c_custkey", "c_name").write.parquet(f"{root}/customer")
+    found = listing.crawl_tables(t.spark, root)
+    return found.select("table_name", "column_name", "ordinal", "data_type", "is_partition", "rows", F.col("n_types").cast("int").alias("n_types"))
+
+
 @check("s5_read_table", "SELECT n_nationkey, n_name, COUNT(*) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def _(t):
     held = {"catalog://sales.customer": t.customer, "catalog://sales.nation": t.nation}

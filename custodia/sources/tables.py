@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 from custodia.operators.layout import format_of
 from custodia.operators.querylog import ALLOWED_FIRST, BLOCKED
+from custodia.sources.listing import Lister, list_files, list_folder, walk_levels
 
 URI = re.compile(r"^catalog://([a-zA-Z_][a-zA-Z0-9_]*)\.([a-zA-Z_][a-zA-Z0-9_]*)$")
 EXPORT_FORMATS = ("json", "csv")
 EXTERNAL_FORMATS = ("avro", "delta")
 
 
-def object_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, mtime) of every file below ``path``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+def object_listing(spark: SparkSession, path: str, lister: Lister = list_folder) -> DataFrame:
+    """(path, size, mtime) of every file below ``path``, listed in tasks; contents are not read."""
+    return list_files(spark, path, lister)
 
 
 def parse_uri(uri: str) -> tuple[str, str]:
@@ -109,11 +109,21 @@ def write_audit(df: DataFrame, path: str) -> None:
     dated.hint("rebalance", F.col("event_date")).write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def detect_format(spark: SparkSession, path: str) -> str:
-    """Format of the files below ``path``; a delta log decides, otherwise there must be exactly one format."""
-    found = {r["f"] for r in object_listing(spark, path).select(format_of(F.col("path")).alias("f")).where("f IS NOT NULL").distinct().collect()}
-    if "delta" in found:
-        return "delta"
+def detect_format(spark: SparkSession, path: str, thorough: bool = False, lister: Lister = list_folder) -> str:
+    """Format of the files below ``path``; a delta log decides, otherwise there must be exactly one format.
+
+    The folders of a level are listed in tasks, and only the names of formats come back. The uppermost level that
+    holds files of a known format decides, as all files of a table lie at the same depth; ``thorough`` looks at all.
+    """
+    found = set()
+    name = F.substring_index(F.col("path"), "/", -1)
+    for level in walk_levels(spark, path, lister, hidden=True):
+        shown = F.when(F.col("is_folder"), F.when(name == "_delta_log", "delta")).when(~name.rlike(r"^[_.]"), format_of(F.col("path")))
+        found |= {r["f"] for r in level.select(shown.alias("f")).where("f IS NOT NULL").distinct().collect()}
+        if "delta" in found:
+            return "delta"
+        if found and not thorough or len(found) > 1:
+            break
     if len(found) != 1:
         raise ValueError(f"{path} holds {sorted(found) or 'no known format'}")
     return found.pop()
