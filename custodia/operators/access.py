@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def authorize_batch(requests: DataFrame, perms: Mapping[str, Mapping] = P.ROLE_P
     granting role overridden by the resource policy; a later resource overrides an earlier one.
 
     Resources are normalised to ``catalog://`` URIs first. ``compat`` skips that, so that a bare name slips past
-    the policy of its URI; it exists for parity tests only.
+    the policy of its URI; it exists for parity tests only. A null resource, action or list of resources is refused.
     """
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<string>")
@@ -71,11 +72,14 @@ def authorize_batch(requests: DataFrame, perms: Mapping[str, Mapping] = P.ROLE_P
     def judge(raw: Column) -> Column:
         res = raw if compat else normalize_uri(raw)
         required = _policy_case(res, policies, lambda p: lit_array(p.get("required_roles", [])), empty)
-        lacks = (F.size(required) > 0) & ~F.arrays_overlap(required, F.col("roles"))
+        # an unknown overlap (a null among the roles) is none
+        lacks = (F.size(required) > 0) & ~F.coalesce(F.arrays_overlap(required, F.col("roles")), F.lit(False))
         role = F.get(F.filter("roles", lambda r: _role_grants(r, action, res, perms)), F.lit(0))
+        # a refusal is never null, whatever is null in the request
+        named, asked = F.coalesce(raw, F.lit("null")), F.coalesce(action, F.lit("null"))
         return F.struct(
-            F.when(lacks, F.concat(F.lit("User lacks required role for "), raw)).when(
-                role.isNull(), F.concat(F.lit("No role grants "), action, F.lit(" access to "), raw)).alias("denial"),
+            F.when(raw.isNull() | lacks, F.concat(F.lit("User lacks required role for "), named)).when(
+                role.isNull(), F.concat(F.lit("No role grants "), asked, F.lit(" access to "), named)).alias("denial"),
             role.alias("role"),
             _policy_case(res, policies, lambda p: F.lit("; ".join(p["row_filters"])) if p.get("row_filters") else none, none).alias("row_filter"),
             _policy_case(res, policies, lambda p: F.lit(",".join(f"{c}={m}" for c, m in p["column_masking"].items()))
@@ -87,7 +91,7 @@ def authorize_batch(requests: DataFrame, perms: Mapping[str, Mapping] = P.ROLE_P
     exclude = lit_map({r: ",".join(p["exclude"]) for r, p in perms.items() if "exclude" in p})
     def last(values: Column) -> Column:
         return F.get(F.reverse(F.filter(values, lambda v: v.isNotNull())), F.lit(0))
-    ok = F.size(refusals) == 0
+    ok = F.coalesce(F.size(refusals) == 0, F.lit(False))
     roles = F.transform("__j", lambda j: j["role"])
     return out.select(
         *requests.columns, ok.alias("authorized"), F.get(refusals, F.lit(0)).alias("reason"),
@@ -130,6 +134,52 @@ def effective_permissions(users: DataFrame, resources: DataFrame, action: str =
     return authorize_batch(pairs, perms, policies).drop("resources", "action", "granted_by", "reason")
 
 
+class PermissionClasses(NamedTuple):
+    """``resources`` with class_id, ``users`` counted per role set, and ``matrix``: rights per class and role set."""
+
+    resources: DataFrame
+    users: DataFrame
+    matrix: DataFrame
+
+
+def resource_class(resource: Column, action: str, perms: Mapping[str, Mapping], policies: Mapping[str, Mapping]) -> Column:
+    """What decides about a resource, as text: the number of its policy, and one bit per role that grants the action on it."""
+    res = normalize_uri(resource)
+    number = {uri: i for i, uri in enumerate(policies)}
+    policy = _policy_case(res, {u: {"n": i} for u, i in number.items()}, lambda p: F.lit(str(p["n"])), F.lit("-"))
+    bits = [F.when(_role_grants(F.lit(name), F.lit(action), res, perms), "1").otherwise("0") for name in perms]
+    return F.when(res.isNotNull(), F.concat(policy, F.lit(":"), *bits))
+
+
+def permission_classes(users: DataFrame, resources: DataFrame, action: str = "read",
+                       perms: Mapping[str, Mapping] = P.ROLE_PERMISSIONS,
+                       policies: Mapping[str, Mapping] = P.RESOURCE_POLICIES) -> PermissionClasses:
+    """The matrix of ``effective_permissions``, told once per class of resources and set of roles.
+
+    Resources of one class share their policy and the roles that grant the action, so any of them speaks for all.
+    Role sets keep the user's order and lose what no rule names. The matrix holds those pairs that meet in a domain
+    and is bounded by the configuration; ``resources`` keeps every column and row (a null resource has a null class
+    and no row in the matrix), ``users`` has one row per domain and role set. A hot domain is counted before it
+    is joined: one row per class, one per role set. ``expand_permissions`` gives the pairs back.
+    """
+    known = sorted(set(perms) | {r for p in policies.values() for r in p.get("required_roles", [])})
+    role_set = F.array_distinct(F.filter("roles", lambda r: F.coalesce(r.isin(known), F.lit(False))))
+    sets = users.withColumn("role_set", F.coalesce(role_set, F.array().cast("array<string>"))).groupBy("domain", "role_set").agg(
+        F.count(F.lit(1)).alias("n_users"))
+    classed = resources.withColumn("class_id", resource_class(F.col("resource"), action, perms, policies))
+    here = classed.where("class_id IS NOT NULL").groupBy("domain", "class_id").agg(F.min("resource").alias("resource"))
+    pairs = here.join(sets.select("domain", "role_set"), "domain").groupBy("class_id", "role_set").agg(F.min("resource").alias("example"))
+    asked = pairs.withColumns({"roles": F.col("role_set"), "action": F.lit(action), "resources": F.array("example")})
+    matrix = authorize_batch(asked, perms, policies).drop("roles", "action", "resources", "granted_by", "reason")
+    return PermissionClasses(classed, sets, matrix)
+
+
+def expand_permissions(classes: PermissionClasses) -> DataFrame:
+    """Every resource with every role set of its domain; as large as that is."""
+    pairs = classes.resources.join(classes.users, "domain")
+    return pairs.join(classes.matrix.drop("example"), ["class_id", "role_set"])
+
+
 def required_policies(requests: DataFrame, global_policies: Mapping[str, bool] = P.GLOBAL_POLICIES,
                       by_class: Mapping[str, Mapping[str, bool]] = P.CLASSIFICATION_POLICIES,
                       blocked: Sequence[str] = ()) -> DataFrame:
