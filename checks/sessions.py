@@ -6,6 +6,8 @@ from checks.registry import check, rnd
 from custodia.operators import aggregates as agg
 from custodia.operators import filters, ordered, quantiles, revenue
 from custodia.operators import session_reports as sr
+from custodia.operators import sketches as sk
+from custodia.session import scratch_path
 
 S = "session_logs"
 COST = f"{rnd('SUM(cost_usd)', 4)}"
@@ -347,6 +349,29 @@ def _(t):
     return both.select("total_sessions", _near("families_near", "ef", "sf"), _near("children_near", "ec", "sc"))
 
 
+def _stored_days(t):
+    path = scratch_path(t.spark, "days")
+    sk.store_daily(sk.daily_sketches(t.session_logs), path)
+    return sk.read_daily(t.spark, path)
+
+
+@check("a22_kpi_from_days", f"SELECT COUNT(*) AS total_sessions, {COST} AS total_cost, {LAT0} AS avg_latency_ms, {RATE1} AS success_rate, {TALL} AS total_tokens, 1 AS families_near, 1 AS children_near FROM session_logs", S)
+def _(t):
+    exact = sr.kpi_summary(t.session_logs).select("total_sessions", F.col("unique_families").alias("ef"), F.col("unique_children").alias("ec"))
+    both = sk.summary(_stored_days(t)).join(exact, "total_sessions")
+    return both.select("total_sessions", "total_cost", "avg_latency_ms", "success_rate", "total_tokens",
+                       _near("families_near", "ef", "unique_families", 0.016), _near("children_near", "ec", "unique_children", 0.016))
+
+
+@check("a37_monthly_from_days", f"SELECT concat(year, '-', month) AS month, language, COUNT(*) AS total_sessions, {COST} AS total_cost, {RATE1} AS success_rate, 1 AS families_near FROM session_logs GROUP BY 1, 2", S)
+def _(t):
+    month = F.concat_ws("-", "year", "month").alias("month")
+    days = sk.summary(_stored_days(t), [month, "language"])
+    exact = t.session_logs.groupBy(month, "language").agg(F.count_distinct("family_id_hash").alias("ef"))
+    return days.join(exact, ["month", "language"]).select("month", "language", "total_sessions", "total_cost", "success_rate",
+                                                          _near("families_near", "ef", "unique_families", 0.016))
+
+
 # generic aggregation surface
 
 @check("g_basic_aggs", "SELECT o_orderpriority, COUNT(*) AS n, MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi, SUM(CAST(o_totalprice AS DECIMAL(15,2))) AS total FROM orders GROUP BY ALL")
