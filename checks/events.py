@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, rnd
 from custodia.functions import masks
-from custodia.operators import access, dedupe, events, paging, querylog, retention
+from custodia.operators import access, dedupe, erasure, events, paging, querylog, retention
+from custodia.session import scratch_path
 
 Q, QN, AR, CT = "query_log", "questions", "access_requests", "catalog_tables"
 
@@ -160,6 +161,20 @@ def _(t):
     return out.select("s_suppkey", "resource", F.array_join("roles", ",").alias("roles"), "n_users", "authorized", "masking", "row_filter", "excluded")
 
 
+@check("y3_permission_classes", """WITH u AS (SELECT c_nationkey AS domain, CASE c_custkey % 4 WHEN 0 THEN 'viewer' WHEN 1 THEN 'analyst' WHEN 2 THEN 'engineer' ELSE 'admin' END AS role FROM customer),
+ s AS (SELECT domain, role, COUNT(*) AS n_users FROM u GROUP BY ALL), r AS (SELECT s_nationkey AS domain, s_suppkey % 4 AS k, COUNT(*) AS n_resources FROM supplier GROUP BY ALL)
+ SELECT domain, CASE k WHEN 0 THEN 'catalog://finance.customer_transactions' WHEN 1 THEN 'catalog://finance.revenue' WHEN 2 THEN 'catalog://hr.salaries' ELSE 'catalog://sales.orders' || lpad(CAST((SELECT MIN(s_suppkey) FROM supplier WHERE s_suppkey % 4 = 3) AS VARCHAR), 9, '0') END AS example, role AS roles, n_resources, n_users,
+ CASE k WHEN 0 THEN role IN ('analyst', 'admin') WHEN 1 THEN role IN ('analyst', 'engineer', 'admin') WHEN 2 THEN role = 'admin' ELSE true END AS authorized FROM r JOIN s USING (domain)""")
+def _(t):
+    users = t.customer.selectExpr("c_nationkey AS domain", "array(CASE c_custkey % 4 WHEN 0 THEN 'viewer' WHEN 1 THEN 'analyst' WHEN 2 THEN 'engineer' ELSE 'admin' END, 'guest') AS roles")
+    # a name of its own for every unnamed resource: they are one class all the same
+    res = t.supplier.selectExpr("s_nationkey AS domain", "s_suppkey", "CASE s_suppkey % 4 WHEN 0 THEN 'catalog://finance.customer_transactions' WHEN 1 THEN 'finance.revenue' WHEN 2 THEN 'catalog://hr.salaries' ELSE concat('catalog://sales.orders', lpad(s_suppkey, 9, '0')) END AS resource")
+    found = access.permission_classes(users, res)
+    members = found.resources.groupBy("domain", "class_id").agg(F.count("*").alias("n_resources"))
+    out = members.join(found.users, "domain").join(found.matrix, ["class_id", "role_set"])
+    return out.select("domain", access.normalize_uri(F.col("example")).alias("example"), F.array_join("role_set", ",").alias("roles"), "n_resources", "n_users", "authorized")
+
+
 @check("y4_required_policies", """WITH x AS (SELECT request_id, string_split(applied, ',') AS a, string_split(labels, ',') AS l FROM access_requests),
  m AS (SELECT *, list_filter(['authentication', 'authorization', 'audit-logging'], lambda p: NOT list_contains(a, p)) AS g,
   list_filter(list_concat(CASE WHEN list_contains(l, 'PII') THEN ['rgpd', 'pii-masking'] ELSE [] END, CASE WHEN list_contains(l, 'SECRET') THEN ['secret-handling'] ELSE [] END, CASE WHEN list_contains(l, 'CONFIDENTIAL') THEN ['confidential-data'] ELSE [] END), lambda p: NOT list_contains(a, p)) AS c,
@@ -242,6 +257,22 @@ def _(t):
     return out.select("o_orderkey", "lifecycle_action", "subject", F.date_format("deleted_at", "yyyy-MM-dd").alias("deleted_at"))
 
 
+@check("r3_retain_stored", f"""WITH x AS (SELECT r.*, o_custkey, {_life('2002-01-15')} AS lifecycle_action, CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '2001-01-01' WHEN o_orderkey % 5 = 1 THEN TIMESTAMP '2002-01-01' END AS del FROM ({_RECS}) r JOIN orders USING (o_orderkey))
+ SELECT o_orderkey, CASE WHEN lifecycle_action = 'anonymize' THEN substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 16) ELSE CAST(o_custkey AS VARCHAR) END AS subject, CASE WHEN lifecycle_action = 'anonymize' THEN '2002-01-15' END AS anonymized_at,
+ strftime(CASE WHEN lifecycle_action = 'delete' THEN COALESCE(del, TIMESTAMP '2002-01-15') ELSE del END, '%Y-%m-%d') AS deleted_at FROM x WHERE lifecycle_action <> 'archive' AND NOT (lifecycle_action = 'delete' AND COALESCE(del <= TIMESTAMP '2002-01-15' - INTERVAL 90 DAY, false))""")
+def _(t):
+    rows = _records(t).selectExpr("o_orderkey", "ts", "category", "CAST(o_custkey AS STRING) AS subject",
+                                  "CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP_NTZ '2001-01-01 00:00:00' WHEN o_orderkey % 5 = 1 THEN TIMESTAMP_NTZ '2002-01-01 00:00:00' END AS deleted_at",
+                                  "CAST(NULL AS TIMESTAMP_NTZ) AS anonymized_at")
+    root, cold = scratch_path(t.spark, "table"), scratch_path(t.spark, "cold")
+    erasure.store(rows, root, "o_orderkey")
+    erasure.retain_stored(t.spark, root, "o_orderkey", "ts", _AS_OF, {"subject": masks.mask_hash}, cold)
+    # run again, as the next day's job would: nothing is masked twice
+    erasure.retain_stored(t.spark, root, "o_orderkey", "ts", _AS_OF, {"subject": masks.mask_hash}, cold)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return erasure.read_stored(t.spark, root).select("o_orderkey", "subject", day("anonymized_at"), day("deleted_at"))
+
+
 _REPORT = f"""SELECT category, COUNT(*) AS total_records, COUNT(*) FILTER (WHERE b = 'delete' AND a <> 'delete') AS approaching, COUNT(*) FILTER (WHERE a = 'delete') AS past_retention, CAST(COALESCE(SUM(bytes) FILTER (WHERE a = 'archive'), 0) AS BIGINT) AS archive_bytes,
  COUNT(*) FILTER (WHERE category IN ('legal_hold', 'financial')) AS held_records FROM (SELECT *, {_life('2002-01-15')} AS a, {_life('2002-02-14')} AS b FROM ({_RECS})) GROUP BY category"""
 
@@ -262,6 +293,14 @@ def _(t):
     return retention.erase_subjects(t.orders, "o_custkey", req).select("o_orderkey")
 
 
+@check("r6_erase_stored", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 3 <> 0)")
+def _(t):
+    root = scratch_path(t.spark, "table")
+    erasure.store(t.orders.select("o_orderkey", "o_custkey"), root, "o_custkey")
+    erasure.erase_stored(t.spark, root, "o_custkey", t.customer.where("c_custkey % 4 = 0").selectExpr("c_custkey AS subject_id", "CASE WHEN c_custkey % 3 = 0 THEN 'legal_obligation' END AS exception"))
+    return erasure.read_stored(t.spark, root)
+
+
 @check("r7_subject_access", """SELECT 'orders' AS table_name, CAST(o_custkey AS VARCHAR) AS subject_id, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS record FROM orders WHERE o_custkey % 50 = 7
  UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}' FROM customer WHERE c_custkey % 50 = 7""")
 def _(t):

@@ -8,7 +8,7 @@ from checks.events import TTL_SQL
 from checks.registry import check, rnd
 from custodia.operators import events as ev
 from custodia.schemas import SESSION_SCHEMA
-from custodia.session import materialize, scratch_path
+from custodia.session import materialize, scratch_path, ship_package
 from custodia.sources import sessions as src
 from custodia.sources import listing
 from custodia.sources import tables as tab
@@ -153,6 +153,53 @@ def _(t):
     return t.nation.join(regions, F.col("n_regionkey") == F.col("id")).groupBy("name").agg(F.count(F.lit(1)).alias("nations"))
 
 
+@check("e3_register_source_files", "SELECT o_orderpriority, COUNT(*) AS orders, SUM(CAST(o_totalprice AS DECIMAL(15,2))) AS total FROM orders GROUP BY 1")
+def _(t):
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    # a partition is a row group of a file; its rows are read by the task and come as Arrow batches
+    class RowGroups(DataSource):
+        @classmethod
+        def name(cls):
+            return "custodia_row_groups"
+
+        def schema(self):
+            return "o_orderpriority string, price decimal(15,2)"
+
+        def reader(self, schema):
+            return Reader(self.options["path"], schema.fieldNames())
+
+    class Reader(DataSourceReader):
+        def __init__(self, path, columns):
+            self.path, self.columns = path, columns
+
+        def partitions(self):
+            from pyarrow import parquet
+
+            out = []
+            for path, size, _, is_folder in listing.list_folder(self.path):
+                if not is_folder and path.endswith(".parquet"):
+                    store, inner, _ = listing.open_store(path)
+                    with store.open_input_file(inner) as handle:
+                        out += [InputPartition((path, i)) for i in range(parquet.ParquetFile(handle).num_row_groups)]
+            return out
+
+        def read(self, partition):
+            from pyarrow import parquet
+
+            path, group = partition.value
+            store, inner, _ = listing.open_store(path)
+            with store.open_input_file(inner) as handle:
+                yield from parquet.ParquetFile(handle).iter_batches(row_groups=[group], columns=self.columns)
+
+    path = scratch_path(t.spark, "orders")
+    t.orders.selectExpr("o_orderpriority", "CAST(o_totalprice AS DECIMAL(15,2)) AS price").repartition(4).write.option("parquet.block.size", "262144").parquet(path)
+    ship_package(t.spark)
+    tab.register_source(t.spark, RowGroups)
+    orders = t.spark.read.format("custodia_row_groups").load(path)
+    return orders.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.sum("price").alias("total"))
+
+
 # streams
 
 
