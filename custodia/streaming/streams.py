@@ -82,29 +82,91 @@ def request_metrics(stream: DataFrame, window: str = "1 minute", delay: str = "5
         "w.start", "w.end", "agent", "capability", "requests", "errors", "error_rate", "avg_ms", "p50_ms", "p99_ms")
 
 
+#: Rows of a key that are folded and given out at a time.
+_SLICE = 100_000
+#: In place of a null number, which plain arrays do not hold: a time before all others, an id behind all others.
+_NO_TIME, _NO_ID = -(2 ** 63), 2 ** 63 - 1
+
+
+def _sorted_rows(batches: Iterator[pd.DataFrame], kinds: Mapping[str, str], order: list[str], held: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """The columns ``kinds`` (name and type) of a key's rows, those of ``held`` first, stably sorted by ``order``.
+
+    A key has as many rows as its trigger brings, so nothing else of them is kept: plain numbers, copied out of each
+    batch, and one column at a time is put together and sorted.
+    """
+    parts = {name: [] if held is None else [held.pop(name)] for name in kinds}
+    for batch in batches:
+        if len(batch):
+            for name, kind in kinds.items():
+                parts[name].append(batch[name].astype(kind).to_numpy(copy=True))
+    rows = {name: np.concatenate(parts.pop(name)) if parts[name] else np.empty(0, kind) for name, kind in kinds.items()}
+    by = np.lexsort([rows[name] for name in reversed(order)])
+    for name in rows:
+        rows[name] = rows[name][by]
+    return rows
+
+
+def _slices(rows: dict[str, np.ndarray], end: int) -> Iterator[dict[str, np.ndarray]]:
+    for start in range(0, end, _SLICE):
+        yield {name: column[start:min(start + _SLICE, end)] for name, column in rows.items()}
+
+
+def _whole(values: np.ndarray, missing: np.ndarray | bool = False) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(values, (values == _NO_ID) | missing)
+
+
 _DEDUPE_STATE = "us bigint, id string"
 _DEDUPE_OUT = "request_id bigint, executed boolean, served_by bigint"
+_REQUEST = {"us": "int64", "request_id": "int64", "ok": "bool"}
+
+
+def _requests(stream: DataFrame, key: Column, delay: str, ts: str, request_id: str, failed: str) -> DataFrame:
+    """Requests by key ``k`` as the folds take them; one without a time or an id has _NO_TIME or _NO_ID there."""
+    return stream.withWatermark(ts, delay).select(
+        key.alias("k"), F.col(ts), F.coalesce(F.unix_micros(F.col(ts)), F.lit(_NO_TIME)).alias("us"),
+        F.coalesce(F.col(request_id).cast("bigint"), F.lit(_NO_ID)).alias("request_id"), F.coalesce(F.expr(f"NOT ({failed})"), F.lit(False)).alias("ok"))
+
+
+def _ttl_step(ttl_us: int) -> Callable:
+    def step(key: tuple, memory: tuple, rows: dict[str, np.ndarray]) -> tuple[tuple, pd.DataFrame]:
+        last, by = memory
+        us, ids, ok = rows["us"], rows["request_id"], rows["ok"]
+        n = len(us)
+        hit, served = np.zeros(n, bool), np.zeros(n, np.int64)
+        # the next success at or behind each row
+        following = np.minimum.accumulate(np.where(ok, np.arange(n), n)[::-1])[::-1]
+        at = int(np.searchsorted(us, _NO_TIME, "right"))  # without a time: executed, and serves none
+        while at < n:
+            if last is not None and us[at] < last + ttl_us:
+                end = int(np.searchsorted(us, last + ttl_us, "left"))
+                hit[at:end], served[at:end] = True, by
+                at = end
+            else:
+                at = int(following[at])
+                if at < n:
+                    last, by = int(us[at]), int(ids[at])
+                    at += 1
+        return (last, by), pd.DataFrame({"request_id": _whole(ids), "executed": ~hit, "served_by": _whole(served, ~hit)})
+    return step
 
 
 def _ttl_fold(ttl_us: int):
+    step = _ttl_step(ttl_us)
+
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last_us, last_id = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        out = []
-        for us, request, ok in zip(rows["us"], rows["request_id"], rows["ok"]):
-            hit = last_us is not None and us < last_us + ttl_us
-            out.append((request, not hit, int(last_id) if hit else None))
-            if ok and not hit:
-                last_us, last_id = int(us), str(request)
-        if last_us is not None:
-            state.update((last_us, last_id))
+        memory = last_us, None if last_us is None else int(last_id)
+        rows = _sorted_rows(batches, _REQUEST, ["us", "request_id"])
+        for part in _slices(rows, len(rows["us"])):
+            memory, out = step(key, memory, part)
+            yield out
+        if memory[0] is not None:
+            state.update((memory[0], str(memory[1])))
             # never before the watermark; entries go once it passes the end of their window
-            state.setTimeoutTimestamp(max((last_us + ttl_us) // 1000, state.getCurrentWatermarkMs() + 1))
-        frame = pd.DataFrame(out, columns=["request_id", "executed", "served_by"])
-        yield frame.astype({"request_id": "int64", "executed": "bool", "served_by": "Int64"})
+            state.setTimeoutTimestamp(max((memory[0] + ttl_us) // 1000, state.getCurrentWatermarkMs() + 1))
     return fold
 
 
@@ -114,11 +176,10 @@ def dedupe_requests(stream: DataFrame, key: Column, ttl_seconds: int = 3600, del
 
     State is one timestamp and id per key and leaves when the watermark passes its window. Rows are ordered within
     a trigger; a row arriving in a later trigger than its successors is judged against what was accepted by then.
+    A task holds 17 bytes of each row that a trigger brings for a key, about twice that while it sorts them.
     """
     ship_package(stream.sparkSession)
-    rows = stream.withWatermark(ts, delay).select(
-        key.alias("k"), F.col(ts), F.unix_micros(F.col(ts)).alias("us"), F.col(request_id).cast("bigint").alias("request_id"),
-        F.expr(f"NOT ({failed})").alias("ok"))
+    rows = _requests(stream, key, delay, ts, request_id, failed)
     return rows.groupBy("k").applyInPandasWithState(_ttl_fold(ttl_seconds * 1_000_000), _DEDUPE_OUT, _DEDUPE_STATE, "append",
                                                     GroupStateTimeout.EventTimeTimeout)
 
@@ -126,76 +187,45 @@ def dedupe_requests(stream: DataFrame, key: Column, ttl_seconds: int = 3600, del
 _HELD = "memory binary, held binary"
 
 
-def _in_order(step: Callable, fresh: Any, order: list[str], wake: Callable) -> Callable:
+def _in_order(step: Callable, fresh: Any, kinds: Mapping[str, str], order: list[str], wake: Callable) -> Callable:
     """A fold over a key's rows in the order of their event time (``us``, then the rest of ``order``), across triggers.
 
-    Rows wait in the state until the watermark has passed them, as no earlier one can come then. ``step(key, memory,
-    rows)`` folds what is settled and gives the new memory and a frame; ``wake(memory)`` is the event time in
-    microseconds at which a key without waiting rows may be forgotten, or None for never.
+    Rows wait in the state until the watermark has passed them, as no earlier one can come then; of each its columns
+    ``kinds`` (see ``_sorted_rows``). ``step(key, memory, rows)`` folds a slice of what is settled and gives the new
+    memory and a frame; ``wake(memory)`` is the event time in microseconds at which a key without waiting rows may be
+    forgotten, or None for never.
     """
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, waiting = fresh, []
-        if state.exists:
-            memory, held = (pickle.loads(x) for x in state.get)
-            waiting = [] if held is None else [held]
-        rows = [*waiting, *(b for b in batches if len(b))]
-        rows = pd.concat(rows).sort_values(order, kind="stable") if rows else None
+        memory, held = (pickle.loads(x) for x in state.get) if state.exists else (fresh, None)
+        rows = _sorted_rows(batches, kinds, order, held)
         mark = state.getCurrentWatermarkMs()
-        rest, out = None, None
-        if rows is not None:
-            settled = int(np.searchsorted(rows["us"].to_numpy(), mark * 1000, "left"))
-            if settled:
-                memory, out = step(key, memory, rows.iloc[:settled])
-            rest = rows.iloc[settled:] if settled < len(rows) else None
-        due = wake(memory) if rest is None else int(rest["us"].iloc[0])
+        settled = int(np.searchsorted(rows["us"], mark * 1000, "left"))
+        for part in _slices(rows, settled):
+            memory, out = step(key, memory, part)
+            yield out
+        rest = {name: rows.pop(name)[settled:].copy() for name in kinds} if settled < len(rows["us"]) else None
+        due = wake(memory) if rest is None else int(rest["us"][0])
         if due is not None and rest is None and due <= mark * 1000:
             state.remove()
         else:
             state.update((pickle.dumps(memory), pickle.dumps(rest)))
             if due is not None:
                 state.setTimeoutTimestamp(max(due // 1000 + 1, mark + 1))
-        if out is not None:
-            yield out
     return fold
 
 
-def _ttl_step(ttl_us: int) -> Callable:
-    def step(key: tuple, memory: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        last, by = memory
-        us, ids, ok = rows["us"].to_numpy(), rows["request_id"].to_numpy(), rows["ok"].to_numpy(bool)
-        n = len(us)
-        served = np.full(n, -1)
-        # the next success at or behind each row
-        following = np.minimum.accumulate(np.where(ok, np.arange(n), n)[::-1])[::-1]
-        at = 0
-        while at < n:
-            if last is not None and us[at] < last + ttl_us:
-                end = int(np.searchsorted(us, last + ttl_us, "left"))
-                served[at:end] = by
-                at = end
-            else:
-                at = int(following[at])
-                if at < n:
-                    last, by = int(us[at]), int(ids[at])
-                    at += 1
-        hit = served >= 0
-        return (last, by), pd.DataFrame({"request_id": ids, "executed": ~hit, "served_by": pd.array(np.where(hit, served, 0), "Int64").copy()}).assign(
-            served_by=lambda f: f["served_by"].mask(~hit))
-    return step
-
-
 def dedupe_requests_in_order(stream: DataFrame, key: Column, ttl_seconds: int = 3600, delay: str = "10 minutes", ts: str = "ts",
                              request_id: str = "request_id", failed: str = "status = 'ERROR'") -> DataFrame:
     """``dedupe_requests`` with every request judged in the order of event time, however late it came within ``delay``.
 
     A request comes out when the watermark passes it; requests later than that are dropped. The rule is folded per
-    accepted request, not per row. Request ids are not negative. A key is forgotten when its window has passed.
+    accepted request, not per row. A key is forgotten when its window has passed. The state holds 17 bytes of each
+    request that waits.
     """
     ship_package(stream.sparkSession)
-    rows = stream.withWatermark(ts, delay).select(
-        key.alias("k"), F.col(ts), F.unix_micros(F.col(ts)).alias("us"), F.col(request_id).cast("bigint").alias("request_id"), F.expr(f"NOT ({failed})").alias("ok"))
+    rows = _requests(stream, key, delay, ts, request_id, failed)
     ttl = ttl_seconds * 1_000_000
-    fold = _in_order(_ttl_step(ttl), (None, None), ["us", "request_id"], lambda memory: 0 if memory[0] is None else memory[0] + ttl)
+    fold = _in_order(_ttl_step(ttl), (None, None), _REQUEST, ["us", "request_id"], lambda memory: 0 if memory[0] is None else memory[0] + ttl)
     return rows.groupBy("k").applyInPandasWithState(fold, _DEDUPE_OUT, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -220,31 +250,30 @@ _STATE = "status string, good int, bad int, average double"
 _OUT = "agent string, seq bigint, from_status string, to_status string, average_ms double"
 
 
+_CHECK = {"seq": "int64", "status": "int8", "response_time_ms": "float64"}
+_KINDS = np.array(["HEALTHY", "DEGRADED", "UNHEALTHY"], object)
+
+
+def _checks(stream: DataFrame, *times: Column) -> DataFrame:
+    """Checks as the folds take them: the status as its place in _KINDS (all others are bad), a missing number as _NO_ID."""
+    status = F.when(F.col("status") == "HEALTHY", 0).when(F.col("status") == "DEGRADED", 1).otherwise(2).cast("tinyint")
+    return stream.select("agent", *times, F.coalesce(F.col("seq").cast("bigint"), F.lit(_NO_ID)).alias("seq"), status.alias("status"), "response_time_ms")
+
+
 def _advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     status, good, bad, average = state.get if state.exists else ("UNKNOWN", 0, 0, 0.0)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    changes = []
-    for seq, seen, took in zip(rows["seq"], rows["status"], rows["response_time_ms"]):
-        before = status
-        if seen == "HEALTHY":
-            average = took if average == 0 else events.EWMA_ALPHA * took + (1 - events.EWMA_ALPHA) * average
-        if seen in ("HEALTHY", "DEGRADED"):
-            good, bad = good + 1, 0
-            if good >= events.HEALTHY_AFTER:
-                status = seen
-        else:
-            good, bad = 0, bad + 1
-            if bad >= events.UNHEALTHY_AFTER:
-                status = "UNHEALTHY"
-        if status != before:
-            changes.append((key[0], seq, before, status, average))
-    state.update((status, good, bad, float(average)))
-    yield pd.DataFrame(changes, columns=["agent", "seq", "from_status", "to_status", "average_ms"])
+    memory = status, good - bad, average
+    rows = _sorted_rows(batches, _CHECK, ["seq"])
+    for part in _slices(rows, len(rows["seq"])):
+        memory, out = _health_step(key, memory, part)
+        yield out
+    status, run, average = memory
+    state.update((status, max(run, 0), max(-run, 0), average))
 
 
-def _health_step(key: tuple, memory: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+def _health_step(key: tuple, memory: tuple, rows: dict[str, np.ndarray]) -> tuple[tuple, pd.DataFrame]:
     status, run, average = memory  # run: good checks in a row, or bad ones as a negative number
-    seen, took = rows["status"].to_numpy(object), rows["response_time_ms"].to_numpy(float)
+    seen, took = _KINDS[rows["status"]], rows["response_time_ms"]
     good = np.isin(seen, ("HEALTHY", "DEGRADED"))
     # runs of good and bad checks; the first goes on with the run held
     begins = np.flatnonzero(np.concatenate(([True], good[1:] != good[:-1])))
@@ -260,7 +289,7 @@ def _health_step(key: tuple, memory: tuple, rows: pd.DataFrame) -> tuple[tuple,
             average = x if average == 0 else events.EWMA_ALPHA * x + (1 - events.EWMA_ALPHA) * average
         averages[i] = average
     changed = current != before
-    out = pd.DataFrame({"agent": key[0], "seq": rows["seq"].to_numpy()[changed], "from_status": before[changed], "to_status": current[changed], "average_ms": averages[changed]})
+    out = pd.DataFrame({"agent": key[0], "seq": _whole(rows["seq"][changed]), "from_status": before[changed], "to_status": current[changed], "average_ms": averages[changed]})
     return (current[-1], int(place[-1]) if good[-1] else -int(place[-1]), float(average)), out
 
 
@@ -271,8 +300,8 @@ def health_transitions_in_order(stream: DataFrame, ts: str = "ts", delay: str =
     values stay, and the checks that wait for the watermark.
     """
     ship_package(stream.sparkSession)
-    rows = stream.withWatermark(ts, delay).select("agent", F.col(ts), F.unix_micros(F.col(ts)).alias("us"), "seq", "status", "response_time_ms")
-    fold = _in_order(_health_step, ("UNKNOWN", 0, 0.0), ["us", "seq"], lambda memory: None)
+    rows = _checks(stream.withWatermark(ts, delay), F.col(ts), F.unix_micros(F.col(ts)).alias("us"))
+    fold = _in_order(_health_step, ("UNKNOWN", 0, 0.0), {"us": "int64", **_CHECK}, ["us", "seq"], lambda memory: None)
     return rows.groupBy("agent").applyInPandasWithState(fold, _OUT, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -283,5 +312,5 @@ def health_transitions(stream: DataFrame) -> DataFrame:
     the source bounds (``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``).
     """
     ship_package(stream.sparkSession)
-    return stream.select("agent", "seq", "status", "response_time_ms").groupBy("agent").applyInPandasWithState(
+    return _checks(stream).groupBy("agent").applyInPandasWithState(
         _advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

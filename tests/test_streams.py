@@ -87,3 +87,57 @@ def test_late_rows_are_folded_in_order(spark):
             if status != before:
                 want.append((agent, seq, before, status, round(average, 9)))
     assert sorted((r.agent, r.seq, r.from_status, r.to_status, round(r.average_ms, 9)) for r in got) == sorted(want) and len(want) > 30
+
+
+class _State:
+    """A key's state as the folds see it, without Spark."""
+    exists, hasTimedOut = False, False
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutTimestamp(self, ms):
+        self.due = ms
+
+
+def test_a_fold_holds_plain_numbers_only_and_gives_out_slices():
+    """Half a million rows of one key in one trigger: under 50 bytes of each at the peak, no frame of more than a slice."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    n, ttl = 500_000, 3_600_000_000
+    us = np.random.default_rng(1).permutation(n) * 7_000_000
+
+    def batches():
+        for i in range(0, n, 10_000):
+            ids = np.arange(i, i + 10_000)
+            yield pd.DataFrame({"k": [f"key {j % 1}" for j in ids], "ts": us[ids].astype("datetime64[us]"), "us": us[ids], "request_id": ids, "ok": ids % 3 > 0})
+
+    state, rows, last, want = _State(), 0, None, {}
+    tracemalloc.start()
+    for frame in st._ttl_fold(ttl)((None,), batches(), state):
+        assert len(frame) <= 100_000
+        rows += len(frame)
+        want.update(zip(frame["request_id"][:50], zip(frame["executed"][:50], frame["served_by"][:50], strict=True), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and peak < 50 * n
+    for i in np.argsort(us):
+        hit = last is not None and us[i] < us[last] + ttl
+        if i in want:
+            executed, served = want[i]
+            assert executed == (not hit) and (served == last if hit else served is pd.NA)
+        last = i if i % 3 and not hit else last
+    assert state.get == (us[last], str(last))
+
+
+def test_requests_without_a_time_or_an_id(spark):
+    """One without a time is executed and serves none, as in batch; one without an id serves without naming itself."""
+    rows = [(1, None, "a", "x", "c", "SUCCESS", 1.0), _row(-5, 1), _row(2, 2), (None, *_row(0, 90)[1:]), _row(3, 91)]
+    out = st.run_available(st.dedupe_requests(_feed(spark, [rows]), F.col("agent"), 3600), "dedupe-nulls")
+    got = {r["request_id"]: (r["executed"], r["served_by"]) for r in out.collect()}
+    assert got == {1: (True, None), -5: (True, None), 2: (False, -5), None: (True, None), 3: (False, None)}
