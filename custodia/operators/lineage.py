@@ -5,7 +5,8 @@ node that they leave (see ``session.lay_out``), so a level moves its frontier an
 layout that several walks share. Each finished level is written to the shared folder (see ``session.materialize``),
 which stops the plan from growing, tells Catalyst the real size of the frontier and lets the walk end as soon as a
 level is empty. Nothing is collected. A depth of None walks until that happens: a node, or a node of a path, is
-never expanded twice, so cycles end too.
+never expanded twice, so cycles end too. To know which nodes it has been to, ``reach`` remembers only those that more
+than one edge leads to: no walk comes to another one twice.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ class LaidOut:
 
     def __init__(self, edges: DataFrame):
         self.edges = edges
+        self.met_again: dict[str, int] = {}
 
     @cached_property
     def forward(self) -> DataFrame:
@@ -48,8 +50,15 @@ class LaidOut:
         return self._by("dst", "src")
 
     def _by(self, a: str, b: str) -> DataFrame:
+        """(__from, __to, __again: does more than one edge lead there, the edges' other columns)."""
         rest = [c for c in self.edges.columns if c not in ("src", "dst")]
-        return lay_out(self.edges.where(F.col(a).isNotNull()).select(F.col(a).alias("__from"), F.col(b).alias("__to"), *rest), "__from", "edges")
+        hops = self.edges.where(F.col(a).isNotNull()).select(F.col(a).alias("__from"), F.col(b).alias("__to"), *rest)
+        # by hash, which is shorter: where two nodes share one, both count as met again, and reach compares the nodes themselves
+        meets, self.met_again[a] = materialize(hops.groupBy(F.xxhash64("__to").alias("__met")).count().where("count > 1").select("__met"), "meets")
+        again = F.lit(False)
+        if self.met_again[a]:
+            hops, again = hops.join(meets, F.xxhash64("__to") == F.col("__met"), "left"), F.col("__met").isNotNull()
+        return lay_out(hops.select("__from", "__to", again.alias("__again"), *rest), "__from", "edges")
 
 
 def laid_out(edges: DataFrame | LaidOut) -> LaidOut:
@@ -57,7 +66,7 @@ def laid_out(edges: DataFrame | LaidOut) -> LaidOut:
 
 
 def _hops(edges: DataFrame | LaidOut, forward: bool) -> DataFrame:
-    """(__from, __to, the edges' other columns), in buckets by __from."""
+    """(__from, __to, __again, the edges' other columns), in buckets by __from."""
     return laid_out(edges).forward if forward else laid_out(edges).backward
 
 
@@ -90,23 +99,29 @@ def walk(edges: DataFrame | LaidOut, roots: Sequence[str] | DataFrame, depth: in
 
 def reach(edges: DataFrame | LaidOut, roots: Sequence[str] | DataFrame, depth: int | None = 3, forward: bool = True) -> DataFrame:
     """Each reachable node once, at its first level, with the smallest edge that leads to it there."""
+    edges = laid_out(edges)
     hops = _hops(edges, forward)
-    seen = _roots(edges, roots).select("root", F.col("root").alias("node"))
-    frontier = seen
+    frontier = _roots(edges, roots).select("root", F.col("root").alias("node"))
+    seen = None  # of the nodes that more than one edge leads to
     levels: list[DataFrame] = []
     for level in _levels(depth):
-        found = (frontier.join(hops, frontier["node"] == hops["__from"])
-                 .groupBy("root", F.col("__to").alias("node"))
-                 .agg(F.min(F.struct(F.col("node").alias("parent"), "relationship", "transformation")).alias("via")))
-        found = found.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("level"), "via.*")
+        step = frontier.join(hops, frontier["node"] == hops["__from"]).where(~F.col("__to").eqNullSafe(F.col("root")))
+        # a node is expanded once for a root, so its one edge leads there once
+        found = step.where("NOT __again").select("root", F.col("__to").alias("node"), F.lit(level).alias("level"), F.col("node").alias("parent"), "relationship", "transformation", "__again")
+        if edges.met_again["src" if forward else "dst"]:
+            met = step.where("__again").groupBy("root", F.col("__to").alias("node")).agg(F.min(F.struct(F.col("node").alias("parent"), "relationship", "transformation")).alias("via"))
+            if seen is not None:
+                met = met.join(seen, ["root", "node"], "left_anti")
+            found = found.unionAll(met.select("root", "node", F.lit(level).alias("level"), "via.*", F.lit(True).alias("__again")))
         if depth is None or level < depth:
             found, rows_found = materialize(found, "reach")
             if not rows_found:
                 break
-        levels.append(found)
+        levels.append(found.drop("__again"))
         frontier = found.select("root", "node")
-        seen = seen.unionAll(frontier)
-    out = levels[0] if levels else found
+        met = found.where("__again").select("root", "node")
+        seen = met if seen is None else seen.unionAll(met)
+    out = levels[0] if levels else found.drop("__again")
     for part in levels[1:]:
         out = out.unionAll(part)
     return out

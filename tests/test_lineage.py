@@ -98,3 +98,37 @@ def test_one_walk_over_time_is_a_walk_per_date(spark):
             at = F.lit(date)
             want = {(r.root, r.node) for r in lineage.reach(lineage.lineage_as_of(edges, at), ["n0", "n1"], None, forward).collect()}
             assert {(r.root, r.node) for r in spans if r.valid_from <= date and (r.valid_to is None or date < r.valid_to)} == want
+
+
+def test_a_walk_compares_only_nodes_that_two_edges_lead_to(spark):
+    """Chains are walked without a look at what was found before; elsewhere only nodes met again are looked up."""
+    chain = lineage.reach(edges_of(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)]), ["n0", "n3"], 3)
+    assert "LeftAnti" not in plan_of(chain) and chain.count() == 6
+    laid = lineage.laid_out(edges_of(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "a")]))
+    assert sorted((r["__from"], r["__to"]) for r in laid.forward.where("__again").collect()) == [("a", "c"), ("b", "c")]
+    assert lineage.reach(laid, ["d"], None).count() == 3
+
+
+def test_reach_is_that_of_a_plain_walk(spark):
+    """Random graphs with cycles, self-links, edges that come twice and edges to nowhere."""
+    draw = random.Random(7)
+    for depth, forward in ((None, True), (2, False)):
+        rows = [(f"n{draw.randrange(14)}", f"n{draw.randrange(14)}", draw.choice("rs"), draw.choice("tu")) for _ in range(22)]
+        rows += [*rows[:3], ("n0", "n0", "r", "t"), ("n0", "n14", "r", "t"), ("n14", "n15", "s", "t"), ("n15", "n14", "r", "u"), ("n1", None, "r", "t"), (None, "n2", "r", "t")]
+        roots = ["n0", "n1", "n14", "gone"]
+        want = []
+        for root in roots:
+            seen, frontier, level = {root}, {root}, 0
+            while frontier and (depth is None or level < depth):
+                level += 1
+                step = {}
+                for a, b, *rest in rows:
+                    a, b = (a, b) if forward else (b, a)
+                    if a in frontier and b not in seen:
+                        step.setdefault(b, []).append((a, *rest))
+                want += [(root, b, level, *min(via)) for b, via in step.items()]
+                frontier = {b for b in step if b is not None}
+                seen |= frontier
+        edges = spark.createDataFrame(rows, "src string, dst string, relationship string, transformation string")
+        got = lineage.reach(edges, roots, depth, forward).select("root", "node", "level", "parent", "relationship", "transformation")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
