@@ -141,3 +141,29 @@ def test_requests_without_a_time_or_an_id(spark):
     out = st.run_available(st.dedupe_requests(_feed(spark, [rows]), F.col("agent"), 3600), "dedupe-nulls")
     got = {r["request_id"]: (r["executed"], r["served_by"]) for r in out.collect()}
     assert got == {1: (True, None), -5: (True, None), 2: (False, -5), None: (True, None), 3: (False, None)}
+
+
+def test_waiting_rows_are_small_in_the_state():
+    """Half a million rows of one key wait in under 10 bytes each, and come out in order over two triggers."""
+    import numpy as np
+    import pandas as pd
+    n = 500_000
+    draw = np.random.default_rng(2)
+    us, ids, ok = draw.integers(0, 10 ** 12, n) + 1_700_000_000_000_000, draw.permutation(n), draw.random(n) < 0.7
+    fold = st._in_order(st._ttl_step(3_600_000_000), (None, None), st._REQUEST, ["us", "request_id"], lambda memory: 0)
+    state = _State()
+
+    def trigger(rows, mark):
+        state.getCurrentWatermarkMs = lambda: mark
+        frame = pd.DataFrame({"us": us[rows], "request_id": ids[rows], "ok": ok[rows]})
+        return list(fold((None,), iter([frame]), state))
+
+    assert trigger(slice(0, n // 2), 0) == []
+    assert trigger(slice(n // 2, n), 0) == [] and sum(map(len, state.get)) < 10 * n
+    half = 1_700_000_500_000
+    first = pd.concat(trigger(slice(0, 0), half))
+    state.remove = lambda: None
+    got = pd.concat([first, *trigger(slice(0, 0), 2 * half)])
+    by = np.lexsort([ids, us])
+    want = st._ttl_step(3_600_000_000)(None, (None, None), {"us": us[by], "request_id": ids[by], "ok": ok[by]})[1]
+    assert len(first) == (us < half * 1000).sum() and got.reset_index(drop=True).equals(want)
